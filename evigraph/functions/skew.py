@@ -67,3 +67,21 @@ def previous_value(df: DataFrame, keys: list[str], order: Column, bucket: Column
         "_p", F.lag(F.struct(F.col(value).alias("v"))).over(W.partitionBy(*keys, "_b").orderBy("_o"))
     )
     return inside.join(entering, [*keys, "_b"]).withColumn(name, F.coalesce("_p", "_in")["v"]).drop("_b", "_o", "_p", "_in")
+
+
+BROADCAST_LIMIT_BYTES = 64 << 20
+
+
+def broadcast_checked(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if its measured size is within ``limit``; tells which it is.
+
+    The size is one map-side combined aggregate. Callers join the other case by shuffle.
+    """
+    widths = [
+        F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(16) for c, t in df.dtypes
+    ]
+    size = F.lit(32)
+    for w in widths:
+        size = size + w
+    measured = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0
+    return (F.broadcast(df), True) if measured <= limit else (df, False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ LOCATION_LABELS = {"page": "стр.", "slide": "слайд", "table": "табл
 WORD = r"[\p{L}\p{N}_-]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Lambda bodies have no common-subexpression elimination: an expression repeated in one is
+    computed again per element. Binding it as the variable of a one-element transform avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -69,24 +80,30 @@ def match_key(word: Column) -> Column:
 
 def name_similarity(a: Column, b: Column) -> Column:
     """Share of the words of ``a`` that match a word of ``b``; not symmetric."""
-    wa, wb = name_words(a), name_words(b)
-    return F.when(
-        (F.size(wa) == 0) | (F.size(wb) == 0),
-        F.when(F.trim(F.lower(a)) == F.trim(F.lower(b)), 1.0).otherwise(0.0),
-    ).otherwise(F.size(F.filter(wa, lambda w: F.exists(wb, lambda v: word_match(w, v)))) / F.size(wa))
+    both = F.struct(name_words(a).alias("a"), name_words(b).alias("b"))
+    return let(
+        both,
+        lambda w: F.when(
+            (F.size(w["a"]) == 0) | (F.size(w["b"]) == 0),
+            F.when(F.trim(F.lower(a)) == F.trim(F.lower(b)), 1.0).otherwise(0.0),
+        ).otherwise(F.size(F.filter(w["a"], lambda x: F.exists(w["b"], lambda y: word_match(x, y)))) / F.size(w["a"])),
+    )
 
 
 def script_language(text: Column) -> Column:
     """Language class by the share of Cyrillic letters."""
-    sample = F.trim(text)
-    letters = F.length(F.regexp_replace(sample, "[^A-Za-zА-Яа-яЁё]", ""))
-    share = F.length(F.regexp_replace(sample, "[^А-Яа-яЁё]", "")) / F.nullif(letters, F.lit(0))
-    return (
-        F.when(sample == "", "unknown")
-        .when(letters == 0, "other")
-        .when(share > 0.7, "ru")
-        .when(share < 0.15, "en")
-        .otherwise("mixed")
+    counts = F.struct(
+        F.length(F.regexp_replace(text, "[^A-Za-zА-Яа-яЁё]+", "")).alias("letters"),
+        F.length(F.regexp_replace(text, "[^А-Яа-яЁё]+", "")).alias("cyrillic"),
+    )
+    return F.when(F.trim(text) == "", "unknown").otherwise(
+        let(
+            counts,
+            lambda n: F.when(n["letters"] == 0, "other")
+            .when(n["cyrillic"] / n["letters"] > 0.7, "ru")
+            .when(n["cyrillic"] / n["letters"] < 0.15, "en")
+            .otherwise("mixed"),
+        )
     )
 
 
@@ -126,17 +143,23 @@ def clean_location(location: Column) -> Column:
         lambda p: p["kind"].isin("page", "slide", "table"),
     )
     labels = F.create_map(*[F.lit(x) for kv in LOCATION_LABELS.items() for x in kv])
-    groups = F.transform(
-        F.array_distinct(F.transform(pairs, lambda p: p["kind"])),
-        lambda k: F.concat(
-            labels[k],
-            F.lit(" "),
-            F.array_join(
-                F.array_distinct(F.transform(F.filter(pairs, lambda p: p["kind"] == k), lambda p: p["num"])), ", "
+
+    def shown(pairs: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.array_distinct(F.transform(pairs, lambda p: p["kind"])),
+                lambda k: F.concat(
+                    labels[k],
+                    F.lit(" "),
+                    F.array_join(
+                        F.array_distinct(F.transform(F.filter(pairs, lambda p: p["kind"] == k), lambda p: p["num"])), ", "
+                    ),
+                ),
             ),
-        ),
-    )
-    return F.coalesce(F.array_join(groups, " · "), F.lit(""))
+            " · ",
+        )
+
+    return F.coalesce(let(pairs, shown), F.lit(""))
 
 
 def strip_tags(text: Column) -> Column:

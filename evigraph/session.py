@@ -45,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows live in shared storage, so a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Repartition rows for CPU-heavy projections when the files are fewer than the cores.
+
+    A table of many files already has a task per split and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

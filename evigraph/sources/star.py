@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.session import spread_small_input
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -122,7 +124,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread_small_input(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +155,3 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda acc, x: acc + x * x))
     return vectors.select("qset_id", "variant_no", F.transform("mean", lambda x: x / norm).alias("embedding"))
-
-
-def document_chunk_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars")
