@@ -13,6 +13,7 @@ from evigraph.model import ANCHOR_RELATION
 from evigraph.operators import graph as G
 from evigraph.operators import questions as Q
 from evigraph.operators.matching import find_by_names
+from evigraph.session import cut_lineage
 
 # Answer texts.
 SINGLE_TYPES = ("condition", "property", "equipment", "facility")
@@ -57,10 +58,16 @@ def understand(questions: DataFrame, settings: SearchSettings) -> DataFrame:
     )
 
 
+def prepare(nodes: DataFrame, questions: DataFrame, settings: SearchSettings) -> tuple[DataFrame, DataFrame]:
+    """(asked, anchors), both stored: later steps read them many times and they are question-sized."""
+    asked = cut_lineage(understand(questions, settings))
+    return asked, cut_lineage(anchors(nodes, asked))
+
+
 def anchors(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """Best entity matches per question and anchor type."""
     types = list(ANCHOR_RELATION)
-    scored = Q.match_entities(asked, Q.name_table(nodes, types))
+    scored = Q.match_entities(asked, cut_lineage(Q.name_table(nodes, types)))
     return Q.best_matches(scored, nodes.filter(F.col("type").isin(*types)), {t: 1 for t in SINGLE_TYPES})
 
 
@@ -87,11 +94,12 @@ def matched_experiments(nodes: DataFrame, edges: DataFrame, asked: DataFrame, an
     picked = anchor_rows.select("question_id", relation.alias("relation"), F.col("lname").alias("query")).distinct()
     targets = nodes.filter(F.col("type").isin(*ANCHOR_RELATION))
     similar = find_by_names(targets, picked.select("query")).select("query", relation.alias("relation"), "lname")
-    accepted = picked.join(similar, ["query", "relation"]).select("question_id", "relation", "lname").distinct()
+    accepted = cut_lineage(picked.join(similar, ["query", "relation"]).select("question_id", "relation", "lname").distinct())
 
     named = edges.filter(F.col("type").isin(*ANCHOR_RELATION.values())).join(
         targets.select(F.col("id").alias("target"), F.lower("name").alias("lname")), "target"
-    ).select(F.col("source").alias("experiment_id"), F.col("type").alias("relation"), "lname").distinct()
+    ).select(F.col("source").alias("experiment_id"), F.col("type").alias("relation"), "lname")
+    named = cut_lineage(named.distinct())
 
     sizes = named.groupBy("relation", "lname").agg(F.count(F.lit(1)).alias("n"))
     slots = picked.select("question_id", "relation").distinct()
@@ -193,9 +201,8 @@ def answer_lines(nodes: DataFrame, edges: DataFrame, asked: DataFrame, anchor_ro
 
 def hybrid_search(nodes: DataFrame, edges: DataFrame, questions: DataFrame, settings: SearchSettings) -> dict[str, DataFrame]:
     """All parts of the answers to a batch of structured questions."""
-    asked = understand(questions, settings)
-    anchor_rows = anchors(nodes, asked)
-    matched = matched_experiments(nodes, edges, asked, anchor_rows)
+    asked, anchor_rows = prepare(nodes, questions, settings)
+    matched = cut_lineage(matched_experiments(nodes, edges, asked, anchor_rows))
     return {
         "asked": asked,
         "anchors": anchor_rows,
