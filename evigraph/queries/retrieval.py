@@ -1 +1,311 @@
-"""Registered queries."""
+"""Retrieval queries (R rows of the inventory)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evigraph.functions.text import STOPWORDS
+from evigraph.operators import documents as D
+from evigraph.operators import retrieval as R
+from evigraph.operators.embedding import embed_text, embed_with_model
+from evigraph.operators.extraction import parse_extractions, run_extractor
+from evigraph.plans.grounded_answers import rag_answer
+from evigraph.queries.checksql import chunks_sql
+from evigraph.queries.documents import docs
+from evigraph.queries.hooks import load_extractor, load_model
+from evigraph.queries.registry import query
+from evigraph.queries.text import MATCH, tokens_sql
+from evigraph.sources.answers import answer_documents
+from evigraph.sources.star import query_vectors, table, view
+
+STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+CV = "cv AS (SELECT chunk_id, doc_id, chunk_no, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM chunk_vectors)"
+ALL_SCORES = f"""{CV},
+    pair AS (SELECT qset_id, variant_no, chunk_id, doc_id, chunk_no, sum(v * CAST(x AS DOUBLE)) AS s FROM query_vectors JOIN cv USING (pos) GROUP BY ALL),
+    sc AS (SELECT qset_id, chunk_id, doc_id, chunk_no, round(max(s), 9) AS score FROM pair GROUP BY ALL)"""
+
+
+def vectors(spark, d):
+    return view(spark, d, "chunk_vectors")
+
+
+@query(
+    "vector_topk", "query_vectors chunk_vectors",
+    f"""WITH {ALL_SCORES}, one AS (SELECT qset_id * 10 + variant_no AS qset_id, chunk_id, round(s, 9) AS score FROM pair WHERE round(s, 9) >= 0.25),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS rank FROM one)
+    SELECT qset_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+)
+def _(spark, d):
+    """Each formulation on its own."""
+    single = query_vectors(spark, d).withColumn("qset_id", F.col("qset_id") * 10 + F.col("variant_no"))
+    return R.vector_topk(vectors(spark, d), single, 10, R.DISCOVERY_MIN_SCORE).select("qset_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("multi_query_max", "query_vectors chunk_vectors", f"WITH {ALL_SCORES} SELECT qset_id, chunk_id, round(score, 6) AS score FROM sc WHERE score >= 0.25")
+def _(spark, d):
+    return R.score_chunks(vectors(spark, d), query_vectors(spark, d), 0.25).select("qset_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "candidate_pool", "query_vectors chunk_vectors",
+    f"WITH {ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score >= 0.35) SELECT qset_id, chunk_id, rank FROM r WHERE rank <= 24",
+)
+def _(spark, d):
+    return R.candidate_pool(vectors(spark, d), query_vectors(spark, d)).select("qset_id", "chunk_id", "rank")
+
+
+DISCOVERY = f"""{ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score >= 0.25 AND chunk_no < 3),
+    ds AS (SELECT qset_id, doc_id, max(score) AS score FROM r WHERE rank <= 20 GROUP BY ALL)"""
+
+
+def discovered(spark, d):
+    head = vectors(spark, d).filter(F.col("chunk_no") < R.DISCOVERY_CHUNKS)
+    return R.doc_scores(R.vector_topk(head, query_vectors(spark, d), R.DISCOVERY_TOP_K, R.DISCOVERY_MIN_SCORE))
+
+
+@query("doc_discovery", "query_vectors chunk_vectors", f"WITH {DISCOVERY} SELECT qset_id, doc_id, round(score, 6) AS score FROM ds")
+def _(spark, d):
+    return discovered(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "activation_floor", "query_vectors chunk_vectors",
+    f"""WITH {DISCOVERY}, m AS (SELECT *, max(score) OVER (PARTITION BY qset_id) AS best FROM ds),
+    k AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, doc_id) AS rank FROM m WHERE score >= greatest(0.35, 0.7 * best))
+    SELECT qset_id, doc_id, rank FROM k WHERE rank <= 5""",
+)
+def _(spark, d):
+    return R.activation_floor(discovered(spark, d)).select("qset_id", "doc_id", "rank")
+
+
+@query(
+    "query_signals", "",
+    """WITH w AS (SELECT p_partkey, p_size, unnest(list_concat(['compare', 'brand', 'with', 'tests'], string_split(p_name, ' '))) AS t FROM part)
+    SELECT p_partkey AS qset_id, array_to_string(list_sort(list_distinct([CAST(100 + p_size AS VARCHAR) || 'mg/l', 'mg', 'ad' || CAST(p_partkey AS VARCHAR), CAST(100 + p_size AS VARCHAR), 'pvp'])), ' ') AS hard,
+      string_agg(DISTINCT t, ' ' ORDER BY t) FILTER (WHERE length(t) > 3) AS terms FROM w GROUP BY p_partkey, p_size""",
+)
+def _(spark, d):
+    s = lambda e: F.expr(f"cast({e} as string)")
+    first = F.concat(F.lit("Compare "), "p_name", F.lit(" brand at "), s("100 + p_size"), F.lit(" mg/l with AD"), s("p_partkey"), F.lit(" PVP"))
+    q = table(spark, d, "part").select(
+        F.col("p_partkey").alias("qset_id"),
+        F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), first.alias("text")), F.struct(F.lit(1).alias("variant_no"), F.concat("p_name", F.lit(" tests")).alias("text")))),
+    )
+    sig = R.query_signals(q)
+    return sig.select("qset_id", F.array_join(F.array_sort("hard"), " ").alias("hard"), F.array_join(F.array_sort("terms"), " ").alias("terms"))
+
+
+@query("embed_text")
+def _(spark, d):
+    return embed_text(table(spark, d, "benchmark")).select("item_id", "embedding")
+
+
+@query("embedder_hook")
+def _(spark, d):
+    """A model object made once per worker: letter counts of the text."""
+    return embed_with_model(docs_text(spark, d), load_model).select("doc_id", "embedding")
+
+
+@query("extractor_hook")
+def _(spark, d):
+    chunks = D.chunk_documents(docs(spark, d))
+    return parse_extractions(run_extractor(chunks, load_extractor))[0]
+
+
+def docs_text(spark, d):
+    from evigraph.sources.star import documents
+
+    return documents(spark, d).select("doc_id", "text")
+
+
+META = "dm AS (SELECT doc_id, 'Document ' || CAST(doc_id AS VARCHAR) AS title, source || '/' || lang AS source_name, CASE WHEN n_chars = 0 THEN 'error' ELSE 'ready' END AS status, n_chars AS num_chunks, quality = 1 AS attached, CASE WHEN toxic = 0 THEN 'full' WHEN toxic = 1 THEN 'abstract' END AS index_mode, CASE WHEN lang = 'fr' THEN 'link' WHEN lang = 'es' THEN 'file' ELSE 'corpus' END AS source_type, n_chars AS added_at FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+def docs_meta(spark, d):
+    """Document states: quality decides attachment, toxicity the index mode, unlabelled ones are undecided."""
+    j = docs_text(spark, d).drop("text").join(table(spark, d, "documents").drop("text"), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return j.select(
+        "doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.concat("source", F.lit("/"), "lang").alias("source_name"),
+        F.when(F.col("n_chars") == 0, "error").otherwise("ready").alias("status"), F.col("n_chars").alias("num_chunks"), (F.col("quality") == 1).alias("attached"),
+        F.when(F.col("toxic") == 0, "full").when(F.col("toxic") == 1, "abstract").alias("index_mode"),
+        F.when(F.col("lang") == "fr", "link").when(F.col("lang") == "es", "file").otherwise("corpus").alias("source_type"), F.col("n_chars").alias("added_at"),
+    )
+
+
+@query(
+    "searchable_filter", "",
+    f"WITH {META} SELECT doc_id FROM dm WHERE status = 'ready' AND num_chunks > 0 AND coalesce(attached, true) AND (coalesce(index_mode, 'full') = 'full' OR source_type IN ('file', 'link'))",
+)
+def _(spark, d):
+    return R.searchable_filter(docs_meta(spark, d)).select("doc_id")
+
+
+@query("list_documents", "", f"WITH {META} SELECT doc_id, title, added_at FROM dm WHERE attached OR (attached IS NULL AND source_type IN ('file', 'link')) ORDER BY added_at DESC, doc_id")
+def _(spark, d):
+    return R.list_documents(docs_meta(spark, d)).select("doc_id", "title", "added_at")
+
+
+@query(
+    "attach_state", "attach_log",
+    """WITH l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i FROM attach_log),
+    st AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, false AS attached, '' AS src, 'abstract' AS mode FROM l
+      UNION ALL SELECT l.doc_id, l.i,
+        CASE action WHEN 'activate' THEN true WHEN 'attach_manual' THEN true WHEN 'delete' THEN false WHEN 'detach_auto' THEN CASE WHEN src = 'auto' THEN false ELSE attached END ELSE attached END,
+        CASE action WHEN 'activate' THEN 'auto' WHEN 'attach_manual' THEN 'manual' WHEN 'delete' THEN '' WHEN 'detach_auto' THEN CASE WHEN src = 'auto' THEN '' ELSE src END ELSE src END,
+        CASE action WHEN 'activate' THEN 'full' WHEN 'delete' THEN 'abstract' ELSE mode END
+      FROM st JOIN l ON l.doc_id = st.doc_id AND l.i = st.i + 1)
+    SELECT doc_id, arg_max(attached, i) AS attached, arg_max(src, i) AS attach_source, arg_max(mode, i) AS index_mode FROM st GROUP BY doc_id""",
+)
+def _(spark, d):
+    return R.attach_state(view(spark, d, "attach_log"))
+
+
+def embed_sql(name: str, src: str, key: str) -> str:
+    return f"""{name}_t AS (SELECT {key}, md5(unnest({tokens_sql('lower(text)')})) AS h FROM {src}),
+    {name}_d AS (SELECT {key}, CAST('0x' || left(h, 8) AS BIGINT) % 64 AS dim, sum(CASE WHEN substring(h, 9, 1) < '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS w FROM {name}_t GROUP BY ALL),
+    {name} AS MATERIALIZED (SELECT {key}, dim, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY {key})), 0) AS w FROM {name}_d)"""
+
+
+def lexical_sql(pool: str) -> str:
+    return f"""{pool}_x AS (SELECT p.*, lower(translate(c.text, '{'₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹'}', '01234567890123456789')) AS norm, hard, terms FROM {pool} p JOIN chunks c USING (chunk_id) JOIN sg USING (qset_id)),
+    {pool}_w AS (SELECT *, len(list_filter(hard, lambda h: contains(regexp_replace(norm, '\\s+', '', 'g'), h))) / nullif(len(hard), 0) AS hs, list_distinct(regexp_extract_all(norm, '[а-яёa-z-]+')) AS ws FROM {pool}_x),
+    {pool}_l AS (SELECT *, len(list_filter(terms, lambda t: len(list_filter(ws, lambda w: left(w, 3) = left(t, 3) AND {MATCH.format(a='t', b='w')})) > 0)) / nullif(len(terms), 0) AS ts FROM {pool}_w),
+    {pool}_r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY boosted DESC, score DESC, chunk_id) AS rank FROM (
+      SELECT qset_id, chunk_id, doc_id, score, round(score + 0.15 * coalesce(hs * 0.7 + ts * 0.3, hs, ts, 0), 9) AS boosted FROM {pool}_l))"""
+
+
+# The checking engine has no word boundary for letters outside ASCII, so whole symbols are compared as words.
+SYMBOLS = ", ".join(f"'{f[2:-2]}'" for f in R.FORMULAS.split("|") if f.startswith("\\b"))
+SUBSTRING_FORMULAS = "|".join(f for f in R.FORMULAS.split("|") if not f.startswith("\\b"))
+
+
+RAG = f"""{chunks_sql('blocks')},
+    vr AS (SELECT item_id AS qset_id, 0 AS variant_no, text FROM benchmark UNION ALL SELECT item_id, 1, split_part(text, '. ', 1) FROM benchmark),
+    {embed_sql('ce', 'chunks', 'chunk_id')}, {embed_sql('qe', 'vr', 'qset_id, variant_no')},
+    sv AS (SELECT qset_id, variant_no, chunk_id, sum(qe.w * ce.w) AS s FROM qe JOIN ce USING (dim) GROUP BY ALL),
+    sc AS MATERIALIZED (SELECT qset_id, chunk_id, doc_id, chunk_no, round(max(s), 9) AS score FROM sv JOIN chunks USING (chunk_id) GROUP BY ALL),
+    tk AS (SELECT qset_id, variant_no, list_concat(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({SYMBOLS})), regexp_extract_all(lower(text), '{SUBSTRING_FORMULAS}'), list_transform(regexp_extract_all(text, '\\b[А-ЯA-Z]{{2,}}\\b'), lambda a: lower(a))) AS toks, regexp_extract_all(lower(text), '[А-Яа-яЁёA-Za-z-]+') AS words FROM vr),
+    tj AS (SELECT qset_id, list_filter(flatten(list(toks)), lambda t: length(t) >= 2) AS toks, flatten(list(words)) AS words FROM tk GROUP BY qset_id),
+    sg AS MATERIALIZED (SELECT qset_id, list_distinct(toks) AS hard, list_filter(list_distinct(words), lambda w: length(w) > 3 AND w NOT IN ({STOP}) AND NOT contains(array_to_string(toks, ' '), w)) AS terms FROM tj),
+    dp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS k FROM sc WHERE score >= 0.25 AND chunk_no < 3) WHERE k <= 80),
+    {lexical_sql('dp')},
+    dd AS (SELECT qset_id, doc_id, max(score) AS score FROM dp_r WHERE rank <= 20 GROUP BY ALL),
+    af AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY qset_id) AS best FROM dd) WHERE score >= greatest(0.35, 0.7 * best)) WHERE rank <= 5),
+    sp AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY qset_id ORDER BY sc.score DESC, chunk_id) AS k FROM sc JOIN af USING (qset_id, doc_id) WHERE sc.score >= 0.35) WHERE k <= 24),
+    {lexical_sql('sp')},
+    hits AS (SELECT * FROM sp_r WHERE rank <= 6),
+    ci AS (SELECT qset_id, rank AS index, h.doc_id, chunk_id, 'Document ' || CAST(h.doc_id AS VARCHAR) AS title, locations AS location, round(score, 3) AS score, left(text, 280) AS snippet, left(text, 600) AS excerpt, text FROM hits h JOIN chunks USING (chunk_id)),
+    cf AS (SELECT item_id AS qset_id, CASE WHEN count(index) = 0 THEN 'нет данных' WHEN arg_min(score, index) >= 0.6 AND count(DISTINCT doc_id) >= 2 THEN 'высокая' WHEN arg_min(score, index) >= 0.45 THEN 'средняя' ELSE 'низкая' END AS confidence FROM benchmark LEFT JOIN ci ON qset_id = item_id GROUP BY item_id)"""
+
+
+def answered(spark, d):
+    chunks = D.chunk_documents(docs(spark, d)).withColumn("location", F.array_join("locations", ", ")).drop("locations")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qset_id"), "text")
+    variants = asked.select(
+        "qset_id",
+        F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
+    )
+    return asked, rag_answer(chunks, docs_meta(spark, d), asked, variants)
+
+
+@query("rag_answer", "blocks", f"WITH {RAG} SELECT qset_id, rank, chunk_id, doc_id, round(score, 6) AS score, round(boosted, 6) AS boosted FROM hits")
+def _(spark, d):
+    hits = answered(spark, d)[1]["hits"]
+    return hits.select("qset_id", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"), F.round("boosted", 6).alias("boosted"))
+
+
+@query("rag_active_documents", "blocks", f"WITH {RAG} SELECT qset_id, doc_id, rank FROM af")
+def _(spark, d):
+    return answered(spark, d)[1]["active"].select("qset_id", "doc_id", "rank")
+
+
+def _pool(spark, d):
+    """Discovery pool of the benchmark questions with its signals and texts."""
+    chunks = D.chunk_documents(docs(spark, d))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qset_id"), "text")
+    variants = asked.select(
+        "qset_id",
+        F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
+    )
+    head = chunks.filter(F.col("chunk_no") < R.DISCOVERY_CHUNKS)
+    pool = R.candidate_pool(embed_text(head), embed_text(variants), R.DISCOVERY_TOP_K, R.DISCOVERY_MIN_SCORE)
+    return pool, R.query_signals(variants), head
+
+
+@query("lexical_score", "blocks", f"WITH {RAG} SELECT qset_id, chunk_id, round(coalesce(hs * 0.7 + ts * 0.3, hs, ts, 0), 6) AS lex FROM dp_l")
+def _(spark, d):
+    pool, signals, head = _pool(spark, d)
+    j = pool.join(head.select("chunk_id", "text"), "chunk_id").join(signals, "qset_id")
+    return j.select("qset_id", "chunk_id", F.round(R.lexical_score(F.col("hard"), F.col("terms"), F.col("text")), 6).alias("lex"))
+
+
+@query("lexical_rerank", "blocks", f"WITH {RAG} SELECT qset_id, rank, chunk_id, round(boosted, 6) AS boosted FROM dp_r WHERE rank <= 20")
+def _(spark, d):
+    pool, signals, head = _pool(spark, d)
+    return R.lexical_rerank(pool, signals, head, R.DISCOVERY_TOP_K).select("qset_id", "rank", "chunk_id", F.round("boosted", 6).alias("boosted"))
+
+
+@query("citations", "blocks", f"WITH {RAG} SELECT qset_id, index, doc_id, title, location, score, snippet, sha256('[' || CAST(index AS VARCHAR) || '] (' || title || ', ' || location || '):' || chr(10) || text) AS context_hash FROM ci")
+def _(spark, d):
+    c = answered(spark, d)[1]["citations"]
+    return c.select("qset_id", "index", "doc_id", "title", "location", "score", "snippet", F.sha2("context_line", 256).alias("context_hash"))
+
+
+@query("answer_confidence", "blocks", f"WITH {RAG} SELECT * FROM cf")
+def _(spark, d):
+    return answered(spark, d)[1]["confidence"]
+
+
+@query(
+    "extractive_answer", "blocks",
+    f"""WITH {RAG}, a AS (SELECT qset_id, string_agg('[' || CAST(index AS VARCHAR) || '] ' || excerpt, chr(10) || chr(10) ORDER BY index) AS t FROM ci GROUP BY qset_id)
+    SELECT item_id AS qset_id, t IS NOT NULL AS grounded, sha256(coalesce('{R.EXCERPTS_HEAD}' || chr(10) || chr(10) || t, '{R.NOT_FOUND_ANSWER}')) AS answer_hash FROM benchmark LEFT JOIN a ON qset_id = item_id""",
+)
+def _(spark, d):
+    return answered(spark, d)[1]["answers"].select("qset_id", "grounded", F.sha2("answer", 256).alias("answer_hash"))
+
+
+@query("prompt_table")
+def _(spark, d):
+    return answered(spark, d)[1]["prompts"]
+
+
+@query("answers_export")
+def _(spark, d):
+    asked, parts = answered(spark, d)
+    return answer_documents(asked, parts["answers"], parts["confidence"], parts["citations"])
+
+
+def _external(spark, d):
+    src = view(spark, d, "external_sources")
+    words = F.array_distinct(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) >= 4))
+    keyed = src.select("*", F.concat(F.slice(words, 1, 3), F.array(F.lit("zzz"))).alias("keywords"), F.lit(40).alias("total"))
+    return keyed.withColumn("rank", F.col("item_id"))
+
+
+@query(
+    "external_relevance", "external_sources",
+    """WITH w AS (SELECT item_id, title, snippet, list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 4) AS ws FROM external_sources),
+    u AS (SELECT item_id, any_value(title || ' ' || snippet) AS t, list(w ORDER BY p) AS k FROM (SELECT item_id, title, snippet, w, min(p) AS p FROM (SELECT item_id, title, snippet, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w) GROUP BY ALL) GROUP BY item_id),
+    k AS (SELECT e.item_id, title || ' ' || snippet AS t, list_append(coalesce(k[1:3], []), 'zzz') AS k FROM external_sources e LEFT JOIN u USING (item_id)),
+    m AS (SELECT item_id, k, list_filter(k, lambda x: contains(lower(t), x)) AS mk FROM k)
+    SELECT item_id, array_to_string(mk, ',') AS matched, round(0.6 * (len(mk) / len(k)) + 0.4 * (1 - item_id / 40), 2) AS relevance FROM m""",
+)
+def _(spark, d):
+    return R.external_relevance(_external(spark, d)).select("item_id", F.array_join("matched_keywords", ",").alias("matched"), "relevance")
+
+
+@query(
+    "external_context", "external_sources",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY item_id) AS n FROM external_sources)
+    SELECT kind, n, trim('[' || CASE WHEN kind = 'patent' THEN 'P' ELSE 'S' END || CAST(n AS VARCHAR) || '] «' || title || '» — ' || CASE WHEN kind = 'patent' THEN 'изобретатели не указаны' ELSE 'Doe, Roe' END || '. ' || CAST(year AS VARCHAR) || '. ' || CASE WHEN kind = 'patent' THEN 'номер не указан' ELSE 'источник не указан' END || '. ' || trim(snippet)) AS line FROM n""",
+)
+def _(spark, d):
+    authors = F.when(F.col("kind") == "scholar", F.array(F.lit("Doe"), F.lit("Roe"))).otherwise(F.array().cast("array<string>"))
+    src = _external(spark, d).select("*", F.lit(0).alias("qset_id"), authors.alias("authors"), F.lit("").alias("venue"))
+    return R.external_context(src).drop("qset_id")
+
+
+@query("query_history", "", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50")
+def _(spark, d):
+    return R.query_history(table(spark, d, "events")).select("user_id", "event_id", "rank")
