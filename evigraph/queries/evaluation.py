@@ -1 +1,122 @@
-"""Registered queries."""
+"""Evaluation queries (E rows of the inventory)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evigraph.operators import evaluation as E
+from evigraph.queries.curation import SIM
+from evigraph.queries.registry import query
+from evigraph.queries.retrieval import DISCOVERY, answered, discovered
+from evigraph.queries.text import name_words_sql
+from evigraph.sources.star import edges, table, view
+
+PAIRED = """pr AS (SELECT l_orderkey AS file_id, (l_partkey * 8 + l_linenumber) * 1000 + l_suppkey % 1000 AS pos, 'p' || CAST(l_linenumber AS VARCHAR) AS tmp_id, CASE WHEN l_linenumber = 6 THEN 'process' ELSE 'material' END AS type,
+      CASE WHEN l_linenumber % 3 = 0 THEN p_name || 's' WHEN l_linenumber = 7 THEN p_type ELSE upper(p_name) END AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+    gd AS (SELECT l_orderkey AS file_id, (l_suppkey * 8 + l_linenumber) * 100000 + l_partkey AS pos, 'g' || CAST(l_linenumber AS VARCHAR) AS tmp_id, 'material' AS type, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 10)"""
+ENTITY_COUNTS = f"""{PAIRED},
+    p AS MATERIALIZED (SELECT *, {name_words_sql('name')} AS w, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS k FROM pr),
+    g AS MATERIALIZED (SELECT *, {name_words_sql('name')} AS w, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS k FROM gd),
+    cd AS MATERIALIZED (SELECT * FROM (SELECT p.file_id, p.k, g.k AS gk, {SIM.format(wb='p.w', wa='g.w')} AS score FROM p JOIN g ON g.file_id = p.file_id AND g.type = p.type) WHERE score >= 0.5),
+    np AS MATERIALIZED (SELECT file_id, count(*) AS n FROM p GROUP BY 1),
+    wk AS (SELECT file_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used FROM np
+      UNION ALL SELECT file_id, k, CASE WHEN gk IS NULL THEN used ELSE list_append(used, gk) END FROM (
+        SELECT wk.file_id, wk.k + 1 AS k, used, gk, row_number() OVER (PARTITION BY wk.file_id ORDER BY score DESC NULLS LAST, gk) AS r
+        FROM wk JOIN np ON np.file_id = wk.file_id AND wk.k < np.n LEFT JOIN cd ON cd.file_id = wk.file_id AND cd.k = wk.k + 1 AND NOT list_contains(used, gk)) WHERE r = 1),
+    mt AS (SELECT file_id, max(len(used)) AS tp FROM wk GROUP BY 1),
+    ec AS (SELECT f.file_id, coalesce(tp, 0) AS tp, coalesce(np.n, 0) - coalesce(tp, 0) AS fp, coalesce(ng.n, 0) - coalesce(tp, 0) AS fn
+      FROM (SELECT file_id FROM pr UNION SELECT file_id FROM gd) f LEFT JOIN mt USING (file_id) LEFT JOIN np USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS n FROM g GROUP BY 1) ng USING (file_id))"""
+
+
+def paired(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = F.col("l_linenumber").cast("long")
+    pred = j.select(
+        F.col("l_orderkey").alias("file_id"), ((F.col("l_partkey") * 8 + line) * 1000 + F.col("l_suppkey") % 1000).alias("pos"),
+        F.concat(F.lit("p"), line.cast("string")).alias("tmp_id"), F.when(line == 6, "process").otherwise("material").alias("type"),
+        F.when(line % 3 == 0, F.concat("p_name", F.lit("s"))).when(line == 7, F.col("p_type")).otherwise(F.upper("p_name")).alias("name"),
+    )
+    gold = j.filter("l_quantity > 10").select(
+        F.col("l_orderkey").alias("file_id"), ((F.col("l_suppkey") * 8 + line) * 100000 + F.col("l_partkey")).alias("pos"),
+        F.concat(F.lit("g"), line.cast("string")).alias("tmp_id"), F.lit("material").alias("type"), F.col("p_name").alias("name"),
+    )
+    return pred, gold
+
+
+@query("entity_match", "", f"WITH {ENTITY_COUNTS} SELECT file_id, tp, fp, fn FROM ec")
+def _(spark, d):
+    return E.entity_matches(*paired(spark, d)).drop("id_map")
+
+
+PREDICTED = """pd AS (SELECT source, target, CASE WHEN length(target) % 11 = 0 THEN 'ON_EQUIPMENT' ELSE type END AS type FROM g_edges WHERE type <> 'CONDUCTED_BY' UNION ALL SELECT source, target, type FROM g_edges WHERE type = 'MEMBER_OF'),
+    pu AS (SELECT split_part(source, '_', 1) AS file_id, source, target, type, count(*) AS n FROM pd GROUP BY ALL),
+    gu AS (SELECT DISTINCT split_part(source, '_', 1) AS file_id, source, target, type FROM g_edges),
+    rc AS (SELECT coalesce(pu.file_id, gu.file_id) AS file_id, count(*) FILTER (WHERE pu.n IS NOT NULL AND gu.source IS NOT NULL) AS tp,
+      CAST(coalesce(sum(n), 0) AS BIGINT) - count(*) FILTER (WHERE pu.n IS NOT NULL AND gu.source IS NOT NULL) AS fp,
+      count(gu.source) - count(*) FILTER (WHERE pu.n IS NOT NULL AND gu.source IS NOT NULL) AS fn
+      FROM pu FULL JOIN gu ON gu.source = pu.source AND gu.target = pu.target AND gu.type = pu.type GROUP BY 1)"""
+
+
+def relation_counts(spark, d):
+    g = edges(spark, d)
+    kept = g.filter("type <> 'CONDUCTED_BY'").withColumn("type", F.when(F.length("target") % 11 == 0, "ON_EQUIPMENT").otherwise(F.col("type")))
+    pred = kept.unionByName(g.filter("type = 'MEMBER_OF'"))
+    tag = lambda df: df.withColumn("file_id", F.split_part("source", F.lit("_"), F.lit(1)))
+    return E.relation_matches(tag(pred), tag(g))
+
+
+@query("relation_match", "g_edges", f"WITH {PREDICTED} SELECT * FROM rc")
+def _(spark, d):
+    return relation_counts(spark, d)
+
+
+PRF = "coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall"
+
+
+@query(
+    "prf", "g_edges",
+    f"""WITH {PREDICTED}, a AS (SELECT file_id, tp, fp, fn FROM rc UNION ALL SELECT 'total', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM rc),
+    m AS (SELECT *, {PRF} FROM a)
+    SELECT file_id, tp, fp, fn, round(precision, 4) AS precision, round(recall, 4) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 4) AS f1 FROM m""",
+)
+def _(spark, d):
+    counts = relation_counts(spark, d)
+    both = E.prf(counts).unionByName(E.micro_totals(counts).withColumn("file_id", F.lit("total")))
+    return both.select("file_id", "tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    "eval_summary", "eval_items",
+    """SELECT count(*) AS items, count(rating) AS rated, round(avg(rating), 4) AS mean_rating, count(*) FILTER (WHERE retrieval_ok) AS retrieval_ok_true, count(retrieval_ok) AS retrieval_ok_n,
+    count(*) FILTER (WHERE factual_ok) AS factual_ok_true, count(factual_ok) AS factual_ok_n, count(*) FILTER (WHERE citation_ok) AS citation_ok_true, count(citation_ok) AS citation_ok_n FROM eval_items""",
+)
+def _(spark, d):
+    return E.eval_summary(view(spark, d, "eval_items")).withColumn("mean_rating", F.round("mean_rating", 4))
+
+
+MARK = "CASE WHEN {c} THEN '✓' WHEN NOT {c} THEN '✗' ELSE '·' END AS {c}_mark"
+
+
+@query(
+    "eval_item_status", "eval_items",
+    f"SELECT item_id, rating, {MARK.format(c='retrieval_ok')}, {MARK.format(c='factual_ok')}, {MARK.format(c='citation_ok')}, rating IS NOT NULL AND trim(gold_answer) <> '' AS done FROM eval_items",
+)
+def _(spark, d):
+    return E.eval_item_status(view(spark, d, "eval_items"))
+
+
+@query("eval_template")
+def _(spark, d):
+    asked, parts = answered(spark, d)
+    return E.eval_template(asked, parts["answers"].join(parts["confidence"], "qset_id"))
+
+
+@query(
+    "retrieval_hit_rate", "query_vectors chunk_vectors",
+    f"""WITH {DISCOVERY}, ex AS (SELECT CAST(label AS BIGINT) AS qset_id, CAST(floor(min(vec_id) / 4) AS BIGINT) AS doc_id FROM embeddings GROUP BY label),
+    h AS (SELECT qset_id, CASE WHEN (qset_id, doc_id) IN (SELECT (qset_id, doc_id) FROM ds) THEN 1 ELSE 0 END AS hit FROM ex)
+    SELECT count(*) AS questions, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 4) AS rate FROM h""",
+)
+def _(spark, d):
+    expected = table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("qset_id")).agg(F.floor(F.min("vec_id") / 4).alias("doc_id"))
+    return E.retrieval_hit_rate(expected, discovered(spark, d)).withColumn("rate", F.round("rate", 4))
