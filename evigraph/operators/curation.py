@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from evigraph.functions.skew import previous_value, spread_join
 from evigraph.functions.text import safe_slug, stable_id
@@ -256,7 +257,7 @@ def review_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(joined, ["a_id", "b_id"], "left_anti")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's matching-blocks ratio, its popular-element rule for long texts included."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

@@ -33,7 +33,7 @@ def hash_embed(text: Column, dim: int = DIMENSION) -> Column:
         flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in tokens]) if sizes.sum() else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(tokens)), sizes)
         counts = np.bincount(row * dim + np.abs(flat) - 1, weights=np.sign(flat), minlength=len(tokens) * dim)
-        dense = counts.reshape(len(tokens), dim)
+        dense = counts.reshape(len(tokens), dim).astype(np.float64)
         norm = np.linalg.norm(dense, axis=1, keepdims=True)
         return pd.Series(list(np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.functions.skew import spread_join
-from evigraph.functions.text import STOPWORDS, let, match_key, normalize_subscripts, word_match
+from evigraph.functions.text import PLAIN_DIGITS, STOPWORDS, SUBSCRIPT_DIGITS, let, match_key, normalize_subscripts, word_match
 from evigraph.model import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM, CONFIDENCE_NONE
 from evigraph.session import cut_lineage
 
@@ -113,7 +113,7 @@ def score_chunks(
     n_blocks = int(-(-values // matrix_limit))
     n_tiles = int(-(-base.count() // tile_rows)) or 1
     tiled = base.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(n_tiles)).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    blocked = asked.select("*", F.pmod(F.xxhash64("qset_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).cast("long").alias("tile"))
+    blocked = asked.select("*", F.pmod(F.xxhash64("qset_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))).alias("tile"))
 
     def grouped(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -148,7 +148,7 @@ def query_signals(queries: DataFrame) -> DataFrame:
     patterns = [f"{NUMBER}\\s*(?:{UNITS})", FORMULAS, CODE, BIG_NUMBER]
     found = F.concat(
         *[F.regexp_extract_all(norm, F.lit(flags + p), F.lit(0)) for p in patterns],
-        F.transform(F.regexp_extract_all("text", F.lit("(?U)" + ACRONYM), F.lit(0)), lambda a: normalize_subscripts(a)),
+        F.transform(F.regexp_extract_all(F.translate("text", SUBSCRIPT_DIGITS, PLAIN_DIGITS), F.lit("(?U)" + ACRONYM), F.lit(0)), lambda a: F.lower(a)),
     )
     hard_tokens = F.transform(found, lambda t: F.trim(t))
     words = F.regexp_extract_all(F.lower("text"), F.lit("[А-Яа-яЁёA-Za-z-]+"), F.lit(0))

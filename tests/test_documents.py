@@ -57,9 +57,9 @@ def test_sections(spark):
     ]
     df = spark.createDataFrame([(1, [(i, f"para {i}", k, t) for i, k, t in lines]), (2, [(i, f"para {i}", "paragraph", f"text {i}.") for i in range(4)])], f"doc_id long, blocks {BLOCK}")
     got = [(r.doc_id, r.section, r.ord) for r in D.key_sections(df).orderBy("doc_id", "section", "ord").collect()]
-    assert got == [(1, "abstract", 2), (1, "abstract", 3), (1, "methods", 7), (2, "abstract", 0), (2, "abstract", 1), (2, "abstract", 2),
-                   (2, "conclusion", 1), (2, "conclusion", 2), (2, "conclusion", 3)] or ("methods", 11) in [(s, o) for _, s, o in got]
-    assert (1, "abstract", 4) not in got and (1, "abstract", 5) not in got and (1, "methods", 9) not in got
+    # "Abstract." is a heading by kind; block 3 crosses 6000 characters and is the last one kept.
+    assert got == [(1, "abstract", 2), (1, "abstract", 3), (1, "methods", 7), (1, "methods", 11), (2, "abstract", 0), (2, "abstract", 1),
+                   (2, "abstract", 2), (2, "conclusion", 1), (2, "conclusion", 2), (2, "conclusion", 3)]
 
 
 def test_paragraph_blocks_count_empty_ones(spark):
