@@ -33,16 +33,23 @@ def spread_join(
     share: float = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
     fanout: int = FANOUT,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Equi join whose hot keys are spread over ``fanout`` tasks.
 
     Rows of ``big`` under a hot key get a salt from their own content, rows of ``other`` under
     that key are repeated once per salt. Each pair still meets exactly once, so inner, left,
-    left_semi and left_anti joins are exact. Cold keys are not touched.
+    left_semi and left_anti joins are exact. Cold keys are not touched. ``hot`` reuses a list taken
+    before (at most ``MAX_HOT`` hashes); otherwise it is a scalar subquery of the join itself.
     """
-    hot = hot_key_hashes(big, keys, share, min_rows).scalar()
+    if hot is None:
+        listed = hot_key_hashes(big, keys, share, min_rows).scalar()
+    elif hot:
+        listed = F.array(*[F.lit(h).cast("long") for h in hot])
+    else:
+        return big.join(other, keys, how)
     content = [c for c in big.columns if big.schema[c].dataType.typeName() != "map"]
-    is_hot = F.array_contains(hot, F.xxhash64(*keys))
+    is_hot = F.array_contains(listed, F.xxhash64(*keys))
     salted = big.withColumn(
         "_salt", F.when(is_hot, F.pmod(F.xxhash64(*content), F.lit(fanout))).otherwise(F.lit(0)).cast("int")
     )

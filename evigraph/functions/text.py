@@ -90,19 +90,25 @@ def name_similarity(a: Column, b: Column) -> Column:
     )
 
 
+LATIN = "[A-Za-z]"
+CYRILLIC = "[А-Яа-яЁё]"
+
+
 def script_language(text: Column) -> Column:
-    """Language class by the share of Cyrillic letters."""
+    """Language class by the share of Cyrillic letters; only texts in both scripts are counted."""
+    scripts = F.struct(text.rlike(LATIN).alias("latin"), text.rlike(CYRILLIC).alias("cyrillic"))
     counts = F.struct(
         F.length(F.regexp_replace(text, "[^A-Za-zА-Яа-яЁё]+", "")).alias("letters"),
         F.length(F.regexp_replace(text, "[^А-Яа-яЁё]+", "")).alias("cyrillic"),
     )
+    share = let(
+        counts,
+        lambda n: F.when(n["cyrillic"] / n["letters"] > 0.7, "ru").when(n["cyrillic"] / n["letters"] < 0.15, "en").otherwise("mixed"),
+    )
     return F.when(F.trim(text) == "", "unknown").otherwise(
         let(
-            counts,
-            lambda n: F.when(n["letters"] == 0, "other")
-            .when(n["cyrillic"] / n["letters"] > 0.7, "ru")
-            .when(n["cyrillic"] / n["letters"] < 0.15, "en")
-            .otherwise("mixed"),
+            scripts,
+            lambda s: F.when(s["latin"] & s["cyrillic"], share).when(s["latin"], "en").when(s["cyrillic"], "ru").otherwise("other"),
         )
     )
 

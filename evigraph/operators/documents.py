@@ -2,6 +2,9 @@
 
 A document is one row. Its blocks are an array column of that row, so splitting, section finding
 and chunk packing are projections: no shuffle, and documents are processed in parallel.
+
+Costly arrays are exploded in the outer form and null rows dropped afterwards: for the inner form
+the optimizer adds a test for emptiness that computes the whole array a second time.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ def gather_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def text_blocks(docs: DataFrame, separator: str = PARAGRAPH_SEPARATOR) -> DataFrame:
-    return with_blocks(docs.select("doc_id", "text"), separator).select("doc_id", F.inline("blocks"))
+    return with_blocks(docs.select("doc_id", "text"), separator).select("doc_id", F.inline_outer("blocks")).filter(F.col("ord").isNotNull())
 
 
 def is_heading(kind: Column, text: Column) -> Column:
@@ -161,8 +164,8 @@ def with_sections(docs: DataFrame, patterns: dict[str, str] | None = None, max_c
 
 def key_sections(docs: DataFrame, patterns: dict[str, str] | None = None, max_chars: int = SECTION_CHARS) -> DataFrame:
     """One row per (document, section, block)."""
-    cut = with_sections(docs, patterns, max_chars).select("doc_id", F.inline("sections"))
-    return cut.select("doc_id", "section", F.inline("blocks"))
+    cut = with_sections(docs, patterns, max_chars).select("doc_id", F.inline_outer("sections"))
+    return cut.select("doc_id", "section", F.inline_outer("blocks")).filter(F.col("ord").isNotNull())
 
 
 def chunk_array(blocks: Column, max_chars: int = CHUNK_CHARS) -> Column:
@@ -232,7 +235,8 @@ def chunk_documents(docs: DataFrame, max_chars: int = CHUNK_CHARS, blocks: str =
     return (
         docs.select("doc_id", with_language(F.col(blocks)).alias("b"))
         .select("doc_id", chunk_array(F.col("b"), max_chars).alias("c"))
-        .select("doc_id", F.inline("c"))
+        .select("doc_id", F.inline_outer("c"))
+        .filter(F.col("chunk_no").isNotNull())
         .select(
             F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("chunk_no").cast("string")).alias("chunk_id"),
             "doc_id", "chunk_no", "kind", "language", "locations", "text", F.sha2("text", 256).alias("text_hash"),
@@ -363,7 +367,8 @@ def index_block_selection(docs: DataFrame, mode: str, folder: str = ARTICLES_FOL
     else:
         raise ValueError("mode is 'index' or 'activate'")
     picked = F.when(in_folder(F.col("path"), folder), chosen).otherwise(F.col("blocks"))
-    return cut.select("doc_id", F.posexplode(picked).alias("pos", "b")).select("doc_id", F.col("pos").cast("long").alias("pos"), "b.*")
+    rows = cut.select("doc_id", F.posexplode_outer(picked).alias("pos", "b")).filter(F.col("pos").isNotNull())
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "b.*")
 
 
 def content_hash(docs: DataFrame) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.skew import spread_join
+from evigraph.functions.skew import hot_key_hashes, spread_join
 from evigraph.model import ANCHOR_RELATION, CHAIN_STEPS, entity_type_table, relation_type_table
 from evigraph.session import cut_lineage
 
@@ -54,6 +54,7 @@ def khop_neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth:
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1..{MAX_DEPTH}")
     ends = both_directions(edges)
+    hubs = hot_key_hashes(ends, ["node_id"]).first()["hot"]  # one pass for all hops
     frontier = (
         seeds.select("seed_id").distinct()
         .join(nodes.select(F.col("id").alias("seed_id")), "seed_id", "left_semi")
@@ -62,7 +63,7 @@ def khop_neighbors(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth:
     reached = frontier
     for hop in range(1, depth + 1):
         step = (
-            spread_join(ends, frontier.select("seed_id", "node_id"), ["node_id"])
+            spread_join(ends, frontier.select("seed_id", "node_id"), ["node_id"], hot=hubs)
             .select("seed_id", F.col("neighbor_id").alias("node_id"))
             .distinct()
         )

@@ -51,7 +51,7 @@ def test_chunks_follow_the_packing_rule(spark):
 
 def test_sections(spark):
     lines = [
-        (0, "paragraph", "Front matter that ends with a dot."), (1, "heading", "Abstract."), (2, "paragraph", "A" * 5999 + "."), (3, "paragraph", "B" * 50 + "."),
+        (0, "paragraph", "Front matter that ends with a dot."), (1, "heading", "Abstract."), (2, "paragraph", "A" * 5998 + "."), (3, "paragraph", "B" * 50 + "."),
         (4, "paragraph", "never kept."), (5, "table", "x | y"), (6, "paragraph", "МЕТОДЫ и материалы"), (7, "table", "a | b"), (8, "paragraph", "Some other heading"),
         (9, "paragraph", "outside."), (10, "paragraph", "Методика"), (11, "paragraph", "more methods."),
     ]
