@@ -48,7 +48,7 @@ def spread_join(
         listed = F.array(*[F.lit(h).cast("long") for h in hot])
     else:
         return big.join(other, keys, how)
-    content = [c for c in big.columns if big.schema[c].dataType.typeName() != "map"]
+    content = [c for c in big.columns if big.schema[c].dataType.typeName() not in ("map", "struct", "array")]
     is_hot = F.array_contains(listed, F.xxhash64(*keys))
     salted = big.withColumn(
         "_salt", F.when(is_hot, F.pmod(F.xxhash64(*content), F.lit(fanout))).otherwise(F.lit(0)).cast("int")

@@ -253,7 +253,9 @@ def review_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     left = keyed.select("mat", "proc", F.col("exp").alias("exp_a"), F.col("concl").alias("a_id"))
     right = keyed.select("mat", "proc", F.col("exp").alias("exp_b"), F.col("concl").alias("b_id"))
     pairs = spread_join(left, right, ["mat", "proc"]).filter((F.col("a_id") < F.col("b_id")) & (F.col("exp_a") != F.col("exp_b"))).select("a_id", "b_id").distinct()
-    joined = edges.select(F.least("source", "target").alias("a_id"), F.greatest("source", "target").alias("b_id"))
+    # An edge between two conclusions starts at one of them.
+    between = edges.join(produced.select(F.col("concl").alias("source")).distinct(), "source", "left_semi")
+    joined = between.select(F.least("source", "target").alias("a_id"), F.greatest("source", "target").alias("b_id"))
     return pairs.join(joined, ["a_id", "b_id"], "left_anti")
 
 
@@ -263,6 +265,10 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+# Kept from being copied into pushed-down filters, where each pair would be compared again.
+sequence_ratio = sequence_ratio.asNondeterministic()
+
+
 def needs_review_pairs(nodes: DataFrame, edges: DataFrame, similarity_range: tuple[float, float] = REVIEW_RANGE) -> DataFrame:
     """NEEDS_REVIEW edges: candidates whose texts are moderately similar.
 
@@ -277,7 +283,12 @@ def needs_review_pairs(nodes: DataFrame, edges: DataFrame, similarity_range: tup
         .join(names.select(F.col("id").alias("b_id"), F.col("name").alias("b_name")), "b_id")
         .filter(2 * F.least(F.length("a_name"), F.length("b_name")) >= low * (F.length("a_name") + F.length("b_name")))
     )
-    rated = pairs.select("a_name", "b_name").distinct().withColumn("ratio", sequence_ratio("a_name", "b_name")).filter(F.col("ratio").between(low, high))
+    # Comparing texts costs far more than their bytes suggest: a fixed number of tasks keeps all cores busy.
+    spark = nodes.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = cut_lineage(pairs)
+    distinct = pairs.select("a_name", "b_name").distinct().repartition(tasks, "a_name", "b_name")
+    rated = distinct.withColumn("ratio", sequence_ratio("a_name", "b_name")).filter(F.col("ratio").between(low, high))
     return pairs.join(rated, ["a_name", "b_name"]).select(
         F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("NEEDS_REVIEW").alias("type"),
         F.round("ratio", 2).alias("similarity"), F.lit(REVIEW_NOTE).alias("note"),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.skew import spread_join
+from evigraph.functions.skew import broadcast_checked, spread_join
 from evigraph.model import ANCHOR_RELATION
 from evigraph.operators import graph as G
 from evigraph.operators import questions as Q
@@ -49,7 +49,9 @@ class SearchSettings:
 
 def understand(questions: DataFrame, settings: SearchSettings) -> DataFrame:
     """questions + expanded text, country, cutoff and numeric predicates; one projection."""
-    expanded = questions.select("question_id", Q.expand_synonyms(F.col("text"), settings.synonyms).alias("text"))
+    # Parsing costs far more than its bytes suggest, so small question tables are spread out first.
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    expanded = questions.repartition(cores, "question_id").select("question_id", Q.expand_synonyms(F.col("text"), settings.synonyms).alias("text"))
     return expanded.select(
         "question_id", "text",
         Q.detect_country(F.col("text"), settings.countries).alias("country"),
@@ -99,7 +101,7 @@ def matched_experiments(nodes: DataFrame, edges: DataFrame, asked: DataFrame, an
     named = edges.filter(F.col("type").isin(*ANCHOR_RELATION.values())).join(
         targets.select(F.col("id").alias("target"), F.lower("name").alias("lname")), "target"
     ).select(F.col("source").alias("experiment_id"), F.col("type").alias("relation"), "lname")
-    named = cut_lineage(named.distinct())
+    named = cut_lineage(named)
 
     sizes = named.groupBy("relation", "lname").agg(F.count(F.lit(1)).alias("n"))
     slots = picked.select("question_id", "relation").distinct()
@@ -109,13 +111,16 @@ def matched_experiments(nodes: DataFrame, edges: DataFrame, asked: DataFrame, an
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "relation")).alias("d"), F.count(F.lit(1)).alias("n_slots"))
         .select("question_id", F.col("d.relation").alias("relation"), "n_slots")
     )
-    entry = accepted.join(driver, ["question_id", "relation"])
-    walked = spread_join(named, entry, ["relation", "lname"]).select("question_id", "experiment_id", "n_slots", F.col("relation").alias("driver")).distinct()
-    checked = (
-        walked.alias("w").join(asked.alias("q"), "question_id")
-        .join(exps.alias("e"), F.col("w.experiment_id") == F.col("e.id"))
-        .filter(_passes("e", "q")).select("question_id", "experiment_id", "n_slots", "driver")
+    # Attributes go along with the edge names and constraints with the entry rows, so a candidate
+    # is tested the moment it is formed and only survivors are shuffled again.
+    entry = accepted.join(driver, ["question_id", "relation"]).join(
+        asked.select("question_id", F.struct("country", "cutoff", "filters").alias("q")), "question_id"
     )
+    walk = named.join(exps.select(F.col("id").alias("experiment_id"), F.struct("country", "date", "attrs_num").alias("e")), "experiment_id")
+    entry, small = broadcast_checked(cut_lineage(entry))
+    met = walk.join(entry, ["relation", "lname"]) if small else spread_join(walk, entry, ["relation", "lname"])
+    checked = met.filter(_passes("e", "q")).select("question_id", "experiment_id", "n_slots", F.col("relation").alias("driver")).distinct()
+    checked = cut_lineage(checked)
     single = checked.filter("n_slots = 1").select("question_id", "experiment_id")
     several = (
         checked.filter("n_slots > 1")
