@@ -129,9 +129,23 @@ def matched_experiments(nodes: DataFrame, edges: DataFrame, asked: DataFrame, an
         .groupBy("question_id", "experiment_id", "n_slots").agg(F.count_distinct("relation").alias("n"))
         .filter("n = n_slots - 1").select("question_id", "experiment_id")
     )
-    # Only numbers or a country given: the constraints themselves are the join.
-    free = asked.join(slots.select("question_id").distinct(), "question_id", "left_anti").filter(F.col("country").isNotNull() | (F.size("filters") > 0))
-    unanchored = exps.alias("e").join(free.alias("q"), _passes("e", "q")).select("question_id", F.col("e.id").alias("experiment_id"))
+    # Only numbers or a country given: an equi join on the country, or on the attribute names.
+    free = asked.join(slots.select("question_id").distinct(), "question_id", "left_anti")
+    e = F.struct("country", "date", "attrs_num").alias("e")
+    q = F.struct("country", "cutoff", "filters").alias("q")
+    placed = exps.select(F.col("id").alias("experiment_id"), F.upper("country").alias("place"), e)
+    asked_place = free.filter(F.col("country").isNotNull()).select("question_id", F.upper("country").alias("place"), q)
+    by_country = spread_join(placed, asked_place, ["place"]).filter(_passes("e", "q")).select("question_id", "experiment_id")
+    by_number = free.filter(F.col("country").isNull() & (F.size("filters") > 0))
+    predicates = by_number.select(F.col("question_id").alias("set_id"), F.explode("filters").alias("p")).select("set_id", "p.*").distinct()
+    in_range = G.numeric_range_filter(exps, predicates).select(F.col("set_id").alias("question_id"), F.col("id").alias("experiment_id"))
+    numbered = (
+        in_range.join(by_number.select("question_id", "cutoff"), "question_id")
+        .join(exps.select(F.col("id").alias("experiment_id"), "date"), "experiment_id")
+        .filter(F.col("cutoff").isNull() | (F.coalesce("date", F.lit("")) >= F.col("cutoff")))
+        .select("question_id", "experiment_id")
+    )
+    unanchored = by_country.unionByName(numbered)
     return single.unionByName(several).unionByName(unanchored)
 
 

@@ -87,12 +87,12 @@ def test_contradictions_chains_review(spark, graph):
 
 def test_structured_questions(spark, graph):
     n, e = graph
-    q = spark.createDataFrame([(1, "what about nickel matte"), (2, "nothing here"), (3, "heap leaching of oxide ore"), (4, "copper matte and smelting, foreign works"), (5, "foreign works only")], "question_id long, text string")
-    parts = S.hybrid_search(n, e, q, S.SearchSettings(datetime.date(2026, 1, 1), synonyms={"zz": "yy"}))
+    q = spark.createDataFrame([(1, "what about nickel matte"), (2, "nothing here"), (3, "heap leaching of oxide ore"), (4, "copper matte and smelting, foreign works"), (5, "foreign works only"), (6, "flow <= 3"), (7, "flow 2-5")], "question_id long, text string")
+    parts = S.hybrid_search(n, e, q, S.SearchSettings(datetime.date(2026, 1, 1), synonyms={"zz": "yy"}, attr_terms=(("flow", "flow_m3_h"),)))
     got = {}
     for r in parts["matched"].collect():
         got.setdefault(r.question_id, []).append(r.experiment_id)
-    assert {k: sorted(v) for k, v in got.items()} == {1: ["e1", "e2"], 4: ["e5"], 5: ["e2", "e5"]}
+    assert {k: sorted(v) for k, v in got.items()} == {1: ["e1", "e2"], 4: ["e5"], 5: ["e2", "e5"], 6: ["e1"], 7: ["e1", "e2"]}
     gaps = {r.question_id: r.gap for r in parts["gaps"].collect()}
     assert gaps == {2: None, 3: "материал=oxide ore, процесс=heap leaching"}
     lines = [r.line for r in parts["lines"].filter("question_id = 1").orderBy("part", "key").collect()]
