@@ -13,6 +13,7 @@ MODULES = (
     "url_reputation",
     "language_id",
     "secret_scan",
+    "bpe",
 )
 
 
