@@ -14,6 +14,7 @@ MODULES = (
     "language_id",
     "secret_scan",
     "bpe",
+    "toxicity",
 )
 
 
