@@ -15,6 +15,7 @@ MODULES = (
     "secret_scan",
     "bpe",
     "toxicity",
+    "jaccard_join",
 )
 
 

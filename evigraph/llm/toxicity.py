@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigraph.llm import words as wd
 from evigraph.llm.tables import fold_of, read
@@ -157,7 +158,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
     if name in docs.columns:
         raise ValueError(f"documents already have a column {name}")
-    return docs.mapInArrow(score, docs.schema.add(name, "double"))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
