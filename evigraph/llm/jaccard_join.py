@@ -57,10 +57,9 @@ def need(size: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * size // 100)
 
 
-def piece_sets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+def piece_sets(texts: pa.Array, hasher: wd.WordHasher) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct shingles of each text, and a hash of each set (0 if empty)."""
-    found, starts = wd.plain_words(texts)
-    grams, begin = wd.ngram_hashes(wd.hashed(found), starts, N, short=True)
+    grams, begin = wd.ngram_hashes(*hasher(texts), N, short=True)
     grams &= np.uint64((1 << 63) - 1)  # so that they are longs as well
     sets, names = [], np.zeros(len(begin) - 1, np.int64)
     for i, (x, y) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
@@ -100,8 +99,9 @@ def frequent_and_costs(docs: DataFrame) -> DataFrame:
     """(shingle, n) of shingles frequent in a piece, and rows of counts for the boundary (negative sizes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = wd.WordHasher()
         for batch in wd.pieces(batches):
-            sets = list(distinct_sets(*piece_sets(batch.column("text"))))
+            sets = list(distinct_sets(*piece_sets(batch.column("text"), hasher)))
             if not sets:
                 continue
             shingles, n = np.unique(np.concatenate([s for _, s in sets]), return_counts=True)
@@ -168,9 +168,9 @@ def index_pieces(docs: DataFrame, table: np.ndarray, boundary: int, segments: in
     shift = np.uint64(63 - SLOTS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = shared.value
+        level_of, hasher = shared.value, wd.WordHasher()
         for batch in wd.pieces(batches):
-            sets, names = piece_sets(batch.column("text"))
+            sets, names = piece_sets(batch.column("text"), hasher)
             ids = batch.column("doc_id")
             seg = (wd.mix(ids.fill_null(0).to_numpy().astype(np.uint64)) % np.uint64(segments)).astype(np.int32)
             nothing = pa.nulls(len(ids), pa.binary())
@@ -346,11 +346,12 @@ def exact_links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = wd.WordHasher()
         for batch in wd.pieces(batches):
             p = batch.column("p").to_numpy()
             asked = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
             batch = batch.filter(pa.array(asked))
-            found, _ = piece_sets(batch.column("text"))
+            found, _ = piece_sets(batch.column("text"), hasher)
             data = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(data, pa.binary())], ["d", "data"])
 

@@ -16,6 +16,7 @@ MODULES = (
     "bpe",
     "toxicity",
     "jaccard_join",
+    "decontamination",
 )
 
 

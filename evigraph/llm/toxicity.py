@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its lower-cased words, hashed to ``DIM`` places. The score is
+A text is the set of its lower-cased words (between ASCII marks and white space), hashed to ``DIM`` places. The score is
 ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)``: beside the additive weights, every pair of terms has an
 interaction through the ``K`` factors of its terms, so an insult beside a mention of a group weighs
 otherwise than either of them alone.
@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,10 +46,10 @@ class Machine(NamedTuple):
     factors: np.ndarray
 
 
-def term_sets(texts: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+def term_sets(texts: pa.Array, hasher: wd.WordHasher, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places of each text's terms, and where each text's start."""
-    found, starts = wd.letter_words(texts)
-    place = (wd.hashed(found) % np.uint64(dim)).astype(np.int64)
+    found, starts = hasher(pc.utf8_lower(texts))
+    place = (found % np.uint64(dim)).astype(np.int64)
     keys = np.sort(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * dim + place)
     keys = keys[np.diff(keys, prepend=-1) != 0]
     return keys % dim, np.searchsorted(keys, np.arange(len(starts)) * dim)
@@ -67,8 +68,9 @@ def sampled_terms(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = S
     )
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = wd.WordHasher(wd.MARKS)
         for batch in wd.pieces(batches):
-            places, starts = term_sets(batch.column("text"))
+            places, starts = term_sets(batch.column("text"), hasher)
             lists = pa.ListArray.from_arrays(starts.astype(np.int32), places.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "terms"])
 
@@ -151,8 +153,9 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     name = "toxic_score"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = wd.WordHasher(wd.MARKS)
         for batch in wd.pieces(batches):
-            z = margins(shared.value, *term_sets(batch.column("text")))
+            z = margins(shared.value, *term_sets(batch.column("text"), hasher))
             columns = [*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, name])
 

@@ -25,38 +25,63 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             begin = end
 
 
-def _kept(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
-    """Non-empty strings of all lists, and where each list starts (one more entry than lists)."""
-    flat = lists.flatten()
-    filled = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    starts = np.concatenate([[0], np.cumsum(filled)])[offsets]
-    return (flat if filled.all() else flat.filter(pa.array(filled))), starts
+# Bytes outside words: ASCII white space, or everything ASCII but letters and digits.
+WHITE = frozenset([0x20, *range(0x09, 0x0E)])
+MARKS = frozenset(b for b in range(0x80) if not chr(b).isalnum())
+BASE = 0x9E3779B97F4A7C55
+BLOCK = 1 << 20
 
 
-def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words between ASCII white space, A-Z lower-cased; null texts have none."""
-    return _kept(pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
-
-
-def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Lower-cased runs of letters; null texts have none."""
-    lowered = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+", " ")
-    return _kept(pc.split_pattern(lowered, " "))
-
-
-def hash_words(words: pa.Array) -> np.ndarray:
-    """64-bit hash of each word; give it distinct ones."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+class WordHasher:
+    """64-bit hashes of the words of texts, straight from the bytes of an Arrow array.
 
+    A word's hash is a polynomial over a random value of each byte (A-Z as a-z), computed for all words at
+    once from prefix sums. Words of one text never reach into the next.
+    """
 
-def hashed(words: pa.Array) -> np.ndarray:
-    """64-bit hash per word, hashing each distinct one once."""
-    coded = words.dictionary_encode()
-    return hash_words(coded.dictionary)[coded.indices.to_numpy()]
+    def __init__(self, outside: frozenset[int] = WHITE):
+        self.inside = np.array([b not in outside for b in range(256)])
+        values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        values[65:91] = values[97:123]
+        self.values = values
+        self._powers(BLOCK)
+
+    def _powers(self, n: int) -> None:
+        def table(base: int) -> np.ndarray:
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            return np.cumprod(steps)
+
+        self.up, self.down = table(BASE), table(pow(BASE, -1, 1 << 64))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's start (one more entry than texts); null texts have none."""
+        texts = pc.fill_null(texts, "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = texts.buffers()[2]
+        data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        inside = self.inside[data]
+        filled = np.diff(offsets) > 0
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        heads, tails = offsets[:-1][filled], offsets[1:][filled] - 1
+        first[heads], last[tails] = inside[heads], inside[tails]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        out = np.zeros(len(begin), np.uint64)
+        at = 0
+        while at < len(begin):
+            upto = max(at + 1, int(np.searchsorted(end, begin[at] + BLOCK, side="right")))
+            low, high = int(begin[at]), int(end[upto - 1])
+            if high - low > len(self.up):
+                self._powers(high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(self.values[data[low:high]] * self.up[: high - low], out=sums[1:])
+            a, b = begin[at:upto] - low, end[at:upto] - low
+            out[at:upto] = (sums[b] - sums[a]) * self.down[a] + (b - a).astype(np.uint64)
+            at = upto
+        return mix(out), np.searchsorted(begin, offsets)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
