@@ -271,12 +271,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) ->
 
     With ``digests``: doc_id, n_tokens, and the sha256 of the ids and of the text decoded from them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load_tables(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(load_tables(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        encoder = PairIndexEncoder(shared.value)
+        encoder = PairIndexEncoder(BpeTables(*shared.value))
         for batch in batches:
             doc_ids = batch.column("doc_id")
             texts = batch.column("text").to_pylist()
@@ -297,10 +297,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) ->
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and text for every row of ``encoded`` (doc_id, ids). Null ids decode to an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_tables(vocabulary))
+    shared = encoded.sparkSession.sparkContext.broadcast(tuple(load_tables(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PairIndexEncoder(shared.value)
+        encoder = PairIndexEncoder(BpeTables(*shared.value))
         for batch in batches:
             rows = [r or [] for r in batch.column("ids").to_pylist()]
             starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)

@@ -17,6 +17,7 @@ MODULES = (
     "toxicity",
     "jaccard_join",
     "decontamination",
+    "lm_scoring",
 )
 
 

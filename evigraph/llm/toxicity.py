@@ -143,19 +143,24 @@ def margins(machine: Machine, places: np.ndarray, starts: np.ndarray) -> np.ndar
     return z
 
 
+def machine_of(parts: tuple) -> Machine:
+    """Broadcasts hold plain tuples: workers need no copy of this package."""
+    return Machine(*parts)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit(sampled_terms(docs, labels))
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     """All columns of ``docs`` (with text) and toxic_score (double); rows keep their order within tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(machine))
     name = "toxic_score"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = wd.WordHasher(wd.MARKS)
         for batch in wd.pieces(batches):
-            z = margins(shared.value, *term_sets(batch.column("text"), hasher))
+            z = margins(machine_of(shared.value), *term_sets(batch.column("text"), hasher))
             columns = [*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, name])
 
