@@ -41,10 +41,10 @@ from evigraph.session import cut_lineage
 N = 5
 PERCENT = 80
 SLOTS = 1 << 22       # places of the order table: one byte each
-LOCAL_DF = 4          # a shingle in so many sets of a task's piece is reported as frequent
+LOCAL_DF = 3          # a shingle in so many sets of a task's piece is reported as frequent
 SHORT_LIST = 32       # lists up to this length yield all their pairs of fitting size
 PIVOTS = 2            # of each size class in longer lists
-BLOCK = 512           # members of a block of a long list
+BLOCK = 4096          # members of a block of a long list
 SMALL = 64            # sizes up to which subsets are considered at all
 SIZE_STEP = 1.05      # ratio between size classes
 MAP_WORDS = 1 << 20   # 64-bit words of the map of documents whose sets are fetched
@@ -314,6 +314,39 @@ def reaches(common: int, size_a: int, size_b: int, percent: int = PERCENT) -> bo
     return 100 * common >= percent * (size_a + size_b - common)
 
 
+def map_place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(MAP_WORDS * 64))
+
+
+def map_of(ids: DataFrame) -> np.ndarray:
+    """Bit map of the ids in column ``d``; at most MAP_WORDS rows come to the driver.
+
+    It only spares rows that nothing asks for, before a shuffle; the join behind it decides.
+    """
+    words = (
+        ids.distinct().withColumn("p", map_place("d"))
+        .groupBy(F.shiftright("p", 6).cast("int").alias("w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    ).toArrow()
+    bits = np.zeros(MAP_WORDS, np.int64)
+    if words.num_rows:
+        bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
+def asked_signatures(signatures: DataFrame, ids: DataFrame) -> DataFrame:
+    """Signatures (a, n, data) of the sets in column ``d`` of ``ids``, and a few others."""
+    shared = signatures.sparkSession.sparkContext.broadcast(map_of(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            asked = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+            yield batch.filter(pa.array(asked)).select(["a", "n", "data"])
+
+    return signatures.select("a", "n", "data", map_place("a").alias("p")).mapInArrow(run, "a long, n int, data binary")
+
+
 def bounded_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs (a, b) whose bound allows the threshold."""
 
@@ -323,8 +356,11 @@ def bounded_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
             keep = [reaches(min(na, nb), na, nb) and reaches(min(overlap_bound(x, y), na, nb), na, nb) for x, y, na, nb in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
+    pairs = cut_lineage(pairs)
+    asked = asked_signatures(signatures, pairs.select(F.explode(F.array("a", "b")).alias("d")))
+
     def side(x: str) -> DataFrame:
-        return signatures.select(F.col("a").alias(x), F.col("n").alias("n" + x), F.col("data").alias("s" + x))
+        return asked.select(F.col("a").alias(x), F.col("n").alias("n" + x), F.col("data").alias("s" + x))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -333,17 +369,8 @@ def exact_links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFra
     """Pairs (a, b) of sets that link, by the whole sets. ``chosen``: set (a) and the document that stands for it."""
     named = pairs.join(chosen.select("a", F.col("doc_id").alias("da")), "a").join(chosen.select(F.col("a").alias("b"), F.col("doc_id").alias("db")), "b")
     named = cut_lineage(named.select("a", "b", "da", "db"))
-    place = F.pmod(F.xxhash64("d"), F.lit(MAP_WORDS * 64))
-    # At most MAP_WORDS rows. It only spares documents that no pair asks for; the join below decides.
-    words = (
-        named.select(F.explode(F.array("da", "db")).alias("d")).distinct().withColumn("p", place)
-        .groupBy(F.shiftright("p", 6).cast("int").alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    ).toArrow()
-    bits = np.zeros(MAP_WORDS, np.int64)
-    if words.num_rows:
-        bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    place = map_place("d")
+    shared = docs.sparkSession.sparkContext.broadcast(map_of(named.select(F.explode(F.array("da", "db")).alias("d"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = wd.WordHasher()
@@ -380,7 +407,8 @@ def cross_pairs(lists: DataFrame, labels: DataFrame, signatures: DataFrame) -> D
     at = labelled.join(mixed.select("list", blocks.alias("blocks")), "list").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     spread = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = spread.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "a", "label")
-    full = grouped.join(signatures.select("a", "n", "data"), "a")
+    grouped = cut_lineage(grouped)
+    full = grouped.join(asked_signatures(signatures, grouped.select(F.col("a").alias("d"))), "a")
 
     def run(table: pa.Table) -> pa.Table:
         a, label, n, mine = (table.column(c).to_numpy() for c in ("a", "label", "n", "mine"))
