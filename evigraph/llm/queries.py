@@ -18,6 +18,7 @@ MODULES = (
     "jaccard_join",
     "decontamination",
     "lm_scoring",
+    "vector_search",
 )
 
 
