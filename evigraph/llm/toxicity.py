@@ -152,10 +152,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit(sampled_terms(docs, labels))
 
 
-def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of ``docs`` (with text) and toxic_score (double); rows keep their order within tasks."""
+def score_documents(docs: DataFrame, machine: Machine, name: str = "toxic_score") -> DataFrame:
+    """All columns of ``docs`` (with text) and the score in column ``name``, which replaces one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(machine))
-    name = "toxic_score"
+    kept = [f for f in docs.schema.fields if f.name != name]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = wd.WordHasher(wd.MARKS)
@@ -164,9 +164,16 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
             columns = [*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, name])
 
-    if name in docs.columns:
-        raise ValueError(f"documents already have a column {name}")
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.select([f.name for f in kept]).mapInArrow(score, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; learned from the labels of ``docs``."""
+    machine = train(docs, learning_labels(labels))
+    name = "toxic_score"
+    while name in docs.columns:
+        name += "_"
+    return score_documents(docs, machine, name).filter(F.col(name) < threshold).select(docs.columns)
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
