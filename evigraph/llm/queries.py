@@ -19,6 +19,7 @@ MODULES = (
     "decontamination",
     "lm_scoring",
     "vector_search",
+    "html_extraction",
 )
 
 
