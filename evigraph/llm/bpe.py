@@ -279,9 +279,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) ->
         encoder = PairIndexEncoder(BpeTables(*shared.value))
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            texts = batch.column("text").to_pylist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in chunks(texts):
-                ids, starts = encoder.encode([t or "" for t in texts[a:b]])
+                ids, starts = encoder.encode(texts[a:b])
                 if not digests:
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.ListArray.from_arrays(starts.astype(np.int32), ids)], ["doc_id", "ids"])
                     continue
