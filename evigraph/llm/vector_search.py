@@ -40,7 +40,7 @@ SAMPLE = 32_768
 ROUNDS, BALANCE = 12, 0.1
 DEGREE, BEAM = 24, 48    # of the graph; candidates kept while searching it
 COPIES, SPREAD = 4, 1.25  # lists a vector may be in, and how much farther their centroids may be
-LEAST, MOST, RATIO = 20, 32, 1.25
+LEAST, MOST, RATIO = 16, 28, 1.15
 BLOCK, QUERY_BLOCK = 4096, 2048
 BATCH = 512
 
