@@ -365,12 +365,9 @@ def bounded_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def exact_links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that link, by the whole sets. ``chosen``: set (a) and the document that stands for it."""
-    named = pairs.join(chosen.select("a", F.col("doc_id").alias("da")), "a").join(chosen.select(F.col("a").alias("b"), F.col("doc_id").alias("db")), "b")
-    named = cut_lineage(named.select("a", "b", "da", "db"))
-    place = map_place("d")
-    shared = docs.sparkSession.sparkContext.broadcast(map_of(named.select(F.explode(F.array("da", "db")).alias("d"))))
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """d, data: the sets (six bytes a shingle) of the documents in column ``d`` of ``ids``, and of a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(map_of(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = wd.WordHasher()
@@ -382,16 +379,28 @@ def exact_links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFra
             data = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(data, pa.binary())], ["d", "data"])
 
+    source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("d"), "text").withColumn("p", map_place("d"))
+    return source.select("d", "p", "text").mapInArrow(sets, "d long, data binary").groupBy("d").agg(F.min("data").alias("data"))
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(-1, 6) @ PLACES
+
+
+def exact_links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that link, by the whole sets. ``chosen``: set (a) and the document that stands for it."""
+    named = pairs.join(chosen.select("a", F.col("doc_id").alias("da")), "a").join(chosen.select(F.col("a").alias("b"), F.col("doc_id").alias("db")), "b")
+    named = cut_lineage(named.select("a", "b", "da", "db"))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                both = np.sort(np.frombuffer(x + y, np.uint8).reshape(-1, 6) @ PLACES)
+                both = np.sort(numbers(x + y))
                 keep.append(reaches(int((both[1:] == both[:-1]).sum()), len(x) // 6, len(y) // 6))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("d"), "text").withColumn("p", place)
-    whole = source.select("d", "p", "text").mapInArrow(sets, "d long, data binary").groupBy("d").agg(F.min("data").alias("data"))
+    whole = whole_sets(docs, named.select(F.explode(F.array("da", "db")).alias("d")))
     first = named.join(whole.select(F.col("d").alias("db"), F.col("data").alias("sb")), "db")
     return first.join(whole.select(F.col("d").alias("da"), F.col("data").alias("sa")), "da").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
@@ -399,38 +408,63 @@ def exact_links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFra
 PLACES = (256 ** np.arange(6)).astype(np.int64)
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of long lists whose members lie in different components and whose bound allows the threshold."""
+def cross_links(lists: DataFrame, labels: DataFrame, signatures: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of long lists that lie in different components: enough of them to join those.
+
+    First the signatures tell which members have any possible partner; only their whole sets are fetched.
+    """
     labelled = lists.join(labels.select(F.col("node").alias("a"), "label"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     mixed = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low < high")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     at = labelled.join(mixed.select("list", blocks.alias("blocks")), "list").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     spread = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = spread.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "a", "label")
-    grouped = cut_lineage(grouped)
-    full = grouped.join(asked_signatures(signatures, grouped.select(F.col("a").alias("d"))), "a")
+    grouped = cut_lineage(spread.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "a", "label"))
+    signed = grouped.join(asked_signatures(signatures, grouped.select(F.col("a").alias("d"))), "a")
 
-    def run(table: pa.Table) -> pa.Table:
-        a, label, n, mine = (table.column(c).to_numpy() for c in ("a", "label", "n", "mine"))
+    def partners(table: pa.Table) -> pa.Table:
+        label, n = (table.column(c).to_numpy() for c in ("label", "n"))
         data = table.column("data").to_pylist()
-        diagonal = table.column("i")[0] == table.column("j")[0]
-        low = mine == mine.min()
-        left = np.arange(len(a)) if diagonal else np.flatnonzero(low)
-        right = left if diagonal else np.flatnonzero(~low)
-        found: list[tuple[int, int]] = []
         bins = min(len(d) for d in data)
         folded = np.stack([np.frombuffer(d, np.uint8).astype(np.int32).reshape(-1, bins).sum(0) for d in data])
-        for k in left.tolist():
-            fit = right[(label[right] != label[k]) & ((a[right] > a[k]) if diagonal else True)]
-            small, large = np.minimum(n[fit], n[k]), np.maximum(n[fit], n[k])
-            fit = fit[100 * small >= PERCENT * large]
+        some = np.zeros(len(n), bool)
+        for k in range(len(n)):
+            fit = np.flatnonzero((label != label[k]) & ~(some & some[k]))
+            fit = fit[fit > k]
+            fit = fit[100 * np.minimum(n[fit], n[k]) >= PERCENT * np.maximum(n[fit], n[k])]
             common = np.minimum(np.minimum(folded[fit], folded[k]).sum(1), np.minimum(n[fit], n[k]))
             fit = fit[100 * common >= PERCENT * (n[fit] + n[k] - common)]
-            found += [(int(a[k]), int(a[m])) for m in fit if reaches(overlap_bound(data[k], data[m]), int(n[k]), int(n[m]))]
+            some[fit] = True
+            some[k] |= len(fit) > 0
+        return table.filter(pa.array(some)).select(["list", "i", "j", "a", "label"])
+
+    asked = signed.groupBy("list", "i", "j").applyInArrow(partners, "list long, i int, j int, a long, label long")
+    asked = cut_lineage(asked.join(chosen.select("a", F.col("doc_id").alias("d")), "a"))
+    full = asked.join(whole_sets(docs, asked.select("d")), "d").select("list", "i", "j", "a", "label", "data")
+
+    def link(table: pa.Table) -> pa.Table:
+        a, label = table.column("a").to_numpy(), table.column("label").to_numpy().copy()
+        sets = [numbers(d) for d in table.column("data").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        found: list[tuple[int, int]] = []
+        for k in range(len(a)):
+            mark = np.zeros(int(flat.max()) + 1, np.int32)
+            mark[flat[starts[k] : starts[k] + size[k]]] = 1
+            fit = np.flatnonzero((label != label[k]) & (100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])))
+            fit = fit[fit > k]
+            if not len(fit):
+                continue
+            cuts = np.cumsum(size[fit]) - size[fit]
+            common = np.add.reduceat(mark[flat[np.repeat(starts[fit] - cuts, size[fit]) + np.arange(cuts[-1] + size[fit][-1])]], cuts)
+            for m in fit[100 * common >= PERCENT * (size[fit] + size[k] - common)]:
+                if label[m] != label[k]:  # joins two components: later links between them say nothing new
+                    label[label == label[m]] = label[k]
+                    found.append((min(a[k], a[m]), max(a[k], a[m])))
         pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table([pa.array(pairs.min(1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(1) if len(pairs) else pairs[:, 1])], ["a", "b"])
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return full.groupBy("list", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return full.groupBy("list", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -448,8 +482,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     chosen = named.groupBy(F.col("node").alias("a")).agg(F.min("doc_id").alias("doc_id"))
     links = cut_lineage(exact_links(bounded_pairs(pairs, signatures), chosen, docs))
     if not lists.isEmpty():
-        more = cut_lineage(cross_pairs(lists, components(links), signatures))
-        links = links.union(cut_lineage(exact_links(more, chosen, docs)))
+        links = links.union(cut_lineage(cross_links(lists, components(links), signatures, chosen, docs)))
     # Rows that repeat an id join the classes of their texts.
     same = named.select("doc_id", "node").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     twins = named.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
