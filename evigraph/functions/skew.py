@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 64          # length of the hot key list, whatever the data
-HOT_SHARE = 0.01      # a key is hot from this share of the rows ...
-HOT_MIN_ROWS = 500_000  # ... and this many rows
+HOT_SHARE = 0.01  # a key is hot from this share of the rows; no more than 1 / HOT_SHARE keys can be
 FANOUT = 64
 
 
-def hot_key_hashes(df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """One row: hashes of the heaviest keys, at most ``MAX_HOT`` of them.
+def hot_key_hashes(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
+    """One row: hashes of the heaviest keys, at most ``1 / share`` of them.
 
     A mergeable heavy-hitter sketch: one small state per map task, no shuffle of the keys. The list
     only steers salting, so an estimate is enough: joins below are exact for any list.
     """
     key = "xxhash64(" + ", ".join(f"`{k}`" for k in keys) + ")"
+    most = min(1000, int(1 / max(share, 1e-3)))
     return df.agg(
         F.expr(
-            f"transform(filter(approx_top_k({key}, {MAX_HOT}, 4096), x -> x.count >= {int(min_rows)} and x.count >= {share} * count(1)), x -> x.item)"
+            f"transform(filter(approx_top_k({key}, {most}, {64 * most}), x -> x.count >= {share} * count(1)), x -> x.item)"
         ).alias("hot")
     )
 
@@ -31,7 +30,6 @@ def spread_join(
     keys: list[str],
     how: str = "inner",
     share: float = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
     fanout: int = FANOUT,
     hot: list[int] | None = None,
 ) -> DataFrame:
@@ -40,10 +38,10 @@ def spread_join(
     Rows of ``big`` under a hot key get a salt from their own content, rows of ``other`` under
     that key are repeated once per salt. Each pair still meets exactly once, so inner, left,
     left_semi and left_anti joins are exact. Cold keys are not touched. ``hot`` reuses a list taken
-    before (at most ``MAX_HOT`` hashes); otherwise it is a scalar subquery of the join itself.
+    before; otherwise it is a scalar subquery of the join itself.
     """
     if hot is None:
-        listed = hot_key_hashes(big, keys, share, min_rows).scalar()
+        listed = hot_key_hashes(big, keys, share).scalar()
     elif hot:
         listed = F.array(*[F.lit(h).cast("long") for h in hot])
     else:
@@ -74,21 +72,3 @@ def previous_value(df: DataFrame, keys: list[str], order: Column, bucket: Column
         "_p", F.lag(F.struct(F.col(value).alias("v"))).over(W.partitionBy(*keys, "_b").orderBy("_o"))
     )
     return inside.join(entering, [*keys, "_b"]).withColumn(name, F.coalesce("_p", "_in")["v"]).drop("_b", "_o", "_p", "_in")
-
-
-BROADCAST_LIMIT_BYTES = 64 << 20
-
-
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if its measured size is within ``limit``; tells which it is.
-
-    The size is one map-side combined aggregate. Callers join the other case by shuffle.
-    """
-    widths = [
-        F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(16) for c, t in df.dtypes
-    ]
-    size = F.lit(32)
-    for w in widths:
-        size = size + w
-    measured = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0
-    return (F.broadcast(df), True) if measured <= limit else (df, False)

@@ -188,6 +188,23 @@ def parse_biblio_line(line: Column) -> Column:
     return F.struct(authors.alias("authors"), venue.alias("venue"), extract_year(line).alias("year"))
 
 
+def typed_attributes(json: Column, not_facts: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Numbers and texts of a JSON object by their JSON type: "12" and "NaN" are texts, 12 is a number.
+
+    Numbers under ``not_facts`` are kept as texts; nulls leave; nested values stay JSON text.
+    """
+    bag = F.coalesce(F.from_json(json, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+    def is_fact(k: Column, v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & ~k.isin(*not_facts)
+
+    filled = F.map_filter(bag, lambda k, v: v.isNotNull() & (F.schema_of_variant(v) != "VOID"))
+    numbers = F.transform_values(F.map_filter(filled, is_fact), lambda k, v: v.cast("double"))
+    texts = F.transform_values(F.map_filter(filled, lambda k, v: ~is_fact(k, v)), lambda k, v: v.cast("string"))
+    return numbers, texts
+
+
 def safe_slug(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, "[^a-zA-Z0-9_]", "_"), 1, 48)
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.text import outer_object
+from evigraph.functions.text import outer_object, typed_attributes
 from evigraph.model import ENTITY_TYPES, NON_FACT_KEYS, RELATION_TYPES
 
 # Elements stay JSON text until they are exploded: one bad element cannot spoil its neighbours.
@@ -33,8 +33,7 @@ def parse_extractions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         return one.filter(ok).withColumn("ord", F.col("ord").cast("long"))
 
     bag = F.coalesce(F.from_json("e.attrs", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    num = F.map_filter(F.transform_values(bag, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull() & ~k.isin(*NON_FACT_KEYS))
-    txt = F.map_filter(bag, lambda k, v: v.isNotNull() & v.try_cast("double").isNull())
+    num, txt = typed_attributes(F.col("e.attrs"), NON_FACT_KEYS)
     entities = rows("entities", _ENTITY, ENTITY_TYPES, ("tmp_id", "name")).select(
         "doc_id", "chunk_no", "ord", "e.tmp_id", "e.type", "e.name", num.alias("attrs_num"), txt.alias("attrs_str")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,14 +48,14 @@ NOT_FOUND_ANSWER = (
     "Загрузите релевантный файл или добавьте ссылку на статью, чтобы получить ответ по нему."
 )
 EXCERPTS_HEAD = "Показаны наиболее релевантные фрагменты источников:"
-EXTERNAL_HEADS = {"scholar": "Научные публикации (Google Scholar):", "patent": "Патенты (Google Patents):"}
 EXTERNAL_DEFAULTS = {
     "scholar": ("S", "авторы не указаны", "год не указан", "источник не указан"),
     "patent": ("P", "изобретатели не указаны", "год не указан", "номер не указан"),
 }
 
-MATRIX_LIMIT = 4_000_000  # query values held by one Python worker
-TILE_ROWS = 50_000
+QUERY_VALUES = 4_000_000  # values of the questions in one block
+TILE_ROWS = 50_000  # chunks in one tile
+CELLS = 8_000_000  # scores held at a time
 SCORE_DIGITS = 9  # equal vectors tie exactly, whatever the summation order
 
 
@@ -82,35 +80,20 @@ def _score_batch(ids: pd.DataFrame, vectors: pd.Series, qsets: np.ndarray, matri
 
 def score_chunks(
     chunks: DataFrame, queries: DataFrame, min_score: float, pool: int | None = None,
-    matrix_limit: int = MATRIX_LIMIT, tile_rows: int = TILE_ROWS,
+    query_values: int = QUERY_VALUES, tile_rows: int = TILE_ROWS, cells: int = CELLS,
 ) -> DataFrame:
     """(qset_id, chunk_id, doc_id, score): maximum dot product over the formulations of a set.
 
-    A batch of questions whose measured size fits one worker is sent to all of them, and chunks are
-    scored where they lie: one matrix product per Arrow batch, no shuffle. A larger batch is cut
-    into blocks and meets tiles of the chunks in a grouped join of bounded groups.
+    Questions are cut into blocks and chunks into tiles that meet in a grouped join of bounded groups.
+    Inside a group scores are computed for so many chunks at a time that ``cells`` of them are held.
+    Without ``pool`` this is a threshold join: every pair at or above ``min_score`` is returned.
     """
     ids = ["chunk_id", "doc_id"]
     base = chunks.select(*ids, "embedding")
-    asked = queries.select("qset_id", "embedding")
+    asked = cut_lineage(queries.select("qset_id", "embedding"))
     schema = f"qset_id {asked.schema['qset_id'].dataType.simpleString()}, " + ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in ids) + ", score double"
-    asked = cut_lineage(asked)
     values = asked.agg(F.sum(F.size("embedding").cast("long")).alias("n")).first()["n"] or 0
-    if values <= matrix_limit:
-        held = asked.toPandas().sort_values("qset_id", kind="stable")
-        if held.empty:
-            return chunks.sparkSession.createDataFrame([], schema)
-        packed = chunks.sparkSession.sparkContext.broadcast((held["qset_id"].to_numpy(), np.stack(held["embedding"].to_numpy()).astype(np.float64)))
-
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qsets, matrix = packed.value
-            for batch in batches:
-                if len(batch):
-                    yield _score_batch(batch[ids], batch["embedding"], qsets, matrix, min_score, pool)
-
-        return base.mapInPandas(local, schema)
-
-    n_blocks = int(-(-values // matrix_limit))
+    n_blocks = int(-(-values // query_values)) or 1
     n_tiles = int(-(-base.count() // tile_rows)) or 1
     tiled = base.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(n_tiles)).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     blocked = asked.select("*", F.pmod(F.xxhash64("qset_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))).alias("tile"))
@@ -119,7 +102,10 @@ def score_chunks(
         if left.empty or right.empty:
             return pd.DataFrame({"qset_id": [], "chunk_id": [], "doc_id": [], "score": []})
         right = right.sort_values("qset_id", kind="stable")
-        return _score_batch(left[ids], left["embedding"], right["qset_id"].to_numpy(), np.stack(right["embedding"].to_numpy()).astype(np.float64), min_score, pool)
+        qsets, matrix = right["qset_id"].to_numpy(), np.stack(right["embedding"].to_numpy()).astype(np.float64)
+        step = max(1, cells // len(matrix))
+        parts = (left.iloc[i : i + step] for i in range(0, len(left), step))
+        return pd.concat([_score_batch(p[ids], p["embedding"], qsets, matrix, min_score, pool) for p in parts])
 
     return tiled.groupBy("tile", "block").cogroup(blocked.groupBy("tile", "block")).applyInPandas(grouped, schema)
 
@@ -166,8 +152,10 @@ def query_signals(queries: DataFrame) -> DataFrame:
 def lexical_score(hard: Column, terms: Column, text: Column) -> Column:
     """Share of literal tokens and of words found in a text, 0.7 to 0.3 if both are asked."""
     norm = normalize_subscripts(text)
-    glued = F.regexp_replace(norm, r"\s+", "")
-    hard_share = let(glued, lambda g: F.size(F.filter(hard, lambda h: F.contains(g, h)))) / F.nullif(F.size(hard), F.lit(0))
+    # Literal tokens are looked for in the text as it is spaced; only a number and its unit may stand apart.
+    closed = F.regexp_replace(norm, rf"(\d)\s+({UNITS})", "$1$2")
+    both = F.concat_ws("\n", norm, closed)
+    hard_share = let(both, lambda g: F.size(F.filter(hard, lambda h: F.contains(g, h)))) / F.nullif(F.size(hard), F.lit(0))
     words = F.array_distinct(F.regexp_extract_all(norm, F.lit("[а-яёa-z-]+"), F.lit(0)))
     # Only words that share their first three characters with a term can match it.
     near = let(F.transform(terms, match_key), lambda keys: F.filter(words, lambda w: F.array_contains(keys, match_key(w))))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.skew import broadcast_checked, spread_join
+from evigraph.functions.skew import spread_join
 from evigraph.model import ANCHOR_RELATION
 from evigraph.operators import graph as G
 from evigraph.operators import questions as Q
@@ -117,8 +117,7 @@ def matched_experiments(nodes: DataFrame, edges: DataFrame, asked: DataFrame, an
         asked.select("question_id", F.struct("country", "cutoff", "filters").alias("q")), "question_id"
     )
     walk = named.join(exps.select(F.col("id").alias("experiment_id"), F.struct("country", "date", "attrs_num").alias("e")), "experiment_id")
-    entry, small = broadcast_checked(cut_lineage(entry))
-    met = walk.join(entry, ["relation", "lname"]) if small else spread_join(walk, entry, ["relation", "lname"])
+    met = spread_join(walk, cut_lineage(entry), ["relation", "lname"])
     checked = met.filter(_passes("e", "q")).select("question_id", "experiment_id", "n_slots", F.col("relation").alias("driver")).distinct()
     checked = cut_lineage(checked)
     single = checked.filter("n_slots = 1").select("question_id", "experiment_id")

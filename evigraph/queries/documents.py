@@ -8,7 +8,6 @@ from evigraph.operators import documents as D
 from evigraph.operators.tagging import dictionary_tagger, gazetteer, highlight_entities
 from evigraph.queries.checksql import chunks_sql, sections_sql
 from evigraph.queries.registry import query
-from evigraph.session import spread_small_input
 from evigraph.sources.html import html_blocks, title_from_url
 from evigraph.sources.star import documents, files, nodes, table
 
@@ -40,7 +39,7 @@ def _(spark, d):
 
 @query("html_blocks")
 def _(spark, d):
-    return html_blocks(spread_small_input(table(spark, d, "pages"), "page_id"))
+    return html_blocks(table(spark, d, "pages"))
 
 
 @query("html_title_fallback", "", "SELECT page_id, CASE WHEN t <> '' THEN t ELSE url END AS title FROM (SELECT page_id, url, trim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS t FROM pages)")

@@ -168,7 +168,7 @@ def embed_sql(name: str, src: str, key: str) -> str:
 
 def lexical_sql(pool: str) -> str:
     return f"""{pool}_x AS (SELECT p.*, lower(translate(c.text, '{'₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹'}', '01234567890123456789')) AS norm, hard, terms FROM {pool} p JOIN chunks c USING (chunk_id) JOIN sg USING (qset_id)),
-    {pool}_w AS (SELECT *, len(list_filter(hard, lambda h: contains(regexp_replace(norm, '\\s+', '', 'g'), h))) / nullif(len(hard), 0) AS hs, list_distinct(regexp_extract_all(norm, '[а-яёa-z-]+')) AS ws FROM {pool}_x),
+    {pool}_w AS (SELECT *, len(list_filter(hard, lambda h: contains(norm || chr(10) || regexp_replace(norm, '(\\d)\\s+({R.UNITS})', '\\1\\2', 'g'), h))) / nullif(len(hard), 0) AS hs, list_distinct(regexp_extract_all(norm, '[а-яёa-z-]+')) AS ws FROM {pool}_x),
     {pool}_l AS (SELECT *, len(list_filter(terms, lambda t: len(list_filter(ws, lambda w: left(w, 3) = left(t, 3) AND {MATCH.format(a='t', b='w')})) > 0)) / nullif(len(terms), 0) AS ts FROM {pool}_w),
     {pool}_r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY boosted DESC, score DESC, chunk_id) AS rank FROM (
       SELECT qset_id, chunk_id, doc_id, score, round(score + 0.15 * coalesce(hs * 0.7 + ts * 0.3, hs, ts, 0), 9) AS boosted FROM {pool}_l))"""

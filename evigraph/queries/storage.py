@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from evigraph.operators.graph import valid_edges
 from evigraph.queries.registry import query
-from evigraph.sources.files import corpus_files
 from evigraph.sources.nodelink import graph_merge_edges, graph_merge_nodes, graph_snapshot
 from evigraph.sources.star import edges, nodes, table
 
@@ -21,11 +20,6 @@ def _(spark, d):
     return edges(spark, d)
 
 
-@query("corpus_files")
-def _(spark, d):
-    return corpus_files(spark, d, ["parquet"]).select("path", "size")
-
-
 def _snapshot(spark, d):
     """Incoming: everything but topics, every CONTRADICTS renamed to a type outside the vocabulary.
     Serving: labelled publications, those of quality 1 own uploaded chunks and one is renamed."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +30,14 @@ def build_session(app: str = "evigraph", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; invent one only for a local master."""
+    """Use the cluster's shared checkpoint folder; invent one only where the driver is the only machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+    elif re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -46,12 +47,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows live in shared storage, so a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Repartition rows for CPU-heavy projections when the files are fewer than the cores.
-
-    A table of many files already has a task per split and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

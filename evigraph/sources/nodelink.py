@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.functions.text import typed_attributes
 from evigraph.operators.graph import valid_edges
 
 _FIXED = ("id", "type", "name", "date", "country", "confidence", "source_file", "sources")
@@ -12,12 +13,7 @@ _FIXED = ("id", "type", "name", "date", "country", "confidence", "source_file",
 
 def _attributes(row: str) -> tuple[Column, Column]:
     """Open attributes of a JSON object, numbers apart from texts."""
-    bag = F.from_json(F.col(row), "map<string,string>")
-    nums = F.map_filter(
-        F.transform_values(bag, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull() & ~k.isin(*_FIXED)
-    )
-    strs = F.map_filter(bag, lambda k, v: v.try_cast("double").isNull() & v.isNotNull() & ~k.isin(*_FIXED))
-    return nums, strs
+    return tuple(F.map_filter(m, lambda k, v: ~k.isin(*_FIXED)) for m in typed_attributes(F.col(row)))
 
 
 def load_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

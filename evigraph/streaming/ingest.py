@@ -2,56 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.operators.documents import chunk_documents, content_hash, with_blocks
+from evigraph.session import cut_lineage
 
-WATERMARK = "30 days"
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def stored_hashes(spark: SparkSession, out: str) -> DataFrame | None:
-    """Content hashes of documents ingested before, read from the output itself."""
-    try:
-        return spark.read.parquet(f"{out}/documents")
-    except AnalysisException:  # nothing ingested yet
-        return None
+    """Content hashes of documents ingested before, read from the output itself; None before the first batch."""
+    return spark.read.parquet(f"{out}/documents") if folder_exists(spark, f"{out}/documents") else None
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     """Chunk the new contents of one micro-batch and append them.
 
-    The folder of a batch is overwritten, so a batch that is retried after a failure is written
-    once. Contents stored by other batches are anti-joined: this covers copies older than the
-    watermark.
+    Of copies inside the batch the earliest stays; contents stored by other batches are anti-joined,
+    however old the documents are. The folder of a batch is overwritten, so a batch that is retried
+    after a failure is written once.
     """
     known = stored_hashes(batch.sparkSession, out)
-    fresh = batch
+    one = F.min_by(F.struct(*batch.columns), F.struct("added_at", "doc_id"))
+    fresh = batch.groupBy("content_hash").agg(one.alias("d")).select("d.*")
     if known is not None:
-        fresh = batch.join(known.filter(F.col("batch_id") != batch_id).select("content_hash"), "content_hash", "left_anti")
-    fresh.select("doc_id", "content_hash", "added_at").write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
-    # Read back what was written: chunks and documents of a batch agree even if the source is read twice.
-    kept = batch.sparkSession.read.parquet(f"{out}/documents/batch_id={batch_id}").select("doc_id", "content_hash")
-    chunks = chunk_documents(fresh.join(kept.select("doc_id"), "doc_id", "left_semi")).join(kept, "doc_id")
+        fresh = fresh.join(known.filter(F.col("batch_id") != batch_id).select("content_hash"), "content_hash", "left_anti")
+    # Computed once: documents and chunks agree even if the source is read twice.
+    fresh = cut_lineage(fresh)
+    kept = fresh.select("doc_id", "content_hash", "added_at")
+    chunks = chunk_documents(fresh).join(kept.select("doc_id", "content_hash"), "doc_id")
     chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch_id={batch_id}")
+    kept.write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
 
 
-def stream_ingest(docs: DataFrame, out: str, checkpoint: str, separator: str, watermark: str = WATERMARK) -> DataFrame:
+def stream_ingest(docs: DataFrame, out: str, checkpoint: str, separator: str) -> DataFrame:
     """Run all available input of a stream ``docs(doc_id, text, added_at)``; returns the chunk table.
 
-    Copies inside the watermark are dropped by state keyed on the content hash.
+    No watermark: a document is new if its content is not stored yet, whenever it was added.
     """
     spark = docs.sparkSession
     blocks = with_blocks(docs, separator)
-    unique = (
-        blocks.withColumn("content_hash", content_hash(blocks))
-        .withWatermark("added_at", watermark)
-        .dropDuplicatesWithinWatermark(["content_hash"])
-    )
+    hashed = blocks.withColumn("content_hash", content_hash(blocks))
     run = (
-        unique.writeStream.foreachBatch(lambda df, i: ingest_batch(df, i, out))
+        hashed.writeStream.foreachBatch(lambda df, i: ingest_batch(df, i, out))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     run.awaitTermination()
@@ -59,7 +57,11 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, separator: str, wa
 
 
 def daily_counts_stream(events: DataFrame, out: str, checkpoint: str, watermark: str = "2 days") -> DataFrame:
-    """(day, event_type, n) kept up to date by a stream of events; returns the current table."""
+    """(day, event_type, n) kept up to date by a stream of events; returns the current table.
+
+    ``watermark`` is how late an event may be: state older than that is closed and later events of it are
+    not counted. Choose it to cover the latest event that must count.
+    """
     daily = (
         events.withWatermark("ts", watermark)
         .groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))

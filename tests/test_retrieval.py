@@ -19,11 +19,19 @@ def test_both_scoring_ways_agree_with_numpy(spark):
     asked = spark.createDataFrame([(i // 3, i % 3, v) for i, v in enumerate(q)], "qset_id long, variant_no long, embedding array<double>")
     scores = (np.array(c) @ np.array(q).T).reshape(300, 3, 3).max(axis=2)
     want = {(s, i) for s in range(3) for i in sorted(range(300), key=lambda i: (-round(scores[i, s], 9), i))[:20] if scores[i, s] >= 0.2}
-    for limit in (R.MATRIX_LIMIT, 20):
-        pool = R.top_scores(R.score_chunks(chunks, asked, 0.2, 20, matrix_limit=limit, tile_rows=70), 20)
+    for values, tile, cells in ((R.QUERY_VALUES, R.TILE_ROWS, R.CELLS), (20, 70, 100)):
+        pool = R.top_scores(R.score_chunks(chunks, asked, 0.2, 20, query_values=values, tile_rows=tile, cells=cells), 20)
         assert {(r.qset_id, r.chunk_id) for r in pool.collect()} == want
 
 
+def test_literal_tokens_are_looked_for_in_the_spaced_text(spark):
+    rows = [("go south today", 0.0), ("made of os and pt", 1.0), ("at 300 мг/л", 1.0), ("at 300мг/л", 1.0), ("300 apples, мг/л", 0.0), (None, 0.0)]
+    hard = {0: "os", 1: "os", 2: "300мг/л", 3: "300мг/л", 4: "300мг/л", 5: "os"}
+    df = spark.createDataFrame([(t, [hard[i]], []) for i, (t, _) in enumerate(rows)], "t string, hard array<string>, terms array<string>")
+    got = {r.t: r.s for r in df.select("t", R.lexical_score(F.col("hard"), F.col("terms"), F.col("t")).alias("s")).collect()}
+    assert got == dict(rows)
+
+
 def test_signals_and_boost(spark):
     q = spark.createDataFrame([(1, 0, "Очистка SO₂ при 300  мг/л на ПВП, код AD-171")], "qset_id long, variant_no long, text string")
     s = R.query_signals(q).first()
@@ -79,7 +87,7 @@ def test_stream_drops_copies_within_and_across_runs(spark, tmp_path):
 
     def run():
         docs = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
-        return stream_ingest(docs, out, str(tmp_path / "state"), "\n", "1 hour")
+        return stream_ingest(docs, out, str(tmp_path / "state"), "\n")
 
     land([(1, "one\ntwo", "2024-01-01 00:00:00"), (2, "one\ntwo", "2024-01-01 00:10:00"), (3, "three", "2024-01-01 00:20:00")], "a")
     assert run().select("content_hash").distinct().count() == 2
