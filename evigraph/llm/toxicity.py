@@ -34,7 +34,7 @@ from evigraph.llm.tables import fold_of, read
 DIM = 1 << 18
 K = 8
 SAMPLE = {1: 4_000, 0: 12_000}  # documents a class
-MIN_SHARE, MIN_DOCS = 0.001, 3
+MIN_SHARE, MIN_DOCS = 0.0025, 5
 EPOCHS, BATCH, RATE, L2 = 10, 256, 0.1, 1e-3
 THRESHOLD = 0.5
 
@@ -102,8 +102,8 @@ def fit(sample: list[tuple[int, np.ndarray]], dim: int = DIM, k: int = K, seed:
         return Machine(bias, row, w, np.zeros_like(v))
     sum_w, sum_v = np.full_like(w, 1e-3), np.full_like(v, 1e-3)
     terms = [r[r > 0] for r in (row[p] for p in places)]
-    usable = np.array([i for i, t in enumerate(terms) if len(t)])
-    for _ in range(EPOCHS):
+    usable = np.array([i for i, t in enumerate(terms) if len(t)], np.int64)
+    for _ in range(EPOCHS if len(usable) else 0):
         order = rng.permutation(usable)
         for chosen in np.split(order, range(BATCH, len(order), BATCH)):
             rows = [terms[i] for i in chosen]

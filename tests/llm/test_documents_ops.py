@@ -81,10 +81,8 @@ def test_bpe_query_digests_and_round_trip(spark, library):
 
 
 def plain_spans(text):
-    spans = []
-    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("password|passwd|secret|token|api_?key", secret_scan.ASSIGN[4 : secret_scan.ASSIGN.index(")")]), text):
-        if len(m[2]) >= 6:
-            spans.append((m.start(), 0, m.end()))
+    assign = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
     spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
     return [(secret_scan.KINDS[k], a, b) for a, k, b in sorted(spans)]
