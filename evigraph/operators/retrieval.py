@@ -189,12 +189,20 @@ def activation_floor(scores: DataFrame, top_docs: int = TOP_DOCS) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top_docs).select("qset_id", "doc_id", "score", "rank")
 
 
+UPLOADS = ("file", "link")
+
+
+def ready_corpus(docs: DataFrame) -> DataFrame:
+    """Documents that discovery may activate: ready ones of the corpus, not uploads."""
+    return docs.filter((F.col("status") == "ready") & ~F.coalesce(F.col("source_type").isin(*UPLOADS), F.lit(False)))
+
+
 def searchable_filter(docs: DataFrame) -> DataFrame:
     """Ready documents with chunks that are attached (or undecided) and fully indexed or uploaded."""
     return docs.filter(
         (F.col("status") == "ready") & (F.col("num_chunks") > 0)
         & (F.col("attached").isNull() | F.col("attached"))
-        & (F.col("index_mode").isNull() | (F.col("index_mode") == "full") | F.coalesce(F.col("source_type").isin("file", "link"), F.lit(False)))
+        & (F.col("index_mode").isNull() | (F.col("index_mode") == "full") | F.coalesce(F.col("source_type").isin(*UPLOADS), F.lit(False)))
     )
 
 

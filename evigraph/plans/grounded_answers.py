@@ -26,17 +26,26 @@ def rag_answer(
     """All parts of the answers: active documents, hits, citations, confidence, answer, prompts.
 
     ``chunks(chunk_id, doc_id, chunk_no, location, text)``, ``docs(doc_id, title, source_type,
-    source_name)``, ``questions(qset_id, text)``, ``variants(qset_id, variant_no, text)`` with the
-    question itself among them. Only the first chunks of each document and the chunks of activated
-    documents are embedded.
+    source_name, status, num_chunks, attached, index_mode)``, ``questions(qset_id, text)``, ``variants(qset_id, variant_no, text)`` with the
+    question itself among them. Ready corpus documents are discovered by their first chunks; the best
+    are activated, which indexes them in full. Searched are the activated documents and all uploads,
+    as far as they are ready, attached and have chunks. Only the first chunks of corpus documents, the
+    chunks of activated documents and those of uploads are embedded.
     """
     # Read once: both retrieval stages and the citations go back to the chunk texts.
     chunks = cut_lineage(chunks)
     queries = cut_lineage(embed(variants))
     signals = R.query_signals(variants)
-    active = cut_lineage(R.activation_floor(discover(chunks, queries, signals, embed)))
-    near = chunks.join(active.select("doc_id").distinct(), "doc_id", "left_semi")
-    pool = R.top_scores(R.score_within(active, embed(near), queries, R.MIN_SCORE), top_k * R.POOL_FACTOR)
+    corpus = chunks.join(R.ready_corpus(docs).select("doc_id"), "doc_id", "left_semi")
+    active = cut_lineage(R.activation_floor(discover(corpus, queries, signals, embed)))
+    indexed = R.searchable_filter(docs.withColumn("index_mode", F.lit("full"))).select("doc_id")
+    allowed = active.join(indexed, "doc_id", "left_semi")
+    near = chunks.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    uploads = R.searchable_filter(docs).filter(F.col("source_type").isin(*R.UPLOADS)).select("doc_id")
+    scored = R.score_within(allowed, embed(near), queries, R.MIN_SCORE).unionByName(
+        R.score_chunks(embed(chunks.join(uploads, "doc_id", "left_semi")), queries, R.MIN_SCORE, top_k * R.POOL_FACTOR)
+    )
+    pool = R.top_scores(scored, top_k * R.POOL_FACTOR)
     hits = cut_lineage(R.lexical_rerank(pool, signals, chunks, top_k))
     cited = R.citations(hits, chunks, docs)
     return {

@@ -187,17 +187,28 @@ RAG = f"""{chunks_sql('blocks')},
     tk AS (SELECT qset_id, variant_no, list_concat(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({SYMBOLS})), regexp_extract_all(lower(text), '{SUBSTRING_FORMULAS}'), list_transform(regexp_extract_all(text, '\\b[А-ЯA-Z]{{2,}}\\b'), lambda a: lower(a))) AS toks, regexp_extract_all(lower(text), '[А-Яа-яЁёA-Za-z-]+') AS words FROM vr),
     tj AS (SELECT qset_id, list_filter(flatten(list(toks)), lambda t: length(t) >= 2) AS toks, flatten(list(words)) AS words FROM tk GROUP BY qset_id),
     sg AS MATERIALIZED (SELECT qset_id, list_distinct(toks) AS hard, list_filter(list_distinct(words), lambda w: length(w) > 3 AND w NOT IN ({STOP}) AND NOT contains(array_to_string(toks, ' '), w)) AS terms FROM tj),
-    dp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS k FROM sc WHERE score >= 0.25 AND chunk_no < 3) WHERE k <= 80),
+    st AS (SELECT doc_id, doc_id % 13 <> 0 AS ready, doc_id % 17 = 5 AS upload, doc_id % 19 <> 0 AS attached FROM documents),
+    dp AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS k FROM sc JOIN st USING (doc_id) WHERE ready AND NOT upload AND score >= 0.25 AND chunk_no < 3) WHERE k <= 80),
     {lexical_sql('dp')},
     dd AS (SELECT qset_id, doc_id, max(score) AS score FROM dp_r WHERE rank <= 20 GROUP BY ALL),
     af AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY qset_id) AS best FROM dd) WHERE score >= greatest(0.35, 0.7 * best)) WHERE rank <= 5),
-    sp AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY qset_id ORDER BY sc.score DESC, chunk_id) AS k FROM sc JOIN af USING (qset_id, doc_id) WHERE sc.score >= 0.35) WHERE k <= 24),
+    sp AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY qset_id ORDER BY sc.score DESC, chunk_id) AS k FROM sc JOIN st USING (doc_id) LEFT JOIN af USING (qset_id, doc_id)
+      WHERE ready AND attached AND (upload OR af.rank IS NOT NULL) AND sc.score >= 0.35) WHERE k <= 24),
     {lexical_sql('sp')},
     hits AS (SELECT * FROM sp_r WHERE rank <= 6),
     ci AS (SELECT qset_id, rank AS index, h.doc_id, chunk_id, 'Document ' || CAST(h.doc_id AS VARCHAR) AS title, locations AS location, round(score, 3) AS score, left(text, 280) AS snippet, left(text, 600) AS excerpt, text FROM hits h JOIN chunks USING (chunk_id)),
     cf AS (SELECT item_id AS qset_id, CASE WHEN count(index) = 0 THEN 'нет данных' WHEN arg_min(score, index) >= 0.6 AND count(DISTINCT doc_id) >= 2 THEN 'высокая' WHEN arg_min(score, index) >= 0.45 THEN 'средняя' ELSE 'низкая' END AS confidence FROM benchmark LEFT JOIN ci ON qset_id = item_id GROUP BY item_id)"""
 
 
+def states(docs):
+    """Some documents failed, some are uploads and some are detached, by their ids."""
+    i = F.col("doc_id")
+    return docs.drop("source_type").withColumns({
+        "status": F.when(i % 13 == 0, "error").otherwise("ready"), "source_type": F.when(i % 17 == 5, "file").otherwise("corpus"),
+        "num_chunks": F.lit(1), "attached": i % 19 != 0, "index_mode": F.lit("meta"),
+    })
+
+
 def answered(spark, d):
     chunks = D.chunk_documents(docs(spark, d)).withColumn("location", F.array_join("locations", ", ")).drop("locations")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qset_id"), "text")
@@ -205,7 +216,7 @@ def answered(spark, d):
         "qset_id",
         F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
     )
-    return asked, rag_answer(chunks, docs_meta(spark, d), asked, variants)
+    return asked, rag_answer(chunks, states(docs_meta(spark, d)), asked, variants)
 
 
 @query("rag_answer", "blocks", f"WITH {RAG} SELECT qset_id, rank, chunk_id, doc_id, round(score, 6) AS score, round(boosted, 6) AS boosted FROM hits")
@@ -227,7 +238,7 @@ def _pool(spark, d):
         "qset_id",
         F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
     )
-    head = chunks.filter(F.col("chunk_no") < R.DISCOVERY_CHUNKS)
+    head = chunks.filter(F.col("chunk_no") < R.DISCOVERY_CHUNKS).join(R.ready_corpus(states(docs_meta(spark, d))).select("doc_id"), "doc_id", "left_semi")
     pool = R.candidate_pool(embed_text(head), embed_text(variants), R.DISCOVERY_TOP_K, R.DISCOVERY_MIN_SCORE)
     return pool, R.query_signals(variants), head
 
