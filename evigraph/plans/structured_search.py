@@ -148,12 +148,15 @@ def matched_experiments(nodes: DataFrame, edges: DataFrame, asked: DataFrame, an
     return single.unionByName(several).unionByName(unanchored)
 
 
-def gap_mentions(asked: DataFrame, anchor_rows: DataFrame, matched: DataFrame) -> DataFrame:
+def gap_mentions(nodes: DataFrame, asked: DataFrame, anchor_rows: DataFrame, matched: DataFrame) -> DataFrame:
     """(question_id, gap, line) of questions without experiments; gap is null if nothing was recognised."""
     empty = asked.join(matched.select("question_id").distinct(), "question_id", "left_anti")
-    first = anchor_rows.filter("rank = 1").filter(F.col("type").isin(*COMBO_LABELS))
+    first = anchor_rows.filter("rank = 1").filter(F.col("type").isin(*COMBO_LABELS)).select("question_id", "type", "lname")
+    # The name as it is written in the graph; of equal names that of the smallest id.
+    written = nodes.filter(F.col("type").isin(*COMBO_LABELS)).groupBy("type", F.lower("name").alias("lname")).agg(F.min_by("name", "id").alias("name"))
+    first = first.join(written, ["type", "lname"])
     named = first.groupBy("question_id").agg(
-        *[F.max(F.when(F.col("type") == t, F.concat(F.lit(f"{label}="), F.col("lname")))).alias(t) for t, label in COMBO_LABELS.items()]
+        *[F.max(F.when(F.col("type") == t, F.concat(F.lit(f"{label}="), F.col("name")))).alias(t) for t, label in COMBO_LABELS.items()]
     )
     joined = empty.join(named, "question_id", "left")
     combo = F.concat_ws(", ", *[F.col(t) for t in COMBO_LABELS])
@@ -209,7 +212,7 @@ def answer_lines(nodes: DataFrame, edges: DataFrame, asked: DataFrame, anchor_ro
     """
     lines = experiment_lines(nodes, edges, matched.select(F.col("experiment_id").alias("id")).distinct())
     found = matched.join(lines, "experiment_id").select("question_id", F.lit(0).alias("part"), F.col("experiment_id").alias("key"), "line")
-    gaps = gap_mentions(asked, anchor_rows, matched).select("question_id", F.lit(0).alias("part"), F.lit("").alias("key"), "line")
+    gaps = gap_mentions(nodes, asked, anchor_rows, matched).select("question_id", F.lit(0).alias("part"), F.lit("").alias("key"), "line")
     clash = question_contradictions(nodes, edges, matched).select(
         "question_id", F.lit(1).alias("part"), F.concat("a_id", F.lit("|"), "b_id").alias("key"), F.format_string(CONTRADICTION_TEXT, "a_name", "b_name", "note").alias("line")
     )
@@ -225,7 +228,7 @@ def hybrid_search(nodes: DataFrame, edges: DataFrame, questions: DataFrame, sett
         "asked": asked,
         "anchors": anchor_rows,
         "matched": matched,
-        "gaps": gap_mentions(asked, anchor_rows, matched),
+        "gaps": gap_mentions(nodes, asked, anchor_rows, matched),
         "contradictions": question_contradictions(nodes, edges, matched),
         "lines": answer_lines(nodes, edges, asked, anchor_rows, matched),
     }

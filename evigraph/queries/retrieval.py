@@ -95,11 +95,6 @@ def _(spark, d):
     return sig.select("qset_id", F.array_join(F.array_sort("hard"), " ").alias("hard"), F.array_join(F.array_sort("terms"), " ").alias("terms"))
 
 
-@query("embed_text")
-def _(spark, d):
-    return embed_text(table(spark, d, "benchmark")).select("item_id", "embedding")
-
-
 @query("embedder_hook")
 def _(spark, d):
     """A model object made once per worker: letter counts of the text."""
@@ -166,6 +161,12 @@ def embed_sql(name: str, src: str, key: str) -> str:
     {name} AS MATERIALIZED (SELECT {key}, dim, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY {key})), 0) AS w FROM {name}_d)"""
 
 
+@query("embed_text", "", f"WITH {embed_sql('e', 'benchmark', 'item_id')} SELECT item_id, dim, round(w, 6) AS value FROM e WHERE abs(w) > 1e-9")
+def _(spark, d):
+    values = embed_text(table(spark, d, "benchmark")).select("item_id", F.posexplode("embedding").alias("dim", "value"))
+    return values.filter(F.abs("value") > 1e-9).select("item_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
 def lexical_sql(pool: str) -> str:
     return f"""{pool}_x AS (SELECT p.*, lower(translate(c.text, '{'₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹'}', '01234567890123456789')) AS norm, hard, terms FROM {pool} p JOIN chunks c USING (chunk_id) JOIN sg USING (qset_id)),
     {pool}_w AS (SELECT *, len(list_filter(hard, lambda h: contains(norm || chr(10) || regexp_replace(norm, '(\\d)\\s+({R.UNITS})', '\\1\\2', 'g'), h))) / nullif(len(hard), 0) AS hs, list_distinct(regexp_extract_all(norm, '[а-яёa-z-]+')) AS ws FROM {pool}_x),
@@ -276,9 +277,19 @@ def _(spark, d):
     return answered(spark, d)[1]["answers"].select("qset_id", "grounded", F.sha2("answer", 256).alias("answer_hash"))
 
 
-@query("prompt_table")
+def prompt_sql() -> str:
+    """The prompt template as a concatenation."""
+    head, middle, tail = (p.replace("%%", "%").replace("'", "''") for p in R.PROMPT_TEMPLATE.split("%s"))
+    return f"'{head}' || c || '{middle}' || text || '{tail}'"
+
+
+@query(
+    "prompt_table", "blocks",
+    f"""WITH {RAG}, x AS (SELECT qset_id, string_agg('[' || CAST(index AS VARCHAR) || '] (' || title || ', ' || location || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY index) AS c FROM ci GROUP BY qset_id)
+    SELECT qset_id, sha256({prompt_sql()}) AS prompt_hash FROM x JOIN benchmark ON item_id = qset_id""",
+)
 def _(spark, d):
-    return answered(spark, d)[1]["prompts"]
+    return answered(spark, d)[1]["prompts"].select("qset_id", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
 @query("answers_export")
