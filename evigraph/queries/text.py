@@ -178,12 +178,12 @@ def _(spark, d):
 
 @query(
     "parse_string_array", "",
-    "SELECT conv_id, turn, role || '|' || split_part(text, chr(10), 1) AS items FROM conversations",
+    "SELECT conv_id, turn, role || '|' || text AS items FROM conversations",
 )
 def _(spark, d):
     """Fenced arrays with a number and a null among the strings."""
-    c = table(spark, d, "conversations").withColumn("first", F.get(F.split("text", "\n"), F.lit(0)))
-    quoted = F.regexp_replace(F.to_json(F.array("role", "first")), r"\]$", ", 7, null]")
+    c = table(spark, d, "conversations")
+    quoted = F.regexp_replace(F.to_json(F.array("role", "text")), r"\]$", ", 7, null]")
     raw = F.concat(F.lit("```json\n"), quoted, F.lit("\n```"))
     return c.select("conv_id", "turn", F.array_join(T.parse_string_array(raw), "|").alias("items"))
 
