@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.tables import read
 
-CHUNK_CHARS = 6_000_000
-CACHE_WORDS = 1_000_000
+CHUNK_CHARS = 3_000_000
+CACHE_WORDS = 500_000
 NONE = np.iinfo(np.int32).max
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 SPACES = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)

@@ -45,6 +45,7 @@ LOCAL_DF = 3          # a shingle in so many sets of a task's piece is reported
 SHORT_LIST = 32       # lists up to this length yield all their pairs of fitting size
 PIVOTS = 2            # of each size class in longer lists
 BLOCK = 4096          # members of a block of a long list
+PIECE_BYTES = 16 << 20  # of text whose sets are counted and indexed together
 SMALL = 64            # sizes up to which subsets are considered at all
 SIZE_STEP = 1.05      # ratio between size classes
 MAP_WORDS = 1 << 20   # 64-bit words of the map of documents whose sets are fetched
@@ -100,7 +101,7 @@ def frequent_and_costs(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = wd.WordHasher()
-        for batch in wd.pieces(batches):
+        for batch in wd.pieces(batches, limit=PIECE_BYTES):
             sets = list(distinct_sets(*piece_sets(batch.column("text"), hasher)))
             if not sets:
                 continue
@@ -169,7 +170,7 @@ def index_pieces(docs: DataFrame, table: np.ndarray, boundary: int, segments: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of, hasher = shared.value, wd.WordHasher()
-        for batch in wd.pieces(batches):
+        for batch in wd.pieces(batches, limit=PIECE_BYTES):
             sets, names = piece_sets(batch.column("text"), hasher)
             ids = batch.column("doc_id")
             seg = (wd.mix(ids.fill_null(0).to_numpy().astype(np.uint64)) % np.uint64(segments)).astype(np.int32)
@@ -371,7 +372,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = wd.WordHasher()
-        for batch in wd.pieces(batches):
+        for batch in wd.pieces(batches, limit=PIECE_BYTES):
             p = batch.column("p").to_numpy()
             asked = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
             batch = batch.filter(pa.array(asked))

