@@ -7,9 +7,10 @@ vectors (``M`` the largest norm) and 0 for queries.
   penalty on large clusters, so posting lists are balanced. Every vector is indexed.
 * A vector at the boundary of several clusters is written into each of their lists: up to ``COPIES`` lists whose
   centroids are nearly as close as the nearest.
-* Centroids are searched by a neighbour graph in memory (best first, many vectors at a time).
-* A query reads the lists whose centroid distance is within ``RATIO`` of its nearest centroid's, at least
-  ``LEAST`` and at most ``MOST`` lists.
+* Vectors find their lists by a neighbour graph of the centroids in memory (best first, many vectors at a time).
+* A query is compared with every centroid and reads all lists whose centroid distance is within ``RATIO`` of its
+  nearest centroid's: ``LEAST`` lists and a ``SHARE`` of all lists at least, and no most, so that recall does not
+  fall with their number. What is read grows with the table.
 
 Lists and the queries that read them meet in an equi join by list; both sides are dealt in blocks of bounded
 size, so a list that a third of all vectors (or queries) fall into is many tasks. Each block returns its best
@@ -36,11 +37,11 @@ from evigraph.session import cut_lineage
 K = 20
 LIST_SIZE = 400          # vectors per list that the number of centroids aims at
 CENTROIDS = 4096
-SAMPLE = 32_768
+SAMPLE, PER_CENTROID = 131_072, 32  # sample vectors, and how many of them a centroid is fitted on at least
 ROUNDS, BALANCE = 12, 0.1
-DEGREE, BEAM = 24, 48    # of the graph; candidates kept while searching it
+DEGREE, BEAM = 24, 48    # of the graph; candidates kept while a vector searches it for its lists
 COPIES, SPREAD = 4, 1.25  # lists a vector may be in, and how much farther their centroids may be
-LEAST, MOST, RATIO = 16, 28, 1.15
+LEAST, SHARE, RATIO = 16, 0.1, 1.15
 BLOCK, QUERY_BLOCK = 4096, 2048
 BATCH = 512
 
@@ -121,6 +122,13 @@ def search_graph(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) ->
     return order, d[rows[:, None], order]
 
 
+def all_centroids(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All centroids of each row of ``q``, nearest first, and their distances."""
+    d = distances(q, c)
+    order = np.argsort(d, axis=1, kind="stable")
+    return order, np.take_along_axis(d, order, 1)
+
+
 def posting_lists(order: np.ndarray, d: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     """Lists of each vector: its nearest centroid, and others nearly as close."""
     close = (d <= SPREAD * d[:, :1]) & (np.arange(d.shape[1]) < COPIES)
@@ -128,9 +136,9 @@ def posting_lists(order: np.ndarray, d: np.ndarray, c: np.ndarray) -> list[np.nd
 
 
 def chosen_lists(order: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
-    """Lists that a query reads: distance-ratio pruning between the least and the most."""
-    place = np.arange(d.shape[1])
-    read_ = ((d <= RATIO * d[:, :1]) & (place < MOST)) | (place < LEAST)
+    """Lists that a query reads: distance-ratio pruning, with a least number. ``order`` holds all lists."""
+    least = max(LEAST, SHARE * d.shape[1])
+    read_ = (d <= RATIO * d[:, :1]) | (np.arange(d.shape[1]) < least)
     return [o[k & np.isfinite(x)] for o, k, x in zip(order, read_, d, strict=True)]
 
 
@@ -146,7 +154,7 @@ def fit_index(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     x = np.stack(sample.column("v").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1))
     x = np.hstack([x, np.sqrt(np.maximum(top - (x**2).sum(1), 0))[:, None]])
-    lists = max(1, min(CENTROIDS, n // LIST_SIZE, len(x) // 8))
+    lists = max(1, min(CENTROIDS, n // LIST_SIZE, len(x) // PER_CENTROID))
     c = fit_centroids(x, lists)
     return c, neighbour_graph(c), float(top)
 
@@ -162,7 +170,8 @@ def _assign(rows: DataFrame, index: tuple, asking: bool, everywhere: bool = Fals
                 part = batch.slice(a, BATCH)
                 v = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
                 extra = np.zeros(len(v)) if asking else np.sqrt(np.maximum(top - (v**2).sum(1), 0))
-                order, d = search_graph(np.hstack([v, extra[:, None]]), c, graph, BEAM)
+                x = np.hstack([v, extra[:, None]])
+                order, d = all_centroids(x, c) if asking else search_graph(x, c, graph, BEAM)
                 lists = [np.arange(len(c))] * len(v) if everywhere else chosen_lists(order, d) if asking else posting_lists(order, d, c)
                 at = np.repeat(np.arange(len(v)), [len(x) for x in lists])
                 data = pa.array([x.tobytes() for x in v], pa.binary())

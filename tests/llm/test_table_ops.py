@@ -224,6 +224,26 @@ def test_recall_with_many_lists_hot_vectors_and_other_norms(spark, monkeypatch):
     assert tied.vec_id.is_monotonic_increasing
 
 
+def test_recall_does_not_fall_with_the_number_of_lists(spark, monkeypatch):
+    for name, value in {"LIST_SIZE": 10, "PER_CENTROID": 8}.items():
+        monkeypatch.setattr(vector_search, name, value, raising=False)
+    x = np.random.default_rng(7).normal(size=(10_000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_search.nearest(table, F.col("vec_id") % 200 == 0).toPandas()
+    found = got.groupby("query_id").vec_id.apply(set)
+    score = x[::200] @ x.T
+    score[np.arange(50), np.arange(0, 10_000, 200)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(found[200 * i] & set(w)) / 20 for i, w in enumerate(want)]) >= 0.97
+
+
+def test_no_most_of_lists_read():
+    d = np.array([np.linspace(1, 1.14, 500), np.linspace(1, 9, 500)])
+    chosen = vector_search.chosen_lists(np.arange(500) + np.zeros((2, 1), int), d)
+    assert len(chosen[0]) == 500 and len(chosen[1]) == 50
+
+
 def test_vectors_of_edge_rows(spark):
     rows = [(0, [1.0, 0.0], "x"), (20, [0.5, 0.5], "x"), (20, [0.5, 0.5], "x"), (1, [2.0, 0.0], "x"), (2, None, "x"), (3, [0.0, 0.0], "x"), (4, [None, 1.0], "x"), (5, [float("nan"), 1.0], "x"), (6, [float("inf"), 1.0], "x"), (7, [1.0], "x"), (None, [1.0, 1.0], "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
