@@ -2,8 +2,9 @@
 
 The patterns find credentials by their own shape. The lexer reads source and configuration syntax
 into (name, literal) pairs: ``name = "a" + "b"``, ``name: 'a'``, ``"name": "a"``, ``export NAME=a``,
-``name = other``. Constants are propagated within a text: a name bound to another name takes its
-literals. A literal counts when a name it reaches is a sensitive target and the literal looks like a
+``name: a1/b``, ``name = other``. Names and literals have any length; an unquoted literal ends at white space, a
+quote, a comma or a semicolon and holds a digit; after a blank or colon, a name with an open parenthesis is a
+call. Constants are propagated within a text: a name bound to another name takes its literals. A literal counts when a name it reaches is a sensitive target and the literal looks like a
 value (long enough, mixed, no placeholder); its score is the target's weight times the literal's
 randomness. Offsets are code points, ends exclusive.
 
@@ -14,6 +15,7 @@ rows are scanned each; very long texts take time in proportion.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +35,7 @@ TARGETS = (
     (0.8, r"pwd|credential|auth_?token|token|bearer|client_?id|session_?key"),
 )
 PLACEHOLDER = r"(?i)^(?:x+|\*+|changeme|example.*|your[_-].*|todo|none|null|true|false|test|dummy|placeholder)$|^[$<{%]"
+SENSITIVE = re.compile("|".join(p for _, p in TARGETS), re.I)
 MIN_SCORE = 0.45
 
 
@@ -43,42 +46,57 @@ def literal_score(name: str, value: str) -> float:
     weight = next((w for w, p in TARGETS if re.search(p, name, re.I)), 0.0)
     if not weight or len(value) < 6 or re.search(PLACEHOLDER, value) or re.search(r"\s", value):
         return 0.0
-    counts = [value.count(c) for c in set(value)]
+    counts = Counter(value).values()
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts)
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
     return weight * min(1.0, entropy / 4.0 + 0.1 * (kinds - 1))
 
 
-NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,63}"
-STRING = r"\"[^\"\n]{0,4096}\"|'[^'\n]{0,4096}'"
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+STRING = r"(?:\"[^\"\n]*+\"|'[^'\n]*+')"
 BINDING = re.compile(
-    rf"""(?P<q>["']?)(?P<name>(?<![A-Za-z0-9_.-]){NAME})(?P=q)[ \t]*(?::=|=>|[:=])[ \t]*(?P<value>(?:{STRING})(?:[ \t]*\+?[ \t]*(?:{STRING}))*|(?<==)[^\s"',;]{{6,4096}}|{NAME}(?![A-Za-z0-9_.(-]))"""
+    rf"""(?P<q>["']?)(?P<name>(?<![A-Za-z0-9_.-]){NAME})(?P=q)[ \t]*+(?::=|=>|[:=])[ \t]*+(?P<value>{STRING}(?:[ \t]*+(?:\+[ \t]*+)?{STRING})*+)?"""
 )
 PIECE = re.compile(STRING)
+WORD = re.compile(NAME)
+BARE = re.compile(r"""[^\s"',;]*+""")
+CLOSING = re.compile(r"[)\]}>:]*+")
+DIGIT = re.compile(r"[0-9]")
 
 
 def lexed_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name in ``text``, whatever name they were first bound to."""
     if ("=" not in text) and (":" not in text):
         return []
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    bound: dict[str, list[tuple[int, int]]] = {}
     found: dict[tuple[int, int], float] = {}
-    for m in BINDING.finditer(text):
-        name, raw, at = m["name"], m["value"], m.start("value")
-        if raw[0] in "\"'":
-            pieces = [(p.start() + 1, p.end() - 1) for p in PIECE.finditer(text, at, m.end("value"))]
-            value = "".join(text[a:b] for a, b in pieces)
-        elif raw in bound:
-            value, pieces = bound[raw]
-        elif not re.search(r"[0-9]", raw):
-            continue  # a word after a colon or an unbound name
+    at = stop = digit = 0  # stop: end of the unquoted value around ``at``; digit: its first digit from ``at`` on
+    while m := BINDING.search(text, at):
+        name, at = m["name"], m.end()
+        if m["value"]:
+            pieces = [(p.start() + 1, p.end() - 1) for p in PIECE.finditer(text, m.start("value"), at)]
         else:
-            value, pieces = raw, [(at, m.end("value"))]
-        bound[name] = (value, pieces)
-        score = literal_score(name, value)
+            if at >= stop:
+                stop, digit = BARE.match(text, at).end(), at
+            if digit <= at < stop:
+                d = DIGIT.search(text, at, stop)
+                digit = d.start() if d else stop
+            word, direct = WORD.match(text, at), text[at - 1] == "="
+            after = word.end() if word else at
+            if word and word[0] in bound and (CLOSING.match(text, after).end() == stop or not (direct or text.startswith("(", after))):
+                pieces = bound[word[0]]
+            elif digit >= stop or (not direct and (text[at] in ":=" or (word and text.startswith("(", after)))):
+                continue  # words only; a comparison, a scope or a call
+            else:
+                pieces = [(at, stop)]
+        bound[name] = pieces
+        if not SENSITIVE.search(name):
+            continue  # what lies inside an unquoted value (a URL's parameters) is read on its own
+        score = literal_score(name, "".join(text[a:b] for a, b in pieces))
         if score >= MIN_SCORE:
             for span in pieces:
                 found[span] = max(found.get(span, 0.0), score)
+            at = max(at, stop) if pieces == [(at, stop)] else at
     return [(a, b, s) for (a, b), s in sorted(found.items()) if b > a]
 
 
