@@ -20,6 +20,8 @@ MODULES = (
     "lm_scoring",
     "vector_search",
     "html_extraction",
+    "sentence_pieces",
+    "vector_codes",
 )
 
 
