@@ -20,6 +20,7 @@ MODULES = (
     "lm_scoring",
     "vector_search",
     "html_extraction",
+    "collocations",
     "sentence_pieces",
     "vector_codes",
 )

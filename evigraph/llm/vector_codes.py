@@ -151,6 +151,7 @@ def next_codebook(kept: DataFrame, width: int, codebook: Codebook) -> Codebook:
                 order = np.argsort(code, kind="stable")
                 some, at = np.unique(code[order], return_index=True)
                 counts[p] += np.bincount(code, minlength=len(book[p]))
+                part = part.astype(object) if largest(part) >= 2**48 else part
                 sums[p][some] += np.add.reduceat(part[order], at, axis=0).astype(object)
         for p, total in enumerate(sums):
             rows = []
