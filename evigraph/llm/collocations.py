@@ -30,6 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,8 +148,12 @@ def as_unsigned(rows: list) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def heavy_pairs(docs: DataFrame, heavy: np.ndarray, least: int) -> np.ndarray:
-    """Hashes of the pairs of words with more than ``least`` occurrences; both words are heavy then."""
+def heavy_pairs(docs: DataFrame, heavy: np.ndarray, least: int, words: int) -> np.ndarray:
+    """Hashes of all pairs of words with more than ``least`` occurrences, and of some with more than half of it.
+
+    Both words of such a pair are heavy. A piece of text tells only pairs above its share of ``least / 2`` (by its part
+    of all ``words``): what goes untold is ``least / 2`` at most, so a pair with more is told of and counted above that.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +162,22 @@ def heavy_pairs(docs: DataFrame, heavy: np.ndarray, least: int) -> np.ndarray:
             is_heavy = listed(shared.value, hashes)
             at = np.flatnonzero(t.joined[:-1] & is_heavy[:-1] & is_heavy[1:])
             pairs, n = np.unique(pair_hash(hashes[at], hashes[at + 1]), return_counts=True)
+            told = n > least / 2 * (len(t.code) / words)
+            pairs, n = pairs[told], n[told]
             yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], ["pair", "f"])
 
     if not len(heavy):
         return heavy
     found = docs.mapInArrow(count, "pair long, f long").groupBy("pair").agg(F.sum("f").alias("f"))
-    return as_unsigned(found.filter(F.col("f") > least).select("pair").collect())
+    return as_unsigned(found.filter(F.col("f") > least / 2).select("pair").collect())
 
 
 # --- suffixes and their subtrees -------------------------------------------------------------------------
 
 
+BLOCK = ("words", "codes", "counts", "deep")
+
+
 class Steering(NamedTuple):
     frequent: np.ndarray
     heavy_words: np.ndarray
@@ -175,10 +185,22 @@ class Steering(NamedTuple):
     groups: int
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """The width of the smallest integers that hold all numbers, then the numbers, compressed."""
+    kind = np.min_scalar_type(int(numbers.max()))
+    return zstandard.compress(bytes([kind.itemsize]) + np.ascontiguousarray(numbers, kind).tobytes(), 1)
+
+
+def widened(data: bytes) -> np.ndarray:
+    data = zstandard.decompress(data)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def suffix_blocks(docs: DataFrame, steering: Steering) -> DataFrame:
-    """One row per piece of text, group, language and kind: distinct truncated suffixes and their counts.
+    """One row per piece of text, group and language: distinct truncated suffixes and their counts.
 
-    ``words`` holds the words of the block, ``codes`` four numbers a suffix into them (-1: no further word).
+    ``words`` holds the words of the block, ``codes`` their numbers from 1 in the suffixes, first words first
+    (0: no further word), ``deep`` which of them begin with a divided pair; integers are no wider than the block needs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(steering))
 
@@ -211,40 +233,40 @@ def suffix_blocks(docs: DataFrame, steering: Steering) -> DataFrame:
                 longer = deep & (codes[:, d] >= 0)
                 prefix[longer] = pair_hash(prefix[longer], hashes[at[longer] + d])
             group = (wd.mix(prefix) % np.uint64(s.groups)).astype(np.int64)
-            order = np.lexsort((codes[:, 1], codes[:, 0], deep, lang, group))
+            order = np.lexsort((codes[:, 1], codes[:, 0], lang, group))
             codes, lang, deep, group, count = codes[order], lang[order], deep[order], group[order], count[order]
             new = np.ones(len(order), bool)
-            new[1:] = (group[1:] != group[:-1]) | (lang[1:] != lang[:-1]) | (deep[1:] != deep[:-1])
+            new[1:] = (group[1:] != group[:-1]) | (lang[1:] != lang[:-1])
             cuts = np.append(np.flatnonzero(new), len(order))
             spelled = t.words.to_pylist()
             rows: list[tuple] = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 used, own = np.unique(codes[a:b], return_inverse=True)
                 shift = int(used[0] < 0)
-                text = b"\n".join([spelled[c] for c in used[shift:].tolist()])
-                rows.append((int(group[a]), t.langs[lang[a]], bool(deep[a]), text, (own - shift).astype(np.int32).tobytes(), count[a:b].astype(np.int64).tobytes()))
-            columns = zip(*rows, strict=True)
-            kinds = (pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["group", "lang", "deep", "words", "codes", "counts"])
+                text = zstandard.compress(b"\n".join([spelled[c] for c in used[shift:].tolist()]), 1)
+                rows.append((int(group[a]), t.langs[lang[a]], text, narrow(own.reshape(-1, DEPTH).T + (1 - shift)), narrow(count[a:b]), narrow(deep[a:b])))
+            kinds = (pa.int32(), pa.string(), *[pa.binary()] * 4)
+            columns = zip(zip(*rows, strict=True), kinds, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["group", "lang", *BLOCK])
 
-    return docs.mapInArrow(pack, "group int, lang string, deep boolean, words binary, codes binary, counts binary")
+    return docs.mapInArrow(pack, "group int, lang string, " + ", ".join(f"{c} binary" for c in BLOCK))
 
 
-def subtree(blocks: list[tuple[bytes, bytes, bytes]], deep: bool) -> tuple[list[str], list[int], list[int]]:
-    """Phrases of the nodes of one subtree, their numbers of words and their leaf totals."""
-    lists = [w.split(b"\n") for w, _, _ in blocks]
+def subtrees(blocks: list[tuple[bytes, ...]]) -> tuple[list[str], list[int], list[int]]:
+    """Phrases of the nodes of a group's subtrees in one language, their numbers of words and their leaf totals."""
+    lists = [zstandard.decompress(b[0]).split(b"\n") for b in blocks]
     coded = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
     names = [w.decode() for w in coded.dictionary.to_pylist()]
-    number = np.append(coded.indices.to_numpy(), -1)  # the last one answers -1
+    number = coded.indices.to_numpy()
     base, parts = 0, []
-    for ws, (_, codes, _) in zip(lists, blocks, strict=True):
-        own = np.frombuffer(codes, np.int32)
-        parts.append(number[np.where(own < 0, -1, own + base)])
+    for ws, (_, codes, _, _) in zip(lists, blocks, strict=True):
+        own = np.append(-1, number[base : base + len(ws)])  # 0 answers -1
+        parts.append(own[widened(codes)].reshape(DEPTH, -1).T)
         base += len(ws)
-    suffix = np.concatenate(parts).reshape(-1, DEPTH)
-    leaf = np.concatenate([np.frombuffer(n, np.int64) for _, _, n in blocks])
+    suffix = np.concatenate(parts)
+    leaf, deep = (np.concatenate([widened(b[k]) for b in blocks]) for k in (2, 3))
     order = np.lexsort(suffix.T[::-1])
-    suffix, leaf = suffix[order], leaf[order]
+    suffix, leaf, deep = suffix[order], leaf[order], deep[order] > 0
     new = np.zeros(len(suffix), bool)
     new[:1] = True
     phrases: list[str] = []
@@ -257,7 +279,7 @@ def subtree(blocks: list[tuple[bytes, bytes, bytes]], deep: bool) -> tuple[list[
         first = np.flatnonzero(new)
         total = np.add.reduceat(leaf, first)
         # A whole subtree keeps its frequent nodes; below a divided pair the nodes of two and three words are partial.
-        kept = (suffix[first, d - 1] >= 0) & ((total >= LEAST) | (deep and d < DEPTH))
+        kept = (suffix[first, d - 1] >= 0) & ((total >= LEAST) | (deep[first] & (d < DEPTH)))
         for row, n in zip(suffix[first[kept], :d].tolist(), total[kept].tolist(), strict=True):
             phrases.append(" ".join([names[c] for c in row]))
             depths.append(d)
@@ -266,14 +288,13 @@ def subtree(blocks: list[tuple[bytes, bytes, bytes]], deep: bool) -> tuple[list[
 
 
 def group_nodes(table: pa.Table) -> pa.Table:
-    """All nodes of the subtrees of one group."""
-    classes: dict[tuple[str, bool], list[tuple[bytes, bytes, bytes]]] = {}
-    columns = [table.column(c).to_pylist() for c in ("lang", "deep", "words", "codes", "counts")]
-    for lang, deep, *block in zip(*columns, strict=True):
-        classes.setdefault((lang, deep), []).append(tuple(block))
+    """All frequent nodes of the subtrees of one group."""
+    classes: dict[str, list[tuple[bytes, ...]]] = {}
+    for lang, *block in zip(*[table.column(c).to_pylist() for c in ("lang", *BLOCK)], strict=True):
+        classes.setdefault(lang, []).append(tuple(block))
     langs, phrases, depths, totals = [], [], [], []
-    for (lang, deep), blocks in classes.items():
-        p, d, n = subtree(blocks, deep)
+    for lang, blocks in classes.items():
+        p, d, n = subtrees(blocks)
         langs += [lang] * len(p)
         phrases += p
         depths += d
@@ -287,10 +308,10 @@ def phrase_counts(docs: DataFrame, budget: int = BUDGET, most_heavy: int = MOST_
     counts = cut_lineage(word_counts(docs))
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = counts.filter(F.col("f") >= LEAST)
-    total = frequent.agg(F.sum("f")).first()[0] or 0
+    words, total = (v or 0 for v in counts.agg(F.sum("f"), F.sum(F.when(F.col("f") >= LEAST, F.col("f")))).first())
     least = max(budget // 16, total // most_heavy)
     heavy = as_unsigned(frequent.filter(F.col("f") > least).select(word_hash(F.col("lang"), F.col("word"))).collect())
-    steering = Steering(frequent_map(frequent), heavy, heavy_pairs(docs, heavy, least), int(-(-2 * total // budget)) or 1)
+    steering = Steering(frequent_map(frequent), heavy, heavy_pairs(docs, heavy, least, words), int(-(-2 * total // budget)) or 1)
     blocks = suffix_blocks(docs, steering)
     nodes = blocks.groupBy("group").applyInArrow(group_nodes, "lang string, phrase string, m int, f long")
     longer = nodes.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
