@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.session import cut_lineage
+from evigraph.session import ensure_checkpoint_dir
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder.
+
+    A checkpoint keeps the size estimate of its plan; over rounds of joins these estimates multiply until planning
+    itself takes minutes. A table starts from its real size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for every node of ``links`` (a, b); the label is the smallest node of its component.
 
-    In every round each node moves to its smallest neighbour and the links are contracted, so at least
-    every second node that still has a link disappears. Rounds are checkpointed; the driver sees counts.
+    A round moves every node to the neighbour that comes first in a random order of the nodes, new in every round,
+    follows such moves two times more and contracts the links. A node with a link stays only if it comes before all
+    its neighbours, which at least every second does not on average, whatever the shape: the rounds grow with the
+    logarithm of the number of nodes, also on chains of any order (10,000 links: 7 rounds).
+    Every round only holds the nodes that are left, so all rounds together cost about as much as the first two; the
+    moves are put together at the end, backwards. Rounds are tables; the driver sees whether links are left.
     """
-    edges = cut_lineage(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    edges = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    moves: list[DataFrame] = []
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("low"))
-        parent = cut_lineage(both.select(F.col("a").alias("from"), F.least("a", "low").alias("to")))
-        left = edges.join(parent.select(F.col("from").alias("a"), F.col("to").alias("ta")), "a")
-        moved = left.join(parent.select(F.col("from").alias("b"), F.col("to").alias("tb")), "b")
-        edges = cut_lineage(moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-        label = cut_lineage(label.join(parent, label["label"] == parent["from"], "left").select("node", F.coalesce("to", "label").alias("label")))
-    return label
+        def place(node: str, turn: int = len(moves)) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), node).alias("order"), F.col(node).alias("node"))
+
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        first = both.groupBy("a").agg(F.min(place("b")).alias("low"))
+        move = stored(first.select(F.col("a").alias("from"), F.least(F.col("low"), place("a"))["node"].alias("to")))
+        for _ in range(2):
+            onward = move.select(F.col("from").alias("to"), F.col("to").alias("then"))
+            move = move.join(onward, "to").select("from", F.col("then").alias("to"))
+        move = stored(move)
+        moves.append(move)
+        left = edges.join(move.select(F.col("from").alias("a"), F.col("to").alias("ta")), "a").join(move.select(F.col("from").alias("b"), F.col("to").alias("tb")), "b")
+        rest = left.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        edges = stored(rest)
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    root = moves[-1]
+    for move in reversed(moves[:-1]):
+        onward = root.select(F.col("from").alias("to"), F.col("to").alias("then"))
+        root = stored(move.join(onward, "to", "left").select("from", F.coalesce("then", "to").alias("to")))
+    smallest = root.groupBy("to").agg(F.min("from").alias("label"))
+    return root.join(smallest, "to").select(F.col("from").alias("node"), "label")

@@ -367,7 +367,10 @@ def bounded_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """d, data: the sets (six bytes a shingle) of the documents in column ``d`` of ``ids``, and of a few others."""
+    """d, a, data: the sets (their names a, six bytes a shingle) of the documents in column ``d`` of ``ids``, and of a few others.
+
+    Rows that repeat an id give each of their sets.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(map_of(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,12 +379,12 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             p = batch.column("p").to_numpy()
             asked = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
             batch = batch.filter(pa.array(asked))
-            found, _ = piece_sets(batch.column("text"), hasher)
+            found, names = piece_sets(batch.column("text"), hasher)
             data = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(data, pa.binary())], ["d", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(names), pa.array(data, pa.binary())], ["d", "a", "data"])
 
     source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("d"), "text").withColumn("p", map_place("d"))
-    return source.select("d", "p", "text").mapInArrow(sets, "d long, data binary").groupBy("d").agg(F.min("data").alias("data"))
+    return source.select("d", "p", "text").mapInArrow(sets, "d long, a long, data binary").groupBy("d", "a").agg(F.min("data").alias("data"))
 
 
 def numbers(data: bytes) -> np.ndarray:
@@ -402,8 +405,8 @@ def exact_links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
     whole = whole_sets(docs, named.select(F.explode(F.array("da", "db")).alias("d")))
-    first = named.join(whole.select(F.col("d").alias("db"), F.col("data").alias("sb")), "db")
-    return first.join(whole.select(F.col("d").alias("da"), F.col("data").alias("sa")), "da").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    first = named.join(whole.select(F.col("d").alias("db"), F.col("a").alias("b"), F.col("data").alias("sb")), ["db", "b"])
+    return first.join(whole.select(F.col("d").alias("da"), "a", F.col("data").alias("sa")), ["da", "a"]).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 PLACES = (256 ** np.arange(6)).astype(np.int64)
@@ -440,7 +443,7 @@ def cross_links(lists: DataFrame, labels: DataFrame, signatures: DataFrame, chos
 
     asked = signed.groupBy("list", "i", "j").applyInArrow(partners, "list long, i int, j int, a long, label long")
     asked = cut_lineage(asked.join(chosen.select("a", F.col("doc_id").alias("d")), "a"))
-    full = asked.join(whole_sets(docs, asked.select("d")), "d").select("list", "i", "j", "a", "label", "data")
+    full = asked.join(whole_sets(docs, asked.select("d")), ["d", "a"]).select("list", "i", "j", "a", "label", "data")
 
     def link(table: pa.Table) -> pa.Table:
         a, label = table.column("a").to_numpy(), table.column("label").to_numpy().copy()

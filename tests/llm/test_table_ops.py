@@ -107,6 +107,29 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    """Chains of versions, in order and shuffled, take few rounds."""
+    from evigraph.llm import graph
+
+    cuts = []
+    monkeypatch.setattr(graph, "stored", lambda df, store=graph.stored: cuts.append(1) or store(df))
+    n = 10_000
+    other = list(range(50_000, 50_000 + n))
+    random.Random(5).shuffle(other)
+    links = [(i, i + 1) for i in range(n)] + list(zip(other[:-1], other[1:], strict=True))
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | dict.fromkeys(other, 50_000)
+    assert len(cuts) / 4 < 15  # three tables a round, and one to put the moves together
+
+
+def test_a_repeated_id_links_by_each_of_its_texts(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(2))
+    near = b.rsplit(" ", 2)[0] + " q r"
+    got = jaccard_join.jaccard_groups(docs_of(spark, [(2, a), (2, b), (5, near), (7, "else " * 20)])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(2, 2), (5, 2), (7, 7)}
+
+
 def test_the_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(300):
