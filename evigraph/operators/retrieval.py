@@ -78,6 +78,17 @@ def _score_batch(ids: pd.DataFrame, vectors: pd.Series, qsets: np.ndarray, matri
     return out
 
 
+def score_group(chunks: pd.DataFrame, queries: pd.DataFrame, min_score: float, pool: int | None, cells: int) -> pd.DataFrame:
+    """Scores of one group of chunks and questions; ``cells`` of them are held at a time."""
+    if chunks.empty or queries.empty:
+        return pd.DataFrame({"qset_id": [], "chunk_id": [], "doc_id": [], "score": []})
+    queries = queries.sort_values("qset_id", kind="stable")
+    qsets, matrix = queries["qset_id"].to_numpy(), np.stack(queries["embedding"].to_numpy()).astype(np.float64)
+    step = max(1, cells // len(matrix))
+    parts = (chunks.iloc[i : i + step] for i in range(0, len(chunks), step))
+    return pd.concat([_score_batch(p[["chunk_id", "doc_id"]], p["embedding"], qsets, matrix, min_score, pool) for p in parts])
+
+
 def score_chunks(
     chunks: DataFrame, queries: DataFrame, min_score: float, pool: int | None = None,
     query_values: int = QUERY_VALUES, tile_rows: int = TILE_ROWS, cells: int = CELLS,
@@ -99,13 +110,7 @@ def score_chunks(
     blocked = asked.select("*", F.pmod(F.xxhash64("qset_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))).alias("tile"))
 
     def grouped(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qset_id": [], "chunk_id": [], "doc_id": [], "score": []})
-        right = right.sort_values("qset_id", kind="stable")
-        qsets, matrix = right["qset_id"].to_numpy(), np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        step = max(1, cells // len(matrix))
-        parts = (left.iloc[i : i + step] for i in range(0, len(left), step))
-        return pd.concat([_score_batch(p[ids], p["embedding"], qsets, matrix, min_score, pool) for p in parts])
+        return score_group(left, right, min_score, pool, cells)
 
     return tiled.groupBy("tile", "block").cogroup(blocked.groupBy("tile", "block")).applyInPandas(grouped, schema)
 

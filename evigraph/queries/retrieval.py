@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import STOPWORDS
 from evigraph.operators import documents as D
 from evigraph.operators import retrieval as R
+from evigraph.operators.chunk_index import ChunkIndex, add_chunks, compact, create_index, delete_documents, indexed_topk, search, stored_chunks
 from evigraph.operators.embedding import embed_text, embed_with_model
 from evigraph.operators.extraction import parse_extractions, run_extractor
-from evigraph.plans.grounded_answers import rag_answer
+from evigraph.plans.grounded_answers import answer_from_index
 from evigraph.queries.checksql import chunks_sql
 from evigraph.queries.documents import docs
 from evigraph.queries.hooks import load_extractor, load_model
 from evigraph.queries.registry import query
 from evigraph.queries.text import MATCH, tokens_sql
+from evigraph.session import ensure_checkpoint_dir
 from evigraph.sources.answers import answer_documents
 from evigraph.sources.star import query_vectors, table, view
 
@@ -25,10 +29,39 @@ ALL_SCORES = f"""{CV},
     sc AS (SELECT qset_id, chunk_id, doc_id, chunk_no, round(max(s), 9) AS score FROM pair GROUP BY ALL)"""
 
 
+STORED: dict[tuple[str, str, str], ChunkIndex] = {}
+
+
+def stored_index(spark, d, name, chunks, embed=None) -> ChunkIndex:
+    """The index of a table, written once a session below the checkpoint folder and read by all queries."""
+    ensure_checkpoint_dir(spark)
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in STORED:
+        path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+        STORED[key] = create_index(path, chunks(spark, d), embed)
+    return STORED[key]
+
+
 def vectors(spark, d):
     return view(spark, d, "chunk_vectors")
 
 
+def chunk_vectors(spark, d):
+    return vectors(spark, d).select("*", F.lit("").alias("location"), F.lit("").alias("text"))
+
+
+def vector_index(spark, d) -> ChunkIndex:
+    return stored_index(spark, d, "vectors", chunk_vectors)
+
+
+def document_chunks(spark, d):
+    return D.chunk_documents(docs(spark, d)).withColumn("location", F.array_join("locations", ", ")).drop("locations")
+
+
+def text_index(spark, d) -> ChunkIndex:
+    return stored_index(spark, d, "texts", document_chunks, embed_text)
+
+
 @query(
     "vector_topk", "query_vectors chunk_vectors",
     f"""WITH {ALL_SCORES}, one AS (SELECT qset_id * 10 + variant_no AS qset_id, chunk_id, round(s, 9) AS score FROM pair WHERE round(s, 9) >= 0.25),
@@ -38,12 +71,12 @@ def vectors(spark, d):
 def _(spark, d):
     """Each formulation on its own."""
     single = query_vectors(spark, d).withColumn("qset_id", F.col("qset_id") * 10 + F.col("variant_no"))
-    return R.vector_topk(vectors(spark, d), single, 10, R.DISCOVERY_MIN_SCORE).select("qset_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return indexed_topk(vector_index(spark, d), single, 10, R.DISCOVERY_MIN_SCORE).select("qset_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("multi_query_max", "query_vectors chunk_vectors", f"WITH {ALL_SCORES} SELECT qset_id, chunk_id, round(score, 6) AS score FROM sc WHERE score >= 0.25")
 def _(spark, d):
-    return R.score_chunks(vectors(spark, d), query_vectors(spark, d), 0.25).select("qset_id", "chunk_id", F.round("score", 6).alias("score"))
+    return search(vector_index(spark, d), query_vectors(spark, d), 0.25).select("qset_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -51,7 +84,24 @@ def _(spark, d):
     f"WITH {ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score >= 0.35) SELECT qset_id, chunk_id, rank FROM r WHERE rank <= 24",
 )
 def _(spark, d):
-    return R.candidate_pool(vectors(spark, d), query_vectors(spark, d)).select("qset_id", "chunk_id", "rank")
+    return indexed_topk(vector_index(spark, d), query_vectors(spark, d), R.TOP_K * R.POOL_FACTOR, R.MIN_SCORE).select("qset_id", "chunk_id", "rank")
+
+
+@query(
+    "index_updates", "query_vectors chunk_vectors",
+    f"""WITH {ALL_SCORES}, live AS (SELECT * FROM sc WHERE doc_id % 5 <> 2), r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS rank FROM live WHERE score >= 0.25)
+    SELECT qset_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 50""",
+)
+def _(spark, d):
+    """An index in its life: nine tenths written, the rest added, every fifth document deleted, then compacted."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    chunks = chunk_vectors(spark, d)
+    create_index(path, chunks.filter("pmod(xxhash64(chunk_id), 10) < 9"), None)
+    add_chunks(path, chunks, None)
+    delete_documents(path, chunks.filter("doc_id % 5 = 2").select("doc_id"))
+    index = compact(path, spark)
+    return indexed_topk(index, query_vectors(spark, d), 50, R.DISCOVERY_MIN_SCORE).select("qset_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 DISCOVERY = f"""{ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score >= 0.25 AND chunk_no < 3),
@@ -59,8 +109,8 @@ DISCOVERY = f"""{ALL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY qs
 
 
 def discovered(spark, d):
-    head = vectors(spark, d).filter(F.col("chunk_no") < R.DISCOVERY_CHUNKS)
-    return R.doc_scores(R.vector_topk(head, query_vectors(spark, d), R.DISCOVERY_TOP_K, R.DISCOVERY_MIN_SCORE))
+    head = lambda rows: rows.filter(F.col("chunk_no") < R.DISCOVERY_CHUNKS)
+    return R.doc_scores(indexed_topk(vector_index(spark, d), query_vectors(spark, d), R.DISCOVERY_TOP_K, R.DISCOVERY_MIN_SCORE, head))
 
 
 @query("doc_discovery", "query_vectors chunk_vectors", f"WITH {DISCOVERY} SELECT qset_id, doc_id, round(score, 6) AS score FROM ds")
@@ -211,13 +261,12 @@ def states(docs):
 
 
 def answered(spark, d):
-    chunks = D.chunk_documents(docs(spark, d)).withColumn("location", F.array_join("locations", ", ")).drop("locations")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qset_id"), "text")
     variants = asked.select(
         "qset_id",
         F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
     )
-    return asked, rag_answer(chunks, states(docs_meta(spark, d)), asked, variants)
+    return asked, answer_from_index(text_index(spark, d), states(docs_meta(spark, d)), asked, variants)
 
 
 @query("rag_answer", "blocks", f"WITH {RAG} SELECT qset_id, rank, chunk_id, doc_id, round(score, 6) AS score, round(boosted, 6) AS boosted FROM hits")
@@ -232,26 +281,31 @@ def _(spark, d):
 
 
 def _pool(spark, d):
-    """Discovery pool of the benchmark questions with its signals and texts."""
-    chunks = D.chunk_documents(docs(spark, d))
+    """Pool of the benchmark questions over all chunks of ready corpus documents, with its signals and texts."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qset_id"), "text")
     variants = asked.select(
         "qset_id",
         F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
     )
-    head = chunks.filter(F.col("chunk_no") < R.DISCOVERY_CHUNKS).join(R.ready_corpus(states(docs_meta(spark, d))).select("doc_id"), "doc_id", "left_semi")
-    pool = R.candidate_pool(embed_text(head), embed_text(variants), R.DISCOVERY_TOP_K, R.DISCOVERY_MIN_SCORE)
-    return pool, R.query_signals(variants), head
+    corpus = R.ready_corpus(states(docs_meta(spark, d))).select("doc_id")
+    index = text_index(spark, d)
+    pool = indexed_topk(index, embed_text(variants), R.DISCOVERY_TOP_K * R.POOL_FACTOR, R.DISCOVERY_MIN_SCORE, lambda rows: rows.join(corpus, "doc_id", "left_semi"))
+    return pool, R.query_signals(variants), stored_chunks(index)
+
+
+LEXICAL = f"""{RAG},
+    lp AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY qset_id ORDER BY score DESC, chunk_id) AS k FROM sc JOIN st USING (doc_id) WHERE ready AND NOT upload AND score >= 0.25) WHERE k <= 80),
+    {lexical_sql('lp')}"""
 
 
-@query("lexical_score", "blocks", f"WITH {RAG} SELECT qset_id, chunk_id, round(coalesce(hs * 0.7 + ts * 0.3, hs, ts, 0), 6) AS lex FROM dp_l")
+@query("lexical_score", "blocks", f"WITH {LEXICAL} SELECT qset_id, chunk_id, round(coalesce(hs * 0.7 + ts * 0.3, hs, ts, 0), 6) AS lex FROM lp_l")
 def _(spark, d):
     pool, signals, head = _pool(spark, d)
     j = pool.join(head.select("chunk_id", "text"), "chunk_id").join(signals, "qset_id")
     return j.select("qset_id", "chunk_id", F.round(R.lexical_score(F.col("hard"), F.col("terms"), F.col("text")), 6).alias("lex"))
 
 
-@query("lexical_rerank", "blocks", f"WITH {RAG} SELECT qset_id, rank, chunk_id, round(boosted, 6) AS boosted FROM dp_r WHERE rank <= 20")
+@query("lexical_rerank", "blocks", f"WITH {LEXICAL} SELECT qset_id, rank, chunk_id, round(boosted, 6) AS boosted FROM lp_r WHERE rank <= 20")
 def _(spark, d):
     pool, signals, head = _pool(spark, d)
     return R.lexical_rerank(pool, signals, head, R.DISCOVERY_TOP_K).select("qset_id", "rank", "chunk_id", F.round("boosted", 6).alias("boosted"))
