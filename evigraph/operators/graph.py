@@ -111,16 +111,42 @@ def compare(actual: Column, op: Column, value: Column) -> Column:
     )
 
 
-def numeric_range_filter(nodes: DataFrame, predicates: DataFrame) -> DataFrame:
-    """(set_id, id): nodes that satisfy every (key, op, value) of a predicate set."""
-    wanted = predicates.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_all"))
-    values = nodes.select("id", F.explode("attrs_num").alias("key", "actual"))
-    sat = (
-        spread_join(values, predicates, ["key"])
-        .filter(compare(F.col("actual"), F.col("op"), F.col("value")))
-        .groupBy("set_id", "id").agg(F.count(F.lit(1)).alias("n_sat"))
-    )
-    return sat.join(wanted, "set_id").filter(F.col("n_sat") == F.col("n_all")).select("set_id", "id")
+RANGE_BINS = 64  # equi-depth bins of the values of a key
+RANGE_FANOUT = 8
+
+
+def numeric_range_filter(nodes: DataFrame, predicates: DataFrame, bins: int = RANGE_BINS) -> DataFrame:
+    """(set_id, id): nodes that satisfy every (key, op, value) of a predicate set.
+
+    A range join: the values of a key lie in equi-depth bins, a predicate covers a run of bins, and both meet in an
+    equi join on key and bin. Only the predicate of a set that leaves the fewest nodes by the bins' counts takes
+    part; the others of its set (a handful) are tested on the node's own attributes in the same row. So what is
+    produced is bounded by each set's most selective predicate, and nothing is counted or grouped afterwards. A set
+    with an unknown operator or a key that no node has matches nothing.
+    """
+    values = nodes.select("id", "attrs_num", F.explode("attrs_num").alias("key", "actual")).filter("actual IS NOT NULL")
+    steps = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    depth = values.groupBy("key").agg(F.array_sort(F.array_distinct(F.percentile_approx("actual", steps, 10_000))).alias("edges"))
+    depth = cut_lineage(depth)  # one row a key
+
+    def bin_of(value: Column) -> Column:
+        """Number of edges up to the value, which no larger value falls below."""
+        return F.size(F.filter("edges", lambda e: e <= value))
+
+    placed = cut_lineage(spread_join(values, depth, ["key"], fanout=RANGE_FANOUT).select("id", "attrs_num", "key", bin_of(F.col("actual")).alias("bin")))
+    sizes = cut_lineage(placed.groupBy("key", "bin").agg(F.count("*").alias("n")))  # bins rows a key
+    at = F.col("at")
+    low = F.when(F.col("op").isin(">=", ">", "="), at).otherwise(0)
+    high = F.when(F.col("op").isin("<=", "<", "="), at).otherwise(bins)
+    known = F.col("op").isin("<=", "<", ">=", ">", "=")
+    runs = predicates.join(depth, "key", "left").withColumn("at", bin_of(F.col("value"))).select("set_id", "key", "op", "value", F.when(known & F.col("edges").isNotNull(), low).otherwise(1).alias("low"), F.when(known & F.col("edges").isNotNull(), high).otherwise(0).alias("high"))
+    covered = runs.join(sizes, (runs["key"] == sizes["key"]) & F.col("bin").between(F.col("low"), F.col("high")), "left")
+    test = F.struct(*[runs[c] for c in ("key", "op", "value", "low", "high")])
+    weighed = covered.groupBy(runs["set_id"], test.alias("test")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    sets = weighed.groupBy("set_id").agg(F.min_by("test", F.struct("n", "test")).alias("best"), F.collect_set("test").alias("tests"))
+    asked = sets.filter("best.low <= best.high").select("set_id", "tests", F.col("best.key").alias("key"), F.explode(F.sequence("best.low", "best.high")).alias("bin"))
+    met = spread_join(placed, asked, ["key", "bin"], fanout=RANGE_FANOUT)
+    return met.filter(F.forall("tests", lambda t: compare(F.col("attrs_num")[t["key"]], t["op"], t["value"]))).select("set_id", "id")
 
 
 def numeric_condition(filters: list[tuple[str, str, float]]) -> Column:
