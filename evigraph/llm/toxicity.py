@@ -6,7 +6,7 @@ interaction through the ``K`` factors of its terms, so an insult beside a mentio
 otherwise than either of them alone.
 
 The model is fitted on a bounded sample: ``SAMPLE`` labelled documents a class, those with the smallest hash of
-their id, ranked with a group limit before the shuffle. Only their hashed terms come to the driver. Terms
+their id; a histogram of the hashes leaves little more than the sample to rank. Only their hashed terms come to the driver. Terms
 in fewer than ``MIN_SHARE`` of the sample have no weight. Scoring is one pass over whole texts without a
 shuffle; the model (``DIM`` x (``K`` + 1) floats at most) is broadcast in its kept rows.
 
@@ -34,6 +34,7 @@ from evigraph.llm.tables import fold_of, read
 DIM = 1 << 18
 K = 8
 SAMPLE = {1: 4_000, 0: 12_000}  # documents a class
+BIN_BITS = 16  # of the hashes that choose them
 MIN_SHARE, MIN_DOCS = 0.0025, 5
 EPOCHS, BATCH, RATE, L2 = 10, 256, 0.1, 1e-3
 THRESHOLD = 0.5
@@ -55,17 +56,32 @@ def term_sets(texts: pa.Array, hasher: wd.WordHasher, dim: int = DIM) -> tuple[n
     return keys % dim, np.searchsorted(keys, np.arange(len(starts)) * dim)
 
 
-def sampled_terms(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> list[tuple[int, np.ndarray]]:
-    """(label, places) of the sampled labelled documents; the fold to learn from is the caller's choice of ``labels``."""
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    limit = F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0])
-    chosen = (
+def sampled_ids(labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
+    """(doc_id, toxic) of the ``sample`` documents a class with the smallest (hash, id).
+
+    A histogram of the hashes, combined map-side, tells the range that holds them: at most 2^16 counts a class are
+    summed up in one task, and only the rows of that range, the sample and a part of one bin, are ranked.
+    """
+    labelled = (
         labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .withColumn("_r", F.row_number().over(order))
-        .filter((F.col("_r") <= max(sample.values())) & (F.col("_r") <= limit))
-        .select("doc_id", "toxic")
+        .withColumn("_h", F.xxhash64("doc_id")).withColumn("_bin", F.shiftright("_h", 64 - BIN_BITS))
+    )
+    limit = F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0])
+    upto = W.partitionBy("toxic").orderBy("_bin")
+    last = (
+        labelled.groupBy("toxic", "_bin").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(upto) - F.col("n")).filter(F.col("before") < limit)
+        .groupBy("toxic").agg(F.max("_bin").alias("_last"))
     )
+    order = W.partitionBy("toxic").orderBy("_h", "doc_id")
+    near = labelled.join(F.broadcast(last), "toxic").filter("_bin <= _last")  # two rows
+    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).select("doc_id", "toxic")
+
+
+def sampled_terms(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> list[tuple[int, np.ndarray]]:
+    """(label, places) of the sampled labelled documents; the fold to learn from is the caller's choice of ``labels``."""
+    chosen = sampled_ids(labels, sample)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = wd.WordHasher(wd.MARKS)

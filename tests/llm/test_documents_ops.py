@@ -188,6 +188,15 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(x > y for x in p for y in n) / (len(p) * len(n)) > 0.9
 
 
+def test_toxicity_sample_is_the_smallest_hashes(spark):
+    labels = spark.range(5000).selectExpr("id % 4000 AS doc_id", "cast(id % 7 = 0 AS int) AS toxic")
+    best = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).collect()
+    for sample in ({1: 50, 0: 300}, {1: 10**6, 0: 1}):
+        want = {(r.doc_id, r.toxic) for y in (0, 1) for r in sorted((r for r in best if r.toxic == y), key=lambda r: (r.h, r.doc_id))[: sample[y]]}
+        assert {tuple(r) for r in toxicity.sampled_ids(labels, sample).collect()} == want
+    assert toxicity.sampled_ids(labels.filter("false")).count() == 0
+
+
 def test_toxicity_of_edge_rows(spark):
     docs, none = edge_docs(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score_documents(docs, toxicity.train(docs, none), "toxic_score")
