@@ -46,6 +46,7 @@ SHORT_LIST = 32       # lists up to this length yield all their pairs of fitting
 PIVOTS = 2            # of each size class in longer lists
 BLOCK = 4096          # members of a block of a long list
 PIECE_BYTES = 16 << 20  # of text whose sets are counted and indexed together
+SEGMENT_BYTES = 24 << 20  # of text a segment of the index stands for: one is held by a task
 SMALL = 64            # sizes up to which subsets are considered at all
 SIZE_STEP = 1.05      # ratio between size classes
 MAP_WORDS = 1 << 20   # 64-bit words of the map of documents whose sets are fetched
@@ -474,7 +475,8 @@ def cross_links(lists: DataFrame, labels: DataFrame, signatures: DataFrame, chos
 def jaccard_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    segments = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(shuffle_partitions(docs.sparkSession), -(-size // SEGMENT_BYTES))
     table, boundary = fit_order(docs)
     dealt = index_pieces(docs, table, boundary, segments).repartition(segments, "segment")
     index = cut_lineage(dealt.groupBy("segment").applyInArrow(merge_segment, OUT))

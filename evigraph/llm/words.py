@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 8 << 20  # of text worked on at a time
+PIECE_BYTES = 4 << 20  # of text worked on at a time
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -23,6 +23,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(begin + 1, int(np.searchsorted(sizes, done + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        pa.default_memory_pool().release_unused()  # workers live on between stages
 
 
 # Bytes outside words: ASCII white space, or everything ASCII but letters and digits.
