@@ -16,8 +16,9 @@ from evigraph.model import (
     CONFIDENCE_EXTERNAL, CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM, NON_FACT_KEYS,
     NUMERIC_EVIDENCE_SUFFIXES, UNTITLED, VERIFICATION_FIELDS, VERIFIED_TYPES, signature_table,
 )
+from evigraph.operators.components import components
 from evigraph.operators.matching import similar_names
-from evigraph.session import cut_lineage
+from evigraph.session import cut_lineage, cut_to_table
 
 # Fixed values.
 SAME_ENTITY = 0.75
@@ -56,40 +57,127 @@ def resolve_fuzzy(names: DataFrame, aliases: DataFrame, threshold: float = SAME_
     )
 
 
-def leaders(names: DataFrame, pairs: DataFrame) -> DataFrame:
+PLAIN_ROUNDS = 3
+GROUP_LINKS = 200_000  # links that one task reads at once when it decides names in order
+
+
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """States of the names of one group, taken in order.
+
+    A row is a link of an open name to an open earlier one of the group (``old_lname``), or stands for all its links
+    out of the group (null): ``led`` if one of them is a leader, ``outside`` if one is open. A name that depends on an
+    open outside one stays open, everything else is final.
+    """
+    links: dict[tuple, list] = {}
+    for row in rows.sort_values(["pos", "lname"], kind="stable").itertuples():
+        links.setdefault((row.type, row.lname), []).append(row)
+    state: dict[tuple, str] = {}
+    for name, lines in links.items():
+        seen = {state.get((name[0], row.old_lname), "U") for row in lines if row.old_lname is not None}
+        if "L" in seen or any(row.led for row in lines):
+            state[name] = "F"
+        else:
+            state[name] = "U" if "U" in seen or any(row.outside for row in lines) else "L"
+    decided = [(*name, to) for name, to in state.items()]
+    return pd.DataFrame(decided, columns=["type", "lname", "decided"])
+
+
+def _settle(status: DataFrame, before: DataFrame) -> DataFrame:
+    """``status`` after one plain round: open names whose earlier ones are known are decided."""
+    key = ["type", "lname"]
+    live = (
+        before.join(status.filter("state = 'U'").select(*key), key, "left_semi")
+        .join(status.select("type", F.col("lname").alias("old_lname"), F.col("state").alias("old_state")), ["type", "old_lname"])
+        .filter("old_state <> 'F'")
+        .groupBy(*key).agg(F.max(F.col("old_state") == "L").alias("has_leader"))
+    )
+    return cut_to_table(
+        status.join(live, key, "left").select(
+            *key, "pos",
+            F.when(F.col("state") != "U", F.col("state")).when(F.col("has_leader").isNull(), "L").when(F.col("has_leader"), "F").otherwise("U").alias("state"),
+        )
+    )
+
+
+def _groups(status: DataFrame, before: DataFrame, group_links: int) -> DataFrame:
+    """(type, lname, pos, group): open names by component of their links.
+
+    A component of more links than one task should read is cut into runs of its own order.
+    """
+    key = ["type", "lname"]
+    node = F.xxhash64("type", "lname")
+    still = status.filter("state = 'U'").select(*key, "pos", node.alias("node"))
+    # Links between open names only: decided ones no longer hold anything back.
+    ends = before.join(still.select(*key), key, "left_semi").join(still.select("type", F.col("lname").alias("old_lname")), ["type", "old_lname"], "left_semi")
+    links = ends.select(node.alias("a"), F.xxhash64("type", "old_lname").alias("b"))
+    placed = still.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    # Running sums per component: over ranges of positions first, so that no component is sorted in one task.
+    sized = placed.join(degree, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
+    sized = cut_to_table(sized.withColumn("range", F.floor(F.col("pos") / group_links)))
+    totals = sized.groupBy("label", "range").agg(F.sum("n").alias("held"))
+    earlier = totals.select(
+        "label", "range", F.coalesce(F.sum("held").over(W.partitionBy("label").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead")
+    )
+    inside = F.sum("n").over(W.partitionBy("label", "range").orderBy("pos", "lname").rowsBetween(W.unboundedPreceding, 0))
+    run = F.floor((F.col("ahead") + F.col("inside") - 1) / group_links)
+    return sized.withColumn("inside", inside).join(earlier, ["label", "range"]).select(*key, "pos", F.xxhash64("label", run).alias("group"))
+
+
+def leaders(names: DataFrame, pairs: DataFrame, plain_rounds: int = PLAIN_ROUNDS, group_links: int = GROUP_LINKS) -> DataFrame:
     """Names that become nodes when mentions are read in order: (type, lname, pos).
 
     ``names(type, lname, pos, fixed)`` with the first position of each name (``fixed`` names are
     nodes already); ``pairs(type, lname, old_lname)`` are similar names. A name follows if an
-    earlier leader is similar to it. Rounds decide all names whose earlier ones are decided; the
-    earliest undecided name always is, so the loop ends with the exact sequential result.
+    earlier leader is similar to it. A few plain rounds decide every name whose earlier ones are
+    decided. What is left hangs on chains of names: its links fall into components, independent of each
+    other, and the names of one component are decided in order inside one task. Only a component of more
+    than ``group_links`` links is cut into runs of its order, which take a round for each run that a
+    chain crosses. The number of rounds so grows with the logarithm of the names, not with the
+    longest chain, and the result is exactly the sequential one.
     """
-    place = names.select("type", "lname", F.struct("pos", "lname").alias("at"))
+    key = ["type", "lname"]
+    place = names.select(*key, F.struct("pos", "lname").alias("at"))
     before = (
-        pairs.join(place, ["type", "lname"])
+        pairs.join(place, key)
         .join(place.select("type", F.col("lname").alias("old_lname"), F.col("at").alias("old_at")), ["type", "old_lname"])
-        .filter(F.col("old_at") < F.col("at")).select("type", "lname", "old_lname")
+        .filter(F.col("old_at") < F.col("at")).select(*key, "old_lname")
     )
-    before = cut_lineage(before)
-    status = names.join(before.select("type", "lname").distinct().withColumn("waits", F.lit(True)), ["type", "lname"], "left").select(
-        "type", "lname", "pos", F.when(F.col("fixed") | F.col("waits").isNull(), "L").otherwise("U").alias("state")
+    before = cut_to_table(before)
+    status = cut_to_table(
+        names.join(before.select(*key).distinct().withColumn("waits", F.lit(True)), key, "left").select(
+            *key, "pos", F.when(F.col("fixed") | F.col("waits").isNull(), "L").otherwise("U").alias("state")
+        )
     )
-    status = cut_lineage(status)
-    while not status.filter("state = 'U'").isEmpty():
-        open_names = status.filter("state = 'U'").select("type", "lname")
-        live = (
-            before.join(open_names, ["type", "lname"], "left_semi")
-            .join(status.select("type", F.col("lname").alias("old_lname"), F.col("state").alias("old_state")), ["type", "old_lname"])
-            .filter("old_state <> 'F'")
-            .groupBy("type", "lname").agg(F.max(F.col("old_state") == "L").alias("has_leader"))
+    rounds = 0
+    open_names = status.filter("state = 'U'")
+    while rounds < plain_rounds and not open_names.isEmpty():
+        status = _settle(status, before)
+        open_names = status.filter("state = 'U'")
+        rounds += 1
+    if open_names.isEmpty():
+        return status.filter("state = 'L'").select(*key, "pos")
+
+    grouped = cut_to_table(_groups(status, before, group_links))
+    old_groups = grouped.select("type", F.col("lname").alias("old_lname"), F.col("group").alias("old_group"))
+    while not open_names.isEmpty():
+        mine = grouped.join(open_names.select(*key), key, "left_semi")
+        states = status.select("type", F.col("lname").alias("old_lname"), F.col("state").alias("old_state"))
+        live = before.join(states, ["type", "old_lname"]).filter("old_state <> 'F'").join(old_groups, ["type", "old_lname"], "left")
+        waits = F.col("old_state") == "U"
+        # Links out of the group are one row per name before they travel.
+        near = waits & (F.col("old_group") == F.col("group"))
+        linked = mine.join(live, key, "left").withColumn("near", F.coalesce(near, F.lit(False)))
+        rows = linked.groupBy(*key, "pos", "group", F.when(F.col("near"), F.col("old_lname")).alias("old_lname")).agg(
+            F.max(F.coalesce(F.col("old_state") == "L", F.lit(False))).alias("led"),
+            F.max(F.coalesce(waits & ~F.col("near"), F.lit(False))).alias("outside"),
         )
-        status = cut_lineage(
-            status.join(live, ["type", "lname"], "left").select(
-                "type", "lname", "pos",
-                F.when(F.col("state") != "U", F.col("state")).when(F.col("has_leader").isNull(), "L").when(F.col("has_leader"), "F").otherwise("U").alias("state"),
-            )
+        solved = rows.groupBy("group").applyInPandas(_decide, "type string, lname string, decided string")
+        status = cut_to_table(
+            status.join(solved, key, "left").select(*key, "pos", F.when(F.col("state") == "U", F.coalesce("decided", "state")).otherwise(F.col("state")).alias("state"))
         )
-    return status.filter("state = 'L'").select("type", "lname", "pos")
+        open_names = status.filter("state = 'U'")
+    return status.filter("state = 'L'").select(*key, "pos")
 
 
 def resolve_batch(mentions: DataFrame, existing: DataFrame | None = None, threshold: float = SAME_ENTITY) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows live in shared storage, so a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_to_table(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder, for loops.
+
+    A checkpoint keeps the size estimate of the plan it cuts; over rounds of joins these estimates multiply until
+    planning takes longer than the work. A table starts from its real size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

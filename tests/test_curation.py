@@ -2,9 +2,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from evigraph import session
 from evigraph.functions.skew import hot_key_hashes, previous_value, spread_join
+from evigraph.operators import components as components_module
 from evigraph.operators import curation as C
 from evigraph.operators import evaluation as E
+from evigraph.operators.components import components
 from evigraph.operators.extraction import parse_extractions
 from evigraph.operators.matching import similar_names, substring_join
 
@@ -112,3 +115,57 @@ def test_entity_match_is_greedy_in_order(spark):
     g = spark.createDataFrame([("f", 1, "g1", "m", "nickel ore"), ("f", 2, "g2", "m", "nickel matte"), ("h", 1, "g3", "m", "z")], "file_id string, pos long, tmp_id string, type string, name string")
     got = {r.file_id: (r.tp, r.fp, r.fn, [(m.tmp_id, m.golden_id) for m in r.id_map]) for r in E.entity_matches(p, g).collect()}
     assert got == {"f": (2, 1, 0, [("p1", "g2"), ("p2", "g1")]), "h": (0, 0, 1, [])}
+
+
+def sequential_leaders(names, links):
+    """Names in order; a name leads unless an earlier leader is linked with it."""
+    lead = set()
+    for pos, name in sorted((pos, name) for name, pos in names.items()):
+        if not any((names[o], o) < (pos, name) and o in lead for o in links.get(name, ())):
+            lead.add(name)
+    return lead
+
+
+def leaders_of(spark, names, links, **args):
+    n = spark.createDataFrame([("m", name, pos, False) for name, pos in names.items()], "type string, lname string, pos long, fixed boolean")
+    p = spark.createDataFrame([("m", a, b) for a, old in links.items() for b in old], "type string, lname string, old_lname string")
+    return {r.lname for r in C.leaders(n, p, **args).collect()}
+
+
+def count_cuts(monkeypatch):
+    done = []
+    real = session.cut_to_table
+    for module in (C, components_module):
+        monkeypatch.setattr(module, "cut_to_table", lambda df: done.append(1) or real(df))
+    return done
+
+
+def test_leaders_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    names = {f"n{i:04d}": i for i in range(1000)}
+    links = {f"n{i:04d}": [f"n{i - 1:04d}"] for i in range(1, 1000)}
+    cuts = count_cuts(monkeypatch)
+    assert leaders_of(spark, names, links) == {f"n{i:04d}" for i in range(0, 1000, 2)}
+    assert len(cuts) < 40  # three tables a round of contraction
+
+
+def test_leaders_equal_the_sequential_ones_also_over_cut_components(spark):
+    rng = random.Random(21)
+    names = {f"n{i}": pos for i, pos in enumerate(rng.sample(range(300), 120))}
+    order = sorted(names, key=lambda n: names[n])
+    links = {}
+    for i, name in enumerate(order[1:], 1):
+        # Mostly neighbours, so that chains run through all groups.
+        links[name] = {order[max(0, i - rng.randrange(1, 4))] for _ in range(rng.randrange(1, 4))}
+    want = sequential_leaders(names, links)
+    assert leaders_of(spark, names, links) == want
+    assert leaders_of(spark, names, links, plain_rounds=0, group_links=40) == want
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    chain = [(i, i + 1) for i in range(200)]
+    star = [(1000, 1000 + i) for i in range(1, 50)]
+    rows = chain + star + [(2000, 2000), (3000, 3001), (3001, 3000)]
+    got = {}
+    for r in components(spark.createDataFrame(rows, "a long, b long")).collect():
+        got.setdefault(r.label, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == [list(range(201)), list(range(1000, 1050)), [3000, 3001]]
