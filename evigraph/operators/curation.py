@@ -277,13 +277,34 @@ def edge_upsert(edges: DataFrame) -> DataFrame:
 
 
 def fact_rows(mentions: DataFrame) -> DataFrame:
-    """(entity_id, attr, value, source_file, doc_id, pos) from resolved mentions with an ``attrs_num`` map."""
-    rows = mentions.select("entity_id", "source_file", "doc_id", "pos", F.explode("attrs_num").alias("attr", "value"))
-    return rows.filter(~F.col("attr").isin(*NON_FACT_KEYS))
+    """(entity_id, attr, value, source_file, doc_id, pos) of every attribute of resolved mentions.
+
+    ``value`` is a struct(num, text) with one field set: numbers come from the map ``attrs_num``, texts from
+    ``attrs_str`` (either may be missing or null). A number never equals a text, and 2 equals 2.0.
+    """
+    def typed(name: str, field: str) -> Column:
+        entries = F.transform(
+            F.map_entries(name),
+            lambda e: F.struct(
+                e["key"].alias("attr"),
+                F.struct(
+                    (e["value"].cast("double") if field == "num" else F.lit(None).cast("double")).alias("num"),
+                    (e["value"].cast("string") if field == "text" else F.lit(None).cast("string")).alias("text"),
+                ).alias("value"),
+            ),
+        )
+        return F.coalesce(entries, F.array().cast("array<struct<attr:string,value:struct<num:double,text:string>>>"))
+
+    given = [typed(name, field) for name, field in (("attrs_num", "num"), ("attrs_str", "text")) if name in mentions.columns]
+    rows = mentions.select("entity_id", "source_file", "doc_id", "pos", F.explode(F.concat(*given)).alias("fact"))
+    stated = F.col("fact.value.num").isNotNull() | F.col("fact.value.text").isNotNull()
+    return rows.filter(stated & ~F.col("fact.attr").isin(*NON_FACT_KEYS)).select(
+        "entity_id", "fact.attr", "fact.value", "source_file", "doc_id", "pos"
+    )
 
 
 def fact_history(facts: DataFrame, docs_per_bucket: int = 4096) -> DataFrame:
-    """(entity_id, attr, old_value, new_value, source_file, pos): each change of a value in order.
+    """(entity_id, attr, old_value, new_value, source_file, pos): each change of a value, or of its type, in order.
 
     The history of one entity is split into document ranges, so a fact stated by a large share of
     all documents is not sorted in one task.

@@ -137,24 +137,48 @@ def _(spark, d):
     return C.edge_upsert(e)
 
 
-FACTS = "fr AS (SELECT 'material_' || left(sha1(lower(trim(name))), 16) AS entity_id, discount_pct AS value, source_file, pos FROM mentions)"
+FACTS = """fm AS (SELECT *, 'material_' || left(sha1(lower(trim(name))), 16) AS entity_id FROM mentions),
+    fr AS (SELECT entity_id, 'discount_pct' AS attr, discount_pct AS num, NULL AS text, source_file, pos FROM fm WHERE discount_pct IS NOT NULL
+      UNION ALL SELECT entity_id, 'spelling', NULL, name, source_file, pos FROM fm
+      UNION ALL SELECT entity_id, 'rebate', CASE WHEN discount_pct < 5 THEN discount_pct END, CASE WHEN discount_pct >= 5 THEN 'high' END, source_file, pos FROM fm WHERE discount_pct IS NOT NULL)"""
+
+
+def facts(spark, d):
+    """Facts of mentions: a number, a text and one that is either."""
+    number, text = F.col("discount_pct"), F.lit(None).cast("string")
+    low = number < 5
+    m = by_name(spark, d)
+    some = lambda *pairs: F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    return C.fact_rows(
+        m.withColumn("attrs_num", some(F.lit("discount_pct"), number, F.lit("rebate"), F.when(low, number)))
+        .withColumn("attrs_str", some(F.lit("spelling"), F.col("name"), F.lit("rebate"), F.when(~low, "high").otherwise(text)))
+    )
 
 
 @query(
     "fact_versions", "mentions",
-    f"""WITH {FACTS}, h AS (SELECT *, lag(value) OVER (PARTITION BY entity_id ORDER BY pos, value, source_file) AS old_value FROM fr)
-    SELECT entity_id, 'discount_pct' AS attr, old_value, value AS new_value, source_file, pos FROM h WHERE old_value IS NOT NULL AND old_value <> value""",
+    f"""WITH {FACTS}, h AS (SELECT *, lag(num) OVER w AS old_num, lag(text) OVER w AS old_text, lag(pos) OVER w AS old_pos FROM fr
+      WINDOW w AS (PARTITION BY entity_id, attr ORDER BY pos, num NULLS FIRST, text NULLS FIRST, source_file))
+    SELECT entity_id, attr, old_num AS old_value, num AS new_value, old_text, text AS new_text, source_file, pos FROM h
+    WHERE old_pos IS NOT NULL AND (old_num IS DISTINCT FROM num OR old_text IS DISTINCT FROM text)""",
 )
 def _(spark, d):
-    return C.fact_history(C.fact_rows(by_name(spark, d)))
+    return C.fact_history(facts(spark, d)).select(
+        "entity_id", "attr", F.col("old_value.num").alias("old_value"), F.col("new_value.num").alias("new_value"),
+        F.col("old_value.text").alias("old_text"), F.col("new_value.text").alias("new_text"), "source_file", "pos",
+    )
 
 
-@query("current_facts", "mentions", f"WITH {FACTS} SELECT entity_id, 'discount_pct' AS attr, arg_max(value, (pos, value, source_file)) AS value, arg_max(source_file, (pos, value, source_file)) AS source_file FROM fr GROUP BY 1")
+@query(
+    "current_facts", "mentions",
+    f"""WITH {FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, attr ORDER BY pos DESC, num DESC NULLS LAST, text DESC NULLS LAST, source_file DESC) AS k FROM fr)
+    SELECT entity_id, attr, num AS value, text, source_file FROM r WHERE k = 1""",
+)
 def _(spark, d):
-    return C.current_facts(C.fact_rows(by_name(spark, d)))
+    return C.current_facts(facts(spark, d)).select("entity_id", "attr", F.col("value.num").alias("value"), F.col("value.text").alias("text"), "source_file")
 
 
-@query("source_accumulation", "mentions", f"WITH {FACTS} SELECT entity_id, source_file, min(pos) AS first_pos FROM fr GROUP BY 1, 2")
+@query("source_accumulation", "mentions", f"WITH {FACTS} SELECT entity_id, source_file, min(pos) AS first_pos FROM fm GROUP BY 1, 2")
 def _(spark, d):
     return C.source_accumulation(by_name(spark, d))
 
@@ -193,7 +217,7 @@ def _(spark, d):
 
 
 EXTERNAL_SQL = """x AS (SELECT item_id, kind, title, CASE WHEN item_id % 3 = 0 THEN '' ELSE 'http://src.example/' || CAST(item_id % 10 AS VARCHAR) END AS url, year, p_name, p_type
-      FROM external_sources JOIN part ON p_partkey = item_id),
+      FROM external_sources LEFT JOIN part ON p_partkey = item_id),
     xi AS (SELECT *, 'rg_ext_' || kind || '_' || trim(left(regexp_replace(CASE WHEN url = '' THEN title ELSE url END, '[^a-zA-Z0-9_]', '_', 'g'), 48), '_') AS id FROM x),
     xf AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY item_id) AS k FROM xi),
     pubs AS (SELECT id, title AS name, CAST(year AS VARCHAR) AS date, kind AS origin, p_name, p_type FROM xf WHERE k = 1),
@@ -202,11 +226,11 @@ EXTERNAL_SQL = """x AS (SELECT item_id, kind, title, CASE WHEN item_id % 3 = 0 T
 
 
 def external(spark, d):
-    src = view(spark, d, "external_sources").join(table(spark, d, "part"), F.col("p_partkey") == F.col("item_id"))
+    src = view(spark, d, "external_sources").join(table(spark, d, "part"), F.col("p_partkey") == F.col("item_id"), "left")
     return src.select(
         "kind", "title", "year", F.col("item_id").alias("rank"),
         F.when(F.col("item_id") % 3 == 0, "").otherwise(F.concat(F.lit("http://src.example/"), (F.col("item_id") % 10).cast("string"))).alias("url"),
-        F.array("p_name", "p_type").alias("matched_keywords"),
+        F.array_compact(F.array("p_name", "p_type")).alias("matched_keywords"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import STOPWORDS
@@ -352,20 +353,28 @@ def _(spark, d):
     return answer_documents(asked, parts["answers"], parts["confidence"], parts["citations"])
 
 
+EXTERNAL = """ex AS (SELECT *, item_id // 10 AS qset_id, row_number() OVER (PARTITION BY item_id // 10 ORDER BY item_id) - 1 AS rank, count(*) OVER (PARTITION BY item_id // 10) AS total FROM external_sources)"""
+
+
 def _external(spark, d):
-    src = view(spark, d, "external_sources")
+    """Sources of questions, ten ids each, whose keywords are all longer words of the title and one it lacks."""
+    src = view(spark, d, "external_sources").withColumn("qset_id", F.floor(F.col("item_id") / 10))
     words = F.array_distinct(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) >= 4))
-    keyed = src.select("*", F.concat(F.slice(words, 1, 3), F.array(F.lit("zzz"))).alias("keywords"), F.lit(40).alias("total"))
-    return keyed.withColumn("rank", F.col("item_id"))
+    asked = W.partitionBy("qset_id")
+    return src.select(
+        "*", F.concat(words, F.array(F.lit("zzz"))).alias("keywords"),
+        (F.row_number().over(asked.orderBy("item_id")) - 1).cast("long").alias("rank"), F.count(F.lit(1)).over(asked).alias("total"),
+    )
 
 
 @query(
     "external_relevance", "external_sources",
-    """WITH w AS (SELECT item_id, title, snippet, list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 4) AS ws FROM external_sources),
-    u AS (SELECT item_id, any_value(title || ' ' || snippet) AS t, list(w ORDER BY p) AS k FROM (SELECT item_id, title, snippet, w, min(p) AS p FROM (SELECT item_id, title, snippet, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w) GROUP BY ALL) GROUP BY item_id),
-    k AS (SELECT e.item_id, title || ' ' || snippet AS t, list_append(coalesce(k[1:3], []), 'zzz') AS k FROM external_sources e LEFT JOIN u USING (item_id)),
-    m AS (SELECT item_id, k, list_filter(k, lambda x: contains(lower(t), x)) AS mk FROM k)
-    SELECT item_id, array_to_string(mk, ',') AS matched, round(0.6 * (len(mk) / len(k)) + 0.4 * (1 - item_id / 40), 2) AS relevance FROM m""",
+    f"""WITH {EXTERNAL}, w AS (SELECT item_id, unnest(string_split(lower(title), ' ')) AS w, generate_subscripts(string_split(lower(title), ' '), 1) AS p FROM ex),
+    f AS (SELECT item_id, w, min(p) AS p FROM w WHERE length(w) >= 4 GROUP BY ALL),
+    u AS (SELECT item_id, list(w ORDER BY p) AS k FROM f GROUP BY item_id),
+    k AS (SELECT ex.*, title || ' ' || snippet AS t, list_append(coalesce(k, []), 'zzz') AS k FROM ex LEFT JOIN u USING (item_id)),
+    m AS (SELECT *, list_filter(k, lambda x: contains(lower(t), x)) AS mk FROM k)
+    SELECT item_id, array_to_string(mk, ',') AS matched, round(0.6 * (len(mk) / len(k)) + 0.4 * (1 - rank / total), 2) AS relevance FROM m""",
 )
 def _(spark, d):
     return R.external_relevance(_external(spark, d)).select("item_id", F.array_join("matched_keywords", ",").alias("matched"), "relevance")
@@ -373,13 +382,12 @@ def _(spark, d):
 
 @query(
     "external_context", "external_sources",
-    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY item_id) AS n FROM external_sources)
-    SELECT kind, n, trim('[' || CASE WHEN kind = 'patent' THEN 'P' ELSE 'S' END || CAST(n AS VARCHAR) || '] «' || title || '» — ' || CASE WHEN kind = 'patent' THEN 'изобретатели не указаны' ELSE 'Doe, Roe' END || '. ' || CAST(year AS VARCHAR) || '. ' || CASE WHEN kind = 'patent' THEN 'номер не указан' ELSE 'источник не указан' END || '. ' || trim(snippet)) AS line FROM n""",
+    f"""WITH {EXTERNAL}, n AS (SELECT *, row_number() OVER (PARTITION BY qset_id, kind ORDER BY rank) AS n FROM ex)
+    SELECT qset_id, kind, n, trim('[' || CASE WHEN kind = 'patent' THEN 'P' ELSE 'S' END || CAST(n AS VARCHAR) || '] «' || title || '» — ' || CASE WHEN kind = 'patent' THEN 'изобретатели не указаны' ELSE 'Doe, Roe' END || '. ' || CAST(year AS VARCHAR) || '. ' || CASE WHEN kind = 'patent' THEN 'номер не указан' ELSE 'источник не указан' END || '. ' || trim(snippet)) AS line FROM n""",
 )
 def _(spark, d):
     authors = F.when(F.col("kind") == "scholar", F.array(F.lit("Doe"), F.lit("Roe"))).otherwise(F.array().cast("array<string>"))
-    src = _external(spark, d).select("*", F.lit(0).alias("qset_id"), authors.alias("authors"), F.lit("").alias("venue"))
-    return R.external_context(src).drop("qset_id")
+    return R.external_context(_external(spark, d).select("*", authors.alias("authors"), F.lit("").alias("venue")))
 
 
 @query("query_history", "", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50")

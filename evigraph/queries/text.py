@@ -50,15 +50,19 @@ def _(spark, d):
 
 @query(
     "name_similarity", "",
-    f"""WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS a, split_part(text, chr(10), 2) AS b FROM documents),
-    w AS (SELECT *, {name_words_sql('a')} AS wa, {name_words_sql('b')} AS wb FROM l)
-    SELECT doc_id, round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 1.0 ELSE 0.0 END
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    p AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM l),
+    w AS (SELECT *, {name_words_sql('a')} AS wa, {name_words_sql('b')} AS wb FROM p WHERE b IS NOT NULL)
+    SELECT doc_id, CAST(line AS BIGINT) AS line, round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 1.0 ELSE 0.0 END
       ELSE len(list_filter(wa, lambda x: len(list_filter(wb, lambda y: {MATCH.format(a='x', b='y')})) > 0)) / len(wa) END, 4) AS similarity FROM w""",
 )
 def _(spark, d):
-    line = F.split("text", "\n")
-    pair = documents(spark, d).select("doc_id", F.get(line, F.lit(0)).alias("a"), F.coalesce(F.get(line, F.lit(1)), F.lit("")).alias("b"))
-    return pair.select("doc_id", F.round(T.name_similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
+    """Every line of every text against the line after it."""
+    lines = documents(spark, d).select("doc_id", F.split("text", "\n").alias("lines"))
+    n = F.greatest(F.size("lines") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("lines", 1, n), F.slice("lines", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pair = lines.select("doc_id", F.posexplode(pairs).alias("line", "p"))
+    return pair.select("doc_id", F.col("line").cast("long").alias("line"), F.round(T.name_similarity(F.col("p.a"), F.col("p.b")), 4).alias("similarity"))
 
 
 @query(

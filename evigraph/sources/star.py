@@ -61,13 +61,13 @@ SELECT l_orderkey AS doc_id, CAST(0 AS BIGINT) AS chunk_no, CAST(l_linenumber AS
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """,
     "attach_log": """
-SELECT user_id % 100 AS doc_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'activate' WHEN 'click' THEN 'detach_auto' WHEN 'purchase' THEN 'attach_manual' WHEN 'error' THEN 'delete' ELSE 'noop' END AS action, ts FROM {events}
+SELECT user_id AS doc_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'activate' WHEN 'click' THEN 'detach_auto' WHEN 'purchase' THEN 'attach_manual' WHEN 'error' THEN 'delete' ELSE 'noop' END AS action, ts FROM {events}
 """,
     "eval_items": """
 SELECT doc_id AS item_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(1 + quality * 2 + doc_id % 3 AS BIGINT) END AS rating, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality = 1 END AS retrieval_ok, toxic = 0 AS factual_ok, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE toxic = quality END AS citation_ok, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE 'gold ' || CAST(doc_id AS STRING) END AS gold_answer FROM {labels}
 """,
     "external_sources": """
-SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'scholar' ELSE 'patent' END AS kind, substring(text, 1, 60) AS title, text AS snippet, 1990 + item_id % 35 AS year FROM {benchmark}
+SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'scholar' ELSE 'patent' END AS kind, text AS title, text AS snippet, 1990 + item_id % 35 AS year FROM {benchmark}
 """,
     "chunk_vectors": """
 SELECT vec_id AS chunk_id, CAST(floor(vec_id / 4) AS BIGINT) AS doc_id, vec_id % 4 AS chunk_no, embedding FROM {embeddings}

@@ -169,3 +169,21 @@ def test_components_of_chains_stars_and_loops(spark):
     for r in components(spark.createDataFrame(rows, "a long, b long")).collect():
         got.setdefault(r.label, set()).add(r.node)
     assert sorted(map(sorted, got.values())) == [list(range(201)), list(range(1000, 1050)), [3000, 3001]]
+
+
+def test_facts_keep_their_type(spark):
+    rows = [
+        ("e", "f1", 1, 1, {"mass_kg": 2.0}, {"grade": "high"}),
+        ("e", "f2", 2, 2, {"mass_kg": 2.0, "grade": 1.0}, {}),
+        ("e", "f3", 3, 3, {}, {"mass_kg": "2.0", "grade": "1.0"}),
+        ("e", "f4", 4, 4, None, None),
+    ]
+    m = spark.createDataFrame(rows, "entity_id string, source_file string, doc_id long, pos long, attrs_num map<string,double>, attrs_str map<string,string>")
+    facts = C.fact_rows(m)
+    changes = {(r.attr, tuple(r.old_value), tuple(r.new_value), r.source_file) for r in C.fact_history(facts).collect()}
+    assert changes == {
+        ("grade", (None, "high"), (1.0, None), "f2"), ("grade", (1.0, None), (None, "1.0"), "f3"),
+        ("mass_kg", (2.0, None), (None, "2.0"), "f3"),
+    }
+    assert {(r.attr, tuple(r.value)) for r in C.current_facts(facts).collect()} == {("grade", (None, "1.0")), ("mass_kg", (None, "2.0"))}
+    assert C.fact_rows(m.drop("attrs_str")).count() == 3
