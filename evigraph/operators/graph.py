@@ -202,13 +202,11 @@ def experiment_search(
         relation_ok = relation_ok | ((F.col("e.type") == rel) & F.col(f"`{rel}`"))
     anchors = nodes.filter(any_flag).select("id", *[hit.alias(rel) for rel, hit in flags.items()])
     links = edges.filter(F.col("type").isin(*flags)).alias("e").join(anchors.alias("a"), F.col("e.target") == F.col("a.id"))
-    matched = (
-        links.filter(relation_ok)
-        .groupBy(F.col("e.source").alias("id"))
-        .agg(F.count_distinct("e.type").alias("n") if len(flags) > 1 else F.count(F.lit(1)).alias("n"))
-    )
-    if len(flags) > 1:
-        matched = matched.filter(F.col("n") == len(flags))
+    # A flag per relation combines map-side in one shuffle; counting distinct relations would take two.
+    has = {rel: F.max(F.col("e.type") == rel).alias(f"has_{rel}") for rel in flags}
+    matched = links.filter(relation_ok).groupBy(F.col("e.source").alias("id")).agg(*has.values())
+    for rel in has:
+        matched = matched.filter(F.col(f"has_{rel}"))
     return exps.join(matched, "id", "left_semi")
 
 

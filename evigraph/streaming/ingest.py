@@ -56,25 +56,67 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, separator: str) ->
     return spark.read.parquet(f"{out}/chunks")
 
 
-def daily_counts_stream(events: DataFrame, out: str, checkpoint: str, watermark: str = "2 days") -> DataFrame:
-    """(day, event_type, n) kept up to date by a stream of events; returns the current table.
+COMPACT_AFTER = 64  # folders of batches that a reader opens at most, but for the newest run's
+DAILY_SCHEMA = "day timestamp, event_type string, n long"
 
-    ``watermark`` is how late an event may be: state older than that is closed and later events of it are
-    not counted. Choose it to cover the latest event that must count.
+
+def _complete(spark: SparkSession, out: str, name: str) -> list[int]:
+    """Numbers N of the finished folders ``name=N`` under ``out``, ascending."""
+    if not folder_exists(spark, out):
+        return []
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    entries = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    found = [e.getPath().getName().split("=") for e in entries]
+    numbers = [int(parts[1]) for parts in found if parts[0] == name]
+    return sorted(n for n in numbers if folder_exists(spark, f"{out}/{name}={n}/_SUCCESS"))
+
+
+def _daily_parts(spark: SparkSession, out: str) -> tuple[list[str], list[int]]:
+    """Folders that together hold every counted event once, and the batches after the last compaction."""
+    folded = _complete(spark, out, "upto")[-1:]
+    recent = [n for n in _complete(spark, out, "batch") if not folded or n > folded[0]]
+    return [f"{out}/upto={n}" for n in folded] + [f"{out}/batch={n}" for n in recent], recent
+
+
+def daily_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(day, event_type, n) of all batches under ``out``."""
+    parts, _ = _daily_parts(spark, out)
+    rows = spark.read.schema(DAILY_SCHEMA).parquet(*parts) if parts else spark.createDataFrame([], DAILY_SCHEMA)
+    return rows.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+def compact_daily(spark: SparkSession, out: str) -> None:
+    """Fold all batches but the last, which a failed run may write again, into one table.
+
+    The fold is a folder of its own that readers take once it is finished; nothing they read is changed.
     """
-    daily = (
-        events.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("day"), "event_type", "n")
-    )
+    parts, recent = _daily_parts(spark, out)
+    if len(recent) < 2:
+        return
+    rows = spark.read.schema(DAILY_SCHEMA).parquet(*[part for part in parts if part != f"{out}/batch={recent[-1]}"])
+    totals = rows.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+    totals.write.mode("overwrite").parquet(f"{out}/upto={recent[-2]}")
+
+
+def daily_counts_stream(events: DataFrame, out: str, checkpoint: str, compact_after: int = COMPACT_AFTER) -> DataFrame:
+    """(day, event_type, n) kept up to date by a stream of events ``(ts, event_type)``; returns the current table.
+
+    Counts add up, so a batch only appends its own counts per day: an event counts however late it is, no state is
+    kept, and a batch costs what its own events cost. A retried batch overwrites its folder. Events without a time
+    belong to no day.
+    """
+    spark = events.sparkSession
 
     def keep(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        dated = df.filter("ts IS NOT NULL")
+        counts = dated.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run = daily.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    # A later batch carries the newer total of a day.
-    return events.sparkSession.read.parquet(out).groupBy("day", "event_type").agg(F.max_by("n", "batch_id").alias("n"))
+    if len(_daily_parts(spark, out)[1]) > compact_after:
+        compact_daily(spark, out)
+    return daily_counts(spark, out)
 
 
 def new_entity_timeline(sightings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evigraph.operators.extraction import parse_extractions
 from evigraph.sources.files import corpus_files
 from evigraph.sources.nodelink import load_node_link
-from evigraph.streaming.ingest import stream_ingest
+from evigraph.streaming.ingest import daily_counts, daily_counts_stream, stream_ingest
 
 SCHEMA = "doc_id long, text string, added_at timestamp"
 
@@ -55,3 +55,30 @@ def test_file_listing(spark, tmp_path):
     (tmp_path / "b.bin").write_text("abcd")
     rows = corpus_files(spark, str(tmp_path), ["txt"]).select("path", "size").collect()
     assert len(rows) == 1 and rows[0].path.endswith("a.txt") and rows[0]["size"] == 3
+
+
+def count_days(spark, folder, out, **args):
+    events = spark.readStream.schema("ts timestamp, event_type string").parquet(folder)
+    rows = daily_counts_stream(events, out, f"{out}-state", **args).collect()
+    return {(str(r.day.date()), r.event_type): r.n for r in rows}
+
+
+def add_events(spark, folder, rows):
+    spark.createDataFrame(rows, "t string, event_type string").select(F.col("t").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_late_events_count_and_batches_are_compacted(spark, tmp_path):
+    folder, out = str(tmp_path / "events"), str(tmp_path / "daily")
+    want = {}
+    for batch, days in enumerate([["2024-06-20", "2024-06-20"], ["2024-06-10"], ["2020-01-01", "2024-06-20"], ["2024-06-21"]]):
+        add_events(spark, folder, [(f"{day} 10:00:00", "view") for day in days] + [(None, "view")])
+        for day in days:
+            want[day, "view"] = want.get((day, "view"), 0) + 1
+        assert count_days(spark, folder, out, compact_after=2) == want
+    folded = {p.name for p in (tmp_path / "daily").iterdir() if p.name.startswith("upto=")}
+    assert folded == {"upto=1"} or folded == {"upto=1", "upto=3"}
+    assert sum(r.n for r in daily_counts(spark, out).collect()) == 6
+
+
+def test_no_batches_give_no_days(spark, tmp_path):
+    assert daily_counts(spark, str(tmp_path / "none")).collect() == []
