@@ -237,23 +237,41 @@ def gap_counts(nodes: DataFrame, edges: DataFrame, x_type: str, y_type: str) ->
     return spread_join(ex, ey, ["source"]).groupBy("x_id", "y_id").agg(F.count(F.lit(1)).alias("count"))
 
 
-def axis_grid(nodes: DataFrame, x_type: str, y_type: str) -> DataFrame:
-    """All cells of the two axes: the grid itself is what the matrix reports."""
+AXIS_BLOCK = 256  # entities of the second axis in one row
+
+
+def _gap_rows(nodes: DataFrame, edges: DataFrame, x_type: str, y_type: str) -> DataFrame:
+    """(x_id, x_name, ys, counts): one row per entity of the first axis and block of the second one.
+
+    ``ys`` lists the block's entities, ``counts`` maps the covered ones to their count (null: none). Cells are made
+    from these rows where they lie, so only covered combinations are shuffled, never the grid.
+    """
     xs = entities_by_type(nodes, x_type).select(F.col("id").alias("x_id"), F.col("name").alias("x_name"))
     ys = entities_by_type(nodes, y_type).select(F.col("id").alias("y_id"), F.col("name").alias("y_name"))
-    return xs.join(ys, how="cross")
+    blocks = max(1, -(-ys.count() // AXIS_BLOCK))
+    block = F.pmod(F.xxhash64("y_id"), F.lit(blocks)).alias("block")
+    axis = ys.select("*", block).groupBy("block").agg(F.collect_list(F.struct("y_id", "y_name")).alias("ys"))
+    covered = (
+        gap_counts(nodes, edges, x_type, y_type).filter("y_id IS NOT NULL").select("*", block)
+        .groupBy("x_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("y_id", "count"))).alias("counts"))
+    )
+    rows = xs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    return rows.join(covered, ["x_id", "block"], "left").join(axis, "block").select("x_id", "x_name", "ys", "counts")
 
 
 def gap_matrix(nodes: DataFrame, edges: DataFrame, x_type: str = "material", y_type: str = "condition") -> DataFrame:
-    return (
-        axis_grid(nodes, x_type, y_type)
-        .join(gap_counts(nodes, edges, x_type, y_type), ["x_id", "y_id"], "left")
-        .select("x_id", "x_name", "y_id", "y_name", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-    )
+    """(x_id, x_name, y_id, y_name, count) for every cell of the two axes: the grid itself is the report."""
+    def cell(y: Column) -> Column:
+        n = F.coalesce(F.try_element_at("counts", y["y_id"]), F.lit(0)).cast("long")
+        return F.struct(y["y_id"].alias("y_id"), y["y_name"].alias("y_name"), n.alias("count"))
+
+    return _gap_rows(nodes, edges, x_type, y_type).select("x_id", "x_name", F.inline(F.transform("ys", cell)))
 
 
 def gaps_only(nodes: DataFrame, edges: DataFrame, x_type: str = "material", y_type: str = "condition") -> DataFrame:
-    return axis_grid(nodes, x_type, y_type).join(gap_counts(nodes, edges, x_type, y_type), ["x_id", "y_id"], "left_anti")
+    """(x_id, x_name, y_id, y_name) of the cells that no experiment covers."""
+    free = F.filter("ys", lambda y: F.try_element_at("counts", y["y_id"]).isNull())
+    return _gap_rows(nodes, edges, x_type, y_type).select("x_id", "x_name", F.inline(free))
 
 
 def ghost_links(gaps: DataFrame) -> DataFrame:

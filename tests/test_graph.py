@@ -125,3 +125,21 @@ def test_snapshot_keeps_uploads_on_disk(spark, graph, tmp_path):
     nodelink.write_snapshot(again, edges2, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s" / "nodes")).filter("origin = 'upload'").count() == 1
     assert spark.read.parquet(str(tmp_path / "s" / "nodes")).count() == 13
+
+
+def test_gap_cells_over_blocks_equal_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(G, "AXIS_BLOCK", 2)
+    rows = [(f"m{i}", "material", f"M{i}") for i in range(5)] + [(f"c{i}", "condition", f"C{i}") for i in range(7)] + [(f"e{i}", "experiment", "E") for i in range(6)]
+    links = [(f"e{i}", f"m{i % 4}", "USES_MATERIAL") for i in range(6)] + [(f"e{i}", f"c{i * j % 6}", "AT_CONDITION") for i in range(6) for j in (1, 2)]
+    links = sorted(set(links)) + [("e1", None, "AT_CONDITION"), ("other", "m1", "USES_MATERIAL")]
+    n = spark.createDataFrame(rows, "id string, type string, name string")
+    e = spark.createDataFrame(links, "source string, target string, type string")
+    want = {}
+    for i in range(5):
+        for c in range(7):
+            exps = {s for s, t, _ in links if t == f"m{i}" and s != "other"} & {s for s, t, _ in links if t == f"c{c}"}
+            want[f"m{i}", f"c{c}"] = len(exps)
+    got = {(r.x_id, r.y_id): r["count"] for r in G.gap_matrix(n, e).collect()}
+    assert got == want
+    assert {(r.x_id, r.y_id) for r in G.gaps_only(n, e).collect()} == {k for k, v in want.items() if not v}
+    assert G.gap_matrix(n.filter("type <> 'condition'"), e).isEmpty()
