@@ -4,6 +4,7 @@ Layout below the index folder, one folder per generation (a compaction starts a
 
     current                       the generations, one row each; the highest counts
     gen-G/centroids               cell, centroid
+    gen-G/shape                   an empty table with the columns of a chunk row
     gen-G/rows/batch=B/cell=C     chunk rows with their vectors and distance to the centroid
     gen-G/cells/batch=B           cell, rows, radius: what the batch added to each cell
     gen-G/deleted/batch=B         doc_id: rows of this document in batches up to B are gone
@@ -29,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from evigraph.operators import retrieval as R
 from evigraph.operators.embedding import embed_text
@@ -99,6 +101,7 @@ def create_index(path: str, chunks: DataFrame, embed: Embed | None = embed_text,
     generation = _next_generation(spark, path)
     at = f"{path}/gen-{generation}"
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{at}/centroids")
+    rows.limit(0).withColumn("distance", F.lit(0.0)).write.mode("overwrite").parquet(f"{at}/shape")
     _append(spark, at, 0, rows, centroids)
     spark.createDataFrame([(generation,)], "generation int").coalesce(1).write.mode("append").parquet(f"{path}/current")
     return open_index(spark, path)
@@ -162,7 +165,9 @@ def compact(path: str, spark: SparkSession, cell_rows: int = CELL_ROWS) -> Chunk
 
 def stored_chunks(index: ChunkIndex) -> DataFrame:
     """All living chunks with their vectors, batch and cell."""
-    rows = index.spark.read.parquet(f"{index.path}/rows").filter(F.col("batch") <= index.last)
+    # Without rows the clustered folder holds no file that tells its columns.
+    shape = index.spark.read.parquet(f"{index.path}/shape").schema.add("batch", IntegerType()).add("cell", IntegerType())
+    rows = index.spark.read.schema(shape).parquet(f"{index.path}/rows").filter(F.col("batch") <= index.last)
     if not index.deletes:
         return rows
     gone = index.spark.read.parquet(f"{index.path}/deleted").filter(F.col("batch") <= index.last).groupBy("doc_id").agg(F.max("batch").alias("until"))
