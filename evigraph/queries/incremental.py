@@ -20,8 +20,10 @@ def scratch(spark, name: str) -> str:
 
 
 def stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of files."""
     schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    # A pattern, as a stream's path without one must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/{{{name}}}.parquet")
 
 
 @query(

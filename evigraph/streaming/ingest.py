@@ -53,7 +53,11 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, separator: str) ->
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/chunks")
+    if folder_exists(spark, f"{out}/chunks"):
+        return spark.read.parquet(f"{out}/chunks")
+    # Nothing came yet: no batch has written a folder that tells the columns.
+    none = spark.createDataFrame([], hashed.schema)
+    return chunk_documents(none).join(none.select("doc_id", "content_hash"), "doc_id").withColumn("batch_id", F.lit(0))
 
 
 COMPACT_AFTER = 64  # folders of batches that a reader opens at most, but for the newest run's

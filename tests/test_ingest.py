@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from evigraph.operators.extraction import parse_extractions
+from evigraph.queries.incremental import stream
 from evigraph.sources.files import corpus_files
 from evigraph.sources.nodelink import load_node_link
 from evigraph.streaming.ingest import daily_counts, daily_counts_stream, stream_ingest
@@ -31,6 +32,26 @@ def test_late_documents_and_copies_over_two_runs(spark, tmp_path):
     assert ingest(spark, folder, out) == {1, 3, 5, 6}
 
 
+def test_an_empty_stream_has_an_empty_table(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([], SCHEMA).write.parquet(folder)
+    assert ingest(spark, folder, out) == set()
+    add(spark, folder, [(1, "first text", "2024-06-01")])
+    assert ingest(spark, folder, out) == {1}
+
+
+def test_streams_read_a_table_in_one_file_or_a_folder(spark, tmp_path):
+    rows = spark.range(6).select("id", (F.col("id") * 2).alias("x"))
+    rows.repartition(3).write.parquet(str(tmp_path / "folders" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "files").mkdir()
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "files" / "documents.parquet")
+    for kind in ("folders", "files"):
+        run = stream(spark, str(tmp_path / kind), "documents").writeStream.format("memory").queryName(f"read_{kind}").trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert spark.table(f"read_{kind}").count() == 6
+
+
 ATTRIBUTES = {"date": "2020", "year": 2021, "grade": "12", "note": "NaN", "t_c": 5, "x": 1.5, "none": None, "list": [1, 2], "flag": True}
 TEXTS = {"date": "2020", "grade": "12", "note": "NaN", "list": "[1,2]", "flag": "true"}
 
