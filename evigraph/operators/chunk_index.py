@@ -17,7 +17,7 @@ A query vector q can score at most ``q.c + |q| r`` in a cell with centroid c and
 threshold are never read: they are partitions, and the scan prunes them. For the best ``pool`` the nearest cells are
 read first; the rest only where their bound reaches the query's present pool-th score. Both are exact.
 
-The centroids (``MAX_CELLS`` at most) are fitted on a bounded sample of ``SAMPLE_VALUES`` vector components; they and
+The centroids (``MAX_CELLS`` at most) are fitted on a sample of about ``SAMPLE_VALUES`` vector components; they and
 the cells' statistics are all that reaches the driver.
 """
 
@@ -86,6 +86,17 @@ def _embedded(chunks: DataFrame, embed: Embed | None) -> DataFrame:
     return cut_lineage(rows).filter("embedding IS NOT NULL")
 
 
+def _sample(rows: DataFrame, taken: int, total: int) -> pd.Series:
+    """Vectors of about ``taken`` of ``total`` rows, by a threshold on the hash of their ids.
+
+    Sorting for the first ``taken`` would send that many rows of every partition to the driver.
+    """
+    dealt = F.xxhash64("chunk_id")
+    below = -(1 << 63) + (taken << 64) // max(total, 1)
+    some = rows if taken >= total else rows.filter(dealt < F.lit(below))
+    return some.select(dealt.alias("h"), "chunk_id", "embedding").toPandas().sort_values(["h", "chunk_id"])["embedding"]
+
+
 def create_index(path: str, chunks: DataFrame, embed: Embed | None = embed_text, cell_rows: int = CELL_ROWS) -> ChunkIndex:
     """Embed ``chunks(chunk_id, doc_id, chunk_no, location, text)`` and write them as a new generation of ``path``.
 
@@ -95,7 +106,7 @@ def create_index(path: str, chunks: DataFrame, embed: Embed | None = embed_text,
     rows = _embedded(chunks, embed)
     total, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
     taken = max(1, SAMPLE_VALUES // max(width or 1, 1))
-    sample = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(taken).select("embedding").toPandas()["embedding"]
+    sample = _sample(rows, taken, total)
     n = int(max(1, min(MAX_CELLS, total // cell_rows, len(sample))))
     centroids = _fit(np.stack(sample.to_numpy()).astype(np.float64), n) if len(sample) else np.zeros((1, max(width or 1, 1)))
     generation = _next_generation(spark, path)

@@ -105,3 +105,10 @@ def test_an_empty_index(spark, tmp_path, asked):
     index = X.create_index(str(tmp_path / "i"), spark.createDataFrame([], CHUNKS), None)
     assert X.search(index, asked[1], 0.1).collect() == []
     assert R.top_scores(X.search(index, asked[1], 0.1, 5), 5).collect() == []
+
+
+def test_the_fitting_sample_is_bounded_and_does_not_depend_on_partitions(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("chunk_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    one, many = (sorted(v[0] for v in X._sample(rows.repartition(n), 2000, 20_000)) for n in (1, 40))
+    assert one == many and 1700 < len(one) < 2300
+    assert len(X._sample(rows, 20_000, 20_000)) == 20_000
