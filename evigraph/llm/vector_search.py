@@ -13,8 +13,9 @@ vectors (``M`` the largest norm) and 0 for queries.
   fall with their number. What is read grows with the table.
 
 Lists and the queries that read them meet in an equi join by list; both sides are dealt in blocks of bounded
-size, so a list that a third of all vectors (or queries) fall into is many tasks. Each block returns its best
-``k`` a query. The centroids (``CENTROIDS`` at most) are the only broadcast.
+size, so a list that a third of all vectors (or queries) fall into is many tasks. The ``FIRST`` nearest lists of a
+query are read first and each block returns its best ``k`` a query; blocks of all its other lists return only what
+comes before the query's ``k``-th of these, so that the rows found grow with the queries, not with the lists. The centroids (``CENTROIDS`` at most) are the only broadcast.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; rows that repeat an id are one, the smallest vector. A query with fewer than
@@ -42,6 +43,7 @@ ROUNDS, BALANCE = 12, 0.1
 DEGREE, BEAM = 24, 48    # of the graph; candidates kept while a vector searches it for its lists
 COPIES, SPREAD = 4, 1.25  # lists a vector may be in, and how much farther their centroids may be
 LEAST, SHARE, RATIO = 16, 0.1, 1.15
+FIRST = 4                # lists of a query that are read before the others
 BLOCK, QUERY_BLOCK = 4096, 2048
 BATCH = 512
 
@@ -160,7 +162,7 @@ def fit_index(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None
 
 
 def _assign(rows: DataFrame, index: tuple, asking: bool, everywhere: bool = False) -> DataFrame:
-    """id, list, v (bytes) with a row for each list that a vector is in, or that a query reads."""
+    """id, list, v (bytes) with a row for each list that a vector is in, or that a query reads (and ``near``, if read first)."""
     shared = rows.sparkSession.sparkContext.broadcast(index)  # CENTROIDS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +174,15 @@ def _assign(rows: DataFrame, index: tuple, asking: bool, everywhere: bool = Fals
                 extra = np.zeros(len(v)) if asking else np.sqrt(np.maximum(top - (v**2).sum(1), 0))
                 x = np.hstack([v, extra[:, None]])
                 order, d = all_centroids(x, c) if asking else search_graph(x, c, graph, BEAM)
-                lists = [np.arange(len(c))] * len(v) if everywhere else chosen_lists(order, d) if asking else posting_lists(order, d, c)
+                lists = list(order) if everywhere else chosen_lists(order, d) if asking else posting_lists(order, d, c)
                 at = np.repeat(np.arange(len(v)), [len(x) for x in lists])
                 data = pa.array([x.tobytes() for x in v], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(at)), pa.array(np.concatenate(lists).astype(np.int32)), data.take(pa.array(at))], ["id", "list", "v"])
+                near = np.concatenate([np.arange(len(x)) < FIRST for x in lists])
+                columns = [part.column("vec_id").take(pa.array(at)), pa.array(np.concatenate(lists).astype(np.int32)), data.take(pa.array(at)), pa.array(near)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "list", "v", "near"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "id long, list int, v binary")
+    found = rows.select("vec_id", "v").mapInArrow(run, "id long, list int, v binary, near boolean")
+    return found if asking else found.drop("near")
 
 
 def best_of_block(k: int):
@@ -190,16 +195,19 @@ def best_of_block(k: int):
             x = np.stack([np.frombuffer(b) for b in members.column("v").to_pylist()])[order]
             q_ids = queries.column("id").to_numpy()
             q = np.stack([np.frombuffer(b) for b in queries.column("v").to_pylist()])
+            floors, floor_ids = queries.column("floor").to_numpy(), queries.column("floor_id").to_numpy()
             for a in range(0, len(q), 256):
                 s = q[a : a + 256] @ x.T
                 s[q_ids[a : a + 256, None] == ids] = -np.inf
                 keep = min(k, len(ids))
-                least = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
+                least = np.maximum(np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep], floors[a : a + 256])
                 for i, (row, low) in enumerate(zip(s, least, strict=True)):
                     at = np.flatnonzero((row >= low - 1e-9 * max(1.0, abs(low))) & (row > -np.inf))
                     exact = (x[at] * q[a + i]).sum(1)  # the same value for equal vectors, whatever the block
-                    at = at[np.argsort(-exact, kind="stable")[:keep]]
-                    out.append((np.full(len(at), q_ids[a + i]), ids[at], (x[at] * q[a + i]).sum(1)))
+                    best = np.argsort(-exact, kind="stable")[:keep]
+                    at, exact = at[best], exact[best]
+                    before = (exact > floors[a + i]) | ((exact == floors[a + i]) & (ids[at] < floor_ids[a + i]))
+                    out.append((np.full(before.sum(), q_ids[a + i]), ids[at[before]], exact[before]))
         none = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         parts = [np.concatenate(p) for p in zip(*(out or none), strict=True)]
         return pa.table(parts, ["query_id", "vec_id", "score"])
@@ -208,7 +216,7 @@ def best_of_block(k: int):
 
 
 def _searched(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` of each block of the lists that each query reads, without repeats."""
+    """Best ``k`` of each block of the lists that each query reads, as far as they come before (floor, floor_id)."""
     asked = queries.groupBy("list").agg(F.count("*").alias("q"))
     blocks = sizes.join(asked, "list").select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("q_blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -217,8 +225,7 @@ def _searched(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k: int)
     p = postings.join(blocks, "list").withColumn("b", mine("blocks")).withColumn("qb", every("q_blocks"))
     keys = ("list", "b", "qb")
     cols = [*keys, "id", "v"]
-    found = q.select(cols).groupBy(*keys).cogroup(p.select(cols).groupBy(*keys)).applyInArrow(best_of_block(k), "query_id long, vec_id long, score double")
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return q.select(*cols, "floor", "floor_id").groupBy(*keys).cogroup(p.select(cols).groupBy(*keys)).applyInArrow(best_of_block(k), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
@@ -234,9 +241,18 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def ranked(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    best = cut_lineage(ranked(_searched(_assign(asking, index, asking=True), postings, sizes, k)))
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """Top ``k`` over all lists that ``asked`` reads."""
+        none = {"floor": F.lit(float("-inf")), "floor_id": F.lit(-1).cast("long")}
+        first = cut_lineage(ranked(_searched(asked.filter("near").withColumns(none), postings, sizes, k)))
+        kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"), F.col("vec_id").alias("floor_id"))
+        rest = asked.filter("NOT near").join(kth, "id", "left").withColumns({c: F.coalesce(c, none[c]) for c in none})
+        return cut_lineage(ranked(first.drop("rank").unionByName(_searched(rest, postings, sizes, k))))
+
+    best = searched(_assign(asking, index, asking=True))
     wanted = min(k, rows.count() - 1)
     short = cut_lineage(
         asking.join(best.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found")), "vec_id", "left")
@@ -244,7 +260,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     )
     if short.isEmpty():
         return best
-    again = ranked(_searched(_assign(short, index, asking=True, everywhere=True), postings, sizes, k))
+    again = searched(_assign(short, index, asking=True, everywhere=True))
     return best.join(short, best["query_id"] == short["vec_id"], "left_anti").union(again)
 
 

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +304,12 @@ def test_every_numbered_operator_is_registered():
     names = entry.queries()
     assert all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)) and "pipeline" in names
 
+
+
+def test_later_lists_return_only_what_comes_before_the_kth(spark):
+    x = np.eye(4)[[0, 0, 0, 1]] * np.array([[1.0], [2.0], [2.0], [9.0]])
+    members = pa.table({"id": [5, 6, 7, 8], "v": [r.tobytes() for r in x]})
+    q = np.eye(4)[0].tobytes()
+    queries = pa.table({"id": [1, 2, 3], "v": [q, q, q], "floor": [-np.inf, 2.0, 2.0], "floor_id": [-1, 7, 6]})
+    got = vector_search.best_of_block(3)((0, 0, 0), queries, members).to_pylist()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(1, 6, 2.0), (1, 7, 2.0), (1, 5, 1.0), (2, 6, 2.0)]
