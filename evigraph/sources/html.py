@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,11 @@ HEADING_TAGS = frozenset(["h1", "h2", "h3"])
 MIN_BLOCK_CHARS = 20
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 
+PIECE_CHARS = 4_000_000  # of blocks held by a worker
+
 BLOCKS_SCHEMA = "page_id long, title string, ord long, kind string, location string, text string"
+BLOCK_NAMES = ["page_id", "title", "ord", "kind", "location", "text"]
+BLOCK_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
 
 class _Blocks(HTMLParser):
@@ -56,20 +60,30 @@ class _Blocks(HTMLParser):
         return any(t in DROPPED for t, _ in self.open)
 
 
-def _page_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _table_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), BLOCK_TYPES, strict=True)], BLOCK_NAMES)
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch], piece: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages (page_id, html, fallback), given on whenever ``piece`` characters of them are held."""
     for batch in batches:
-        rows = []
-        for page_id, html, fallback in zip(batch["page_id"], batch["html"], batch["fallback"]):
+        rows, held = [], 0
+        for page_id, html, fallback in zip(*batch.columns, strict=True):
             parser = _Blocks()
-            parser.feed(html or "")
+            parser.feed(html.as_py() or "")
             parser.close()
-            title = parser.title[0] if parser.title else fallback
+            page, title = page_id.as_py(), parser.title[0] if parser.title else fallback.as_py()
             for i, (tag, pieces) in enumerate(parser.found):
                 text = re.sub(r"\s+", " ", " ".join(pieces)).strip()
                 if len(text) >= MIN_BLOCK_CHARS:
                     kind = "heading" if tag in HEADING_TAGS else "paragraph"
-                    rows.append((page_id, title, i, kind, f"para {i}", text))
-        yield pd.DataFrame(rows, columns=["page_id", "title", "ord", "kind", "location", "text"])
+                    rows.append((page, title, i, kind, f"para {i}", text))
+                    held += len(text) + len(title or "")
+                    if held >= piece:
+                        yield _table_of(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _table_of(rows)
 
 
 def title_from_url(url: Column) -> Column:
@@ -81,4 +95,4 @@ def title_from_url(url: Column) -> Column:
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """Block rows of ``pages(page_id, url, html)``; pages are parsed batch by batch where they lie."""
-    return pages.select("page_id", "html", title_from_url(F.col("url")).alias("fallback")).mapInPandas(_page_rows, BLOCKS_SCHEMA)
+    return pages.select("page_id", "html", title_from_url(F.col("url")).alias("fallback")).mapInArrow(_page_rows, BLOCKS_SCHEMA)

@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evigraph.operators import documents as D
 from evigraph.operators.tagging import dictionary_tagger
-from evigraph.sources.html import html_blocks
+from evigraph.sources.html import _page_rows, html_blocks
 
 BLOCK = "array<struct<ord:long,location:string,kind:string,text:string>>"
 
@@ -99,3 +100,12 @@ def test_tagger_takes_leftmost_longest(spark):
     names = spark.createDataFrame([(n,) for n in ("nickel", "nickel matte", "matte", "nickel ore", "ore")], "lname string")
     got = [(r.start, r.lname) for r in dictionary_tagger(chunks, names).orderBy("start").collect()]
     assert got == [(1, "nickel matte"), (18, "nickel"), (26, "matte"), (32, "nickel ore")]
+
+
+def test_blocks_of_many_pages_are_given_on_in_pieces():
+    page = "<title>t</title><p>a paragraph of some length</p><h1>a heading of some length too</h1>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([page] * 49 + [None]), pa.array(["f"] * 50)], ["page_id", "html", "fallback"])
+    parts = list(_page_rows(iter([batch]), 300))
+    assert max(p.num_rows for p in parts) < 20
+    rows = [tuple(r.values())[:3] for p in parts for r in p.to_pylist()]
+    assert rows == [(i, "t", k) for i in range(49) for k in (0, 1)]
