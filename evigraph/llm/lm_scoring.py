@@ -14,8 +14,10 @@ distinct pairs. ``P1`` is the add-0.1 unigram that also gives the base score; it
 documents ask for the counts of their distinct words, segments of the vocabulary answer.
 
 When a segment's share of bits can't hold its entries at ``ENTRY_BITS``, its lowest thresholds are not stored
-(its ``floor``); such pairs are scored by the unigram. That is how the fixed size of the broadcast is paid for;
-all counts are taken over all training texts.
+(its ``floor``). Pairs that such a segment holds at its floor or not at all are asked for like the words: blocks send
+them with their own counts, segments answer with the quantised totals. So every pair has the count it would have in
+a filter without a limit, and the size of the broadcast stays fixed. Segments follow the bytes of text, which bounds
+what one task holds.
 
 Tasks combine counts before the shuffle and send a word or pair once, so hot words cost nothing; words and
 pairs are 64-bit hashes. Defined results: a null text is empty and has one token, the end; a row with a null
@@ -31,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ BASE = 1.5
 PROBES = 4                 # bits of an entry, all in one word of the filter
 PIECE_BYTES = 8 << 20      # of text counted at a time
 BLOCK_BYTES = 6 << 20      # of text scored at a time
+SEGMENT_BYTES = 24 << 20   # of text a segment of words and pairs stands for at most
 END = np.uint64(0x5851F42D4C957F2D)
 LOW = np.uint64((1 << 48) - 1)
 THRESHOLDS = np.unique(np.ceil(BASE ** np.arange(100)).astype(np.int64))
@@ -106,6 +110,20 @@ def unpacked_ones_first(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([wide.view("<u8").ravel().astype(np.uint64), keys]), np.concatenate([np.ones(ones, np.int64), counts])
 
 
+def packed_by_count(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Like ``packed_ones_first``, with the keys of count zero in front."""
+    none = counts == 0
+    return np.array([none.sum()], "<i8").tobytes() + packed(keys[none], counts[:0]) + packed_ones_first(keys[~none], counts[~none])
+
+
+def unpacked_by_count(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    none = int(np.frombuffer(blob, "<i8", 1)[0])
+    wide = np.zeros((none, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * none, 8).reshape(none, 6)
+    keys, counts = unpacked_ones_first(blob[8 + 6 * none :])
+    return np.concatenate([wide.view("<u8").ravel().astype(np.uint64), keys]), np.concatenate([np.zeros(none, np.int64), counts])
+
+
 def dealt(keys: np.ndarray, counts: np.ndarray, segments: int, pack) -> Iterator[tuple[int, bytes]]:
     """(segment, blob) of ascending keys; segments ascend with them."""
     seg = segment_of(keys, segments)
@@ -166,9 +184,17 @@ def build_segment(low: np.ndarray, counts: np.ndarray, share: int) -> tuple[byte
     return words.tobytes(), len(words), floor
 
 
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def segments_for(spark: SparkSession, size: int) -> int:
+    return max(shuffle_partitions(spark), -(-size // SEGMENT_BYTES))
+
+
 def fit_model(texts: DataFrame, filter_bits: int = FILTER_BITS) -> Model:
     """Model of all rows of ``texts`` (text)."""
-    segments = shuffle_partitions(texts.sparkSession)
+    segments = segments_for(texts.sparkSession, text_bytes(texts))
     share = max(64, filter_bits // segments)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -232,6 +258,24 @@ def probe_counts(f: Filter, pairs: np.ndarray) -> np.ndarray:
     return count
 
 
+def unheld_pairs(f: Filter, tokens: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending, of segments with a raised floor that are not held above it, and how often each is learned here.
+
+    Those at the floor belong to them, because a single false entry may have lifted them there.
+    """
+    pairs, at = np.unique(pair_hashes(tokens), return_inverse=True)
+    floors = f.floors[segment_of(pairs, len(f.sizes))]
+    asked = floors > 1
+    least = np.append(THRESHOLDS, THRESHOLDS[-1])[floors[asked] - 1]
+    asked[asked] = probe_counts(f, pairs[asked]) <= least
+    return pairs[asked], np.bincount(at[learned], minlength=len(pairs))[asked]
+
+
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """Number of thresholds reached, as a byte."""
+    return np.searchsorted(THRESHOLDS, counts, side="right").astype(np.uint8)
+
+
 def ordered_words(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words, ascending, and the place of each token among them."""
     return np.unique(tokens, return_inverse=True)
@@ -243,10 +287,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     ``learned`` rows are those the model was fitted on; their words are the counts of the base score.
     """
     spark = docs.sparkSession
-    segments = shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast((tuple(model.filter), *model[1:]))  # FILTER_BITS at most
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = text_bytes(docs)
+    segments = segments_for(spark, size)
     blocks = max(1, -(-size // BLOCK_BYTES))
+    full = bool((model.filter.floors > 1).any())
     dealt_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
     def ask(table: pa.Table) -> pa.Table:
@@ -255,28 +300,49 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         learned = np.repeat(table.column("learned").to_numpy(), np.diff(starts))
         keys, at = ordered_words(tokens)
         counts = np.bincount(at[learned], minlength=len(keys))
-        rows = list(dealt(keys, counts, segments, packed))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["segment", "block", "blob"])
+        rows = [(s, 0, blob) for s, blob in dealt(keys, counts, segments, packed)]
+        if full:
+            rows += [(s, 1, blob) for s, blob in dealt(*unheld_pairs(Filter(*shared.value[0]), tokens, learned), segments, packed_by_count)]
+        return pa.table(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+            ["segment", "kind", "block", "blob"],
+        )
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = [unpacked(b) for b in table.column("blob").to_pylist()]
+        kind = table.column("kind")[0].as_py()
+        parts = [(unpacked_by_count if kind else unpacked)(b) for b in table.column("blob").to_pylist()]
         keys, totals = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        replies = [totals[np.searchsorted(keys, p[0])].astype("<u8").tobytes() for p in parts]
-        return pa.table([table.column("block"), table.column("segment"), pa.array(replies, pa.binary())], ["block", "segment", "blob"])
+        reply = quantised(totals) if kind else totals.astype("<u8")
+        # Pairs come in order of their counts and go back in order of what is sent of their hashes.
+        replies = [reply[np.searchsorted(keys, np.sort(p[0]) if kind else p[0])].tobytes() for p in parts]
+        return pa.table([table.column("block"), table.column("segment"), table.column("kind"), pa.array(replies, pa.binary())], ["block", "segment", "kind", "blob"])
+
+    def replied(replies: pa.Table, kind: int, dtype: str) -> np.ndarray:
+        mine = replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("segment")
+        return np.concatenate([np.zeros(0, dtype), *[np.frombuffer(b, dtype) for b in mine.column("blob").to_pylist()]])
 
     def score(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         parts = shared.value
         m = Model(Filter(*parts[0]), *parts[1:])
         tokens, starts = token_sequence(pa.concat_arrays(table.column("text").chunks), wd.WordHasher())
         keys, at = ordered_words(tokens)
-        replies = replies.sort_by("segment")
-        totals = np.concatenate([np.frombuffer(b, "<u8") for b in replies.column("blob").to_pylist()]).astype(np.float64)
+        totals = replied(replies, 0, "<u8").astype(np.float64)
         count = totals[at]
         unigram = (count + 0.1) / (m.tokens + 0.1 * (m.distinct + 1))
         before = np.concatenate([[0.0], count[:-1]])
         before[starts[:-1]] = totals[np.searchsorted(keys, END)]
         follows = np.where(before > 0, before**m.beta, 1.0)
-        pairs = np.minimum(probe_counts(m.filter, pair_hashes(tokens)), before)
+        hashes = pair_hashes(tokens)
+        pairs = probe_counts(m.filter, hashes)
+        if full:
+            asked, _ = unheld_pairs(m.filter, tokens, np.zeros(len(tokens), bool))
+            exact = np.zeros(len(asked), np.int64)
+            exact[np.lexsort((asked & LOW, segment_of(asked, segments)))] = np.concatenate([[0], THRESHOLDS])[replied(replies, 1, "u1")]
+            place = np.searchsorted(asked, hashes)
+            known = np.flatnonzero(place < len(asked))
+            known = known[asked[place[known]] == hashes[known]]
+            pairs[known] = exact[place[known]]
+        pairs = np.minimum(pairs, before)
         log_p = np.log10((pairs + follows * unigram) / (before + follows))
         first = starts[:-1]
         n = len(first)
@@ -286,8 +352,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    asked = dealt_docs.groupBy("block").applyInArrow(ask, "segment int, block long, blob binary")
-    answered = asked.groupBy("segment").applyInArrow(answer, "block long, segment int, blob binary")
+    asked = dealt_docs.groupBy("block").applyInArrow(ask, "segment int, kind int, block long, blob binary")
+    answered = asked.groupBy("segment", "kind").applyInArrow(answer, "block long, segment int, kind int, blob binary")
     out = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt_docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, out)
 

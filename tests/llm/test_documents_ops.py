@@ -239,6 +239,30 @@ def test_model_probes_hold_every_count_and_base_scores_are_exact(spark, sf_dir):
     assert higher > 1
 
 
+def test_pairs_below_the_floor_have_their_exact_count(spark, sf_dir):
+    import collections
+    import math
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 10 != 0).alias("learned"))
+    model = lm_scoring.fit_model(docs.filter("learned"), filter_bits=1 << 12)
+    assert (model.filter.floors > 1).all()
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, model).collect()}
+    words = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in docs.collect()}
+    count = collections.Counter(w for i in words if i % 10 for w in words[i])
+    both = collections.Counter(p for i in words if i % 10 for p in zip([None, *words[i]], words[i]))
+    n, v = sum(count.values()), len(count)
+    close = 0
+    for i, w in words.items():
+        want = 0.0
+        for a, b in zip([None, *w], w):
+            unigram, t = (count[b] + 0.1) / (n + 0.1 * (v + 1)), count[a] ** model.beta if count[a] else 1.0
+            level = int(np.searchsorted(lm_scoring.THRESHOLDS, both[a, b], side="right"))
+            want += math.log10(((int(lm_scoring.THRESHOLDS[level - 1]) if level else 0) + t * unigram) / (count[a] + t))
+        assert got[i] == pytest.approx(want, rel=0.02)
+        close += got[i] == pytest.approx(want, rel=1e-9)
+    assert close > 0.5 * len(words)  # the others hold a pair with two false entries
+
+
 def test_model_on_edge_rows(spark):
     docs = edge_docs(spark).select("doc_id", "text", (F.col("doc_id") > 4).alias("l")).withColumn("learned", F.coalesce("l", F.lit(False)))
     for learned in (docs.filter("learned"), docs.limit(0)):
