@@ -85,3 +85,15 @@ def test_tokens(spark):
     df = spark.createDataFrame([("Что делали с Ni-рудой в 2020 году, а?",)], "t string")
     assert df.select(T.tokenize(F.col("t"))).first()[0] == ["Ni-рудой", "2020", "году"]
     assert re.fullmatch(r"material_[0-9a-f]{16}", df.select(T.stable_id(F.lit("material"), F.lit(" Ni "))).first()[0])
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_script_language_computes_its_text_once(spark):
+    df = spark.createDataFrame([("ab cd",), ("абвгд a",), ("аб ab",), ("1 2",), ("  ",), ("ßж é",), (None,)], "t string")
+    got = [r[0] for r in df.select(T.script_language(F.col("t"))).collect()]
+    assert got == ["en", "ru", "mixed", "other", "unknown", "ru", "other"]
+    plan = optimized(spark.range(5).select(T.script_language(F.translate(F.col("id").cast("string"), "1", "x")).alias("lang")))
+    assert plan.count("translate(") == 1
