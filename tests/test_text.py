@@ -97,3 +97,9 @@ def test_script_language_computes_its_text_once(spark):
     assert got == ["en", "ru", "mixed", "other", "unknown", "ru", "other"]
     plan = optimized(spark.range(5).select(T.script_language(F.translate(F.col("id").cast("string"), "1", "x")).alias("lang")))
     assert plan.count("translate(") == 1
+
+
+def test_numeric_filters_are_cut_out_by_all_cores(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["extract_numeric_filters"](spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
