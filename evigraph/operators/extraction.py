@@ -23,10 +23,13 @@ def parse_extractions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     Fences and prose around the outermost object are ignored. Rows with a missing field or a type
     outside the vocabulary are dropped one by one.
     """
-    parsed = raw.select("doc_id", "chunk_no", F.from_json(outer_object(F.col("raw")), _RAW_SCHEMA).alias("j")).filter(F.col("j").isNotNull())
+    parsed = raw.select("doc_id", "chunk_no", F.from_json(outer_object(F.col("raw")), _RAW_SCHEMA).alias("j"))
 
     def rows(field: str, schema: str, types: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
-        one = parsed.select("doc_id", "chunk_no", F.posexplode(f"j.{field}").alias("ord", "x")).withColumn("e", F.from_json("x", schema))
+        # Parsed inside the generator: as a column of its own an element would be parsed again for every field that is
+        # tested or read. Outer form, because the emptiness test of the other one computes the array twice.
+        items = F.transform(f"j.{field}", lambda x: F.from_json(x, schema))
+        one = parsed.select("doc_id", "chunk_no", F.posexplode_outer(items).alias("ord", "e"))
         ok = F.col("e.type").isin(*types)
         for name in required:
             ok = ok & F.col(f"e.{name}").isNotNull()

@@ -103,3 +103,13 @@ def test_numeric_filters_are_cut_out_by_all_cores(spark, sf_dir):
     import __spark_entry__ as entry
 
     assert entry.queries()["extract_numeric_filters"](spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_extracted_elements_are_parsed_once(spark):
+    from evigraph.operators.extraction import parse_extractions
+
+    raw = spark.createDataFrame([(1, 0, 'x {"entities": [{"tmp_id": "e1", "type": "material", "name": "n", "attrs": {"m": 2, "t": "a", "z": null}}, {"type": "material"}, 5], "relations": []} y'), (2, 0, None), (3, 0, "none")], "doc_id long, chunk_no long, raw string")
+    ents, rels = parse_extractions(raw)
+    assert [tuple(r) for r in ents.collect()] == [(1, 0, 0, "e1", "material", "n", {"m": 2.0}, {"t": "a"})] and rels.collect() == []
+    named = optimized(spark.range(3).selectExpr("id AS doc_id", "id AS chunk_no", "cast(id AS string) AS raw").transform(lambda d: parse_extractions(d)[0].select("tmp_id", "type", "name")))
+    assert named.count("from_json(") == 2
