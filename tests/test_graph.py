@@ -143,3 +143,18 @@ def test_gap_cells_over_blocks_equal_the_grid(spark, monkeypatch):
     assert got == want
     assert {(r.x_id, r.y_id) for r in G.gaps_only(n, e).collect()} == {k for k, v in want.items() if not v}
     assert G.gap_matrix(n.filter("type <> 'condition'"), e).isEmpty()
+
+
+def test_khop_derives_the_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    nodes = spark.range(6).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))
+    line = spark.range(5).select(*[F.concat(F.lit("n"), (F.col("id") + k).cast("string")).alias(c) for k, c in ((0, "source"), (1, "target"))], F.lit("R").alias("type"))
+    edges = line.mapInPandas(count, line.schema)
+    got = {r.node_id: r.hop for r in G.khop_neighbors(nodes, edges, nodes.limit(1).select(F.lit("n2").alias("seed_id")), 3).collect()}
+    assert got == {"n2": 0, "n1": 1, "n3": 1, "n0": 2, "n4": 2, "n5": 3} and made.value == 5
