@@ -158,3 +158,20 @@ def test_khop_derives_the_edges_once(spark):
     edges = line.mapInPandas(count, line.schema)
     got = {r.node_id: r.hop for r in G.khop_neighbors(nodes, edges, nodes.limit(1).select(F.lit("n2").alias("seed_id")), 3).collect()}
     assert got == {"n2": 0, "n1": 1, "n3": 1, "n0": 2, "n4": 2, "n5": 3} and made.value == 5
+
+
+def test_only_edges_to_accepted_names_are_stored(spark, graph, monkeypatch):
+    n, e = graph
+    stored, cut = [], S.cut_lineage
+
+    def spy(df):
+        out = cut(df)
+        if out.columns == ["experiment_id", "relation", "lname"]:
+            stored.extend(tuple(r) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(S, "cut_lineage", spy)
+    asked, found = S.prepare(n, spark.createDataFrame([(1, "what about nickel matte")], "question_id long, text string"), S.SearchSettings(datetime.date(2026, 1, 1)))
+    got = S.matched_experiments(n, e.unionByName(e.filter("target = 'm1' AND source = 'e1'").withColumn("type", F.lit("USES_PROCESS"))), asked, found)
+    assert sorted(r.experiment_id for r in got.collect()) == ["e1", "e2"]
+    assert sorted(stored) == [("e1", "USES_MATERIAL", "nickel matte"), ("e2", "USES_MATERIAL", "nickel matte")]
