@@ -17,6 +17,7 @@ from evigraph.model import (
     NUMERIC_EVIDENCE_SUFFIXES, UNTITLED, VERIFICATION_FIELDS, VERIFIED_TYPES, signature_table,
 )
 from evigraph.operators.components import components
+from evigraph.operators.graph import id_range
 from evigraph.operators.matching import similar_names
 from evigraph.session import cut_lineage, cut_to_table
 
@@ -351,19 +352,22 @@ def infer_confidence(mentions: DataFrame) -> DataFrame:
 def review_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(a_id, b_id): conclusions of two experiments that share a material and a process.
 
-    Unordered pairs, smaller id first, without pairs that an edge already joins.
+    Unordered pairs, smaller id first, without pairs that an edge already joins. Only edges of experiments with a
+    conclusion, and edges whose ends lie between the first and the last conclusion, leave the scan.
     """
     def links(rel: str, name: str) -> DataFrame:
         return edges.filter(F.col("type") == rel).select(F.col("source").alias("exp"), F.col("target").alias(name))
 
-    produced = links("PRODUCES_CONCLUSION", "concl")
-    keyed = produced.join(links("USES_MATERIAL", "mat"), "exp").join(links("USES_PROCESS", "proc"), "exp")
-    keyed = cut_lineage(keyed)
+    produced = cut_to_table(links("PRODUCES_CONCLUSION", "concl"))
+    exps, concls = id_range(produced, "exp"), id_range(produced, "concl")
+    inside = lambda name, rel: links(rel, name).filter(exps(F.col("exp")))
+    keyed = cut_lineage(produced.join(inside("mat", "USES_MATERIAL"), "exp").join(inside("proc", "USES_PROCESS"), "exp"))
     left = keyed.select("mat", "proc", F.col("exp").alias("exp_a"), F.col("concl").alias("a_id"))
     right = keyed.select("mat", "proc", F.col("exp").alias("exp_b"), F.col("concl").alias("b_id"))
     pairs = spread_join(left, right, ["mat", "proc"]).filter((F.col("a_id") < F.col("b_id")) & (F.col("exp_a") != F.col("exp_b"))).select("a_id", "b_id").distinct()
-    # An edge between two conclusions starts at one of them.
-    between = edges.join(produced.select(F.col("concl").alias("source")).distinct(), "source", "left_semi")
+    # An edge between two conclusions starts at one of them and ends at one.
+    ends = edges.select("source", "target").filter(concls(F.col("source")) & concls(F.col("target")))
+    between = ends.join(produced.select(F.col("concl").alias("source")).distinct(), "source", "left_semi")
     joined = between.select(F.least("source", "target").alias("a_id"), F.greatest("source", "target").alias("b_id"))
     return pairs.join(joined, ["a_id", "b_id"], "left_anti")
 

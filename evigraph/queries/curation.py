@@ -8,7 +8,7 @@ from evigraph.functions.text import stable_id
 from evigraph.operators import curation as C
 from evigraph.queries.registry import query
 from evigraph.queries.text import MATCH, name_words_sql
-from evigraph.sources.star import edges, nodes, table, view
+from evigraph.sources.star import edges, node_names, nodes, table, view
 from evigraph.session import cut_lineage
 
 
@@ -208,7 +208,7 @@ CANDIDATES = """pc AS (SELECT source AS exp, target AS concl FROM g_edges WHERE
 
 @query("review_candidates", "g_edges", f"WITH {CANDIDATES} SELECT a_id, b_id FROM free")
 def _(spark, d):
-    return C.review_candidates(nodes(spark, d), edges(spark, d))
+    return C.review_candidates(node_names(spark, d), edges(spark, d))
 
 
 @query("needs_review_pairs")

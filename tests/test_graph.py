@@ -9,7 +9,7 @@ from evigraph.model import EDGES_SCHEMA
 from evigraph.operators import curation as C
 from evigraph.operators import graph as G
 from evigraph.plans import structured_search as S
-from evigraph.sources import nodelink
+from evigraph.sources import nodelink, star
 
 import datetime
 
@@ -175,3 +175,29 @@ def test_only_edges_to_accepted_names_are_stored(spark, graph, monkeypatch):
     got = S.matched_experiments(n, e.unionByName(e.filter("target = 'm1' AND source = 'e1'").withColumn("type", F.lit("USES_PROCESS"))), asked, found)
     assert sorted(r.experiment_id for r in got.collect()) == ["e1", "e2"]
     assert sorted(stored) == [("e1", "USES_MATERIAL", "nickel matte"), ("e2", "USES_MATERIAL", "nickel matte")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_and_names_equal_their_views_without_texts_in_the_distinct(spark, sf_dir):
+    want, got = star.view(spark, sf_dir, "g_edges"), star.edges(spark, sf_dir)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "hashpartitioning(l_orderkey" in plan_of(got.filter("type = 'USES_MATERIAL'"))
+    names = star.node_names(spark, sf_dir)
+    want = star.view(spark, sf_dir, "g_nodes").select(*names.columns)
+    assert names.exceptAll(want).isEmpty() and want.exceptAll(names).isEmpty()
+    assert "l_discount" not in plan_of(names)
+
+
+def test_review_reads_only_edges_between_conclusions(spark, graph):
+    n, e = graph
+    back = spark.createDataFrame([("k5", "k3", "TAGGED_AS")], "source string, target string, type string")
+    joined = e.select("source", "target", "type").unionByName(back)
+    assert C.review_candidates(n, joined).count() == 0
+    assert C.review_candidates(n, e.filter("type <> 'PRODUCES_CONCLUSION'")).count() == 0
+    ids_in = G.id_range(n.filter("type = 'conclusion'"), "id")
+    assert set(ids(n.filter("type = 'conclusion'"))) <= set(ids(n.filter(ids_in(F.col("id")))))
+    assert not [i for i in ids(n.filter(ids_in(F.col("id")))) if i.startswith("e")]
+    assert n.filter(G.id_range(n.filter("false"), "id")(F.col("id"))).isEmpty()
