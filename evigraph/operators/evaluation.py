@@ -73,9 +73,15 @@ def relation_matches(predicted: DataFrame, golden: DataFrame, id_map: DataFrame
             names = id_map.select("file_id", F.col("tmp_id").alias(end), F.col("golden_id").alias("_g"))
             predicted = predicted.join(names, ["file_id", end], "left").withColumn(end, F.coalesce("_g", end)).drop("_g")
     key = ["file_id", "source", "target", "type"]
-    # One union and one aggregation per triple; counts per file combine map-side.
-    tagged = predicted.select(*key, F.lit(1).alias("p"), F.lit(0).alias("g")).unionAll(golden.select(*key, F.lit(0), F.lit(1)))
-    per = tagged.groupBy(*key).agg(F.sum("p").alias("p"), F.max("g").alias("g"))
+    return triple_matches(predicted.select(*key, F.lit(1).alias("p"), F.lit(0).alias("g")).unionAll(golden.select(*key, F.lit(0), F.lit(1))))
+
+
+def triple_matches(triples: DataFrame) -> DataFrame:
+    """(file_id, tp, fp, fn) of ``triples(file_id, source, target, type, p, g)``: predictions and golden ones a row stands for.
+
+    One aggregation per triple; counts per file combine map-side.
+    """
+    per = triples.groupBy("file_id", "source", "target", "type").agg(F.sum("p").alias("p"), F.max("g").alias("g"))
     hit = (F.col("p") > 0) & (F.col("g") > 0)
     return per.groupBy("file_id").agg(F.count_if(hit).alias("tp"), (F.sum("p") - F.count_if(hit)).alias("fp"), (F.sum("g") - F.count_if(hit)).alias("fn"))
 

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from evigraph.queries import evaluation
+from evigraph.sources import star
 from evigraph.sources.star import TABLES
 
 KEYS = [
@@ -43,3 +45,8 @@ def test_entry_runs(spark):
 
 def test_checks_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_relation_match_reads_the_edges_once(spark, sf_dir):
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans(evaluation.relation_counts(spark, sf_dir)) == scans(star.edges(spark, sf_dir))
