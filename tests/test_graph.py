@@ -201,3 +201,13 @@ def test_review_reads_only_edges_between_conclusions(spark, graph):
     assert set(ids(n.filter("type = 'conclusion'"))) <= set(ids(n.filter(ids_in(F.col("id")))))
     assert not [i for i in ids(n.filter(ids_in(F.col("id")))) if i.startswith("e")]
     assert n.filter(G.id_range(n.filter("false"), "id")(F.col("id"))).isEmpty()
+
+
+def test_detail_reads_only_edges_at_experiments(spark, graph):
+    n, e = graph
+    exps = G.entities_by_type(n, "experiment")
+    got = {(r.experiment_id, r.relation, r.node_id) for r in G.experiment_detail(n, e, exps).collect()}
+    known, own = set(ids(n)), set(ids(exps))
+    links = [(r.source, r.type, r.target) for r in e.collect()]
+    assert got == {(s, t, x) for s, t, x in links if s in own and x in known} | {(x, "incoming::" + t, s) for s, t, x in links if x in own and s in known}
+    assert ">= e1" in plan_of(G.experiment_detail(n, e, exps))
