@@ -277,47 +277,51 @@ def edge_upsert(edges: DataFrame) -> DataFrame:
     return last.withColumn("n", F.count("key").over(edge)).filter(F.col("key").isNotNull() | (F.col("n") == 0)).drop("n")
 
 
-def fact_rows(mentions: DataFrame) -> DataFrame:
-    """(entity_id, attr, value, source_file, doc_id, pos) of every attribute of resolved mentions.
+def fact_rows(mentions: DataFrame, *also: str) -> DataFrame:
+    """(entity_id, attr, value, source_file, doc_id, pos) of every attribute of resolved mentions, + columns ``also``.
 
     ``value`` is a struct(num, text) with one field set: numbers come from the map ``attrs_num``, texts from
     ``attrs_str`` (either may be missing or null). A number never equals a text, and 2 equals 2.0.
     """
+    # Zipped arrays instead of transformed entries, whose lambda would be interpreted for every fact.
     def typed(name: str, field: str) -> Column:
-        entries = F.transform(
-            F.map_entries(name),
-            lambda e: F.struct(
-                e["key"].alias("attr"),
-                F.struct(
-                    (e["value"].cast("double") if field == "num" else F.lit(None).cast("double")).alias("num"),
-                    (e["value"].cast("string") if field == "text" else F.lit(None).cast("string")).alias("text"),
-                ).alias("value"),
-            ),
-        )
-        return F.coalesce(entries, F.array().cast("array<struct<attr:string,value:struct<num:double,text:string>>>"))
+        values = F.map_values(name)
+        num = values.cast("array<double>") if field == "num" else F.array().cast("array<double>")
+        text = values.cast("array<string>") if field == "text" else F.array().cast("array<string>")
+        return F.coalesce(F.arrays_zip(F.map_keys(name).alias("attr"), num.alias("num"), text.alias("text")).cast(entries), F.array().cast(entries))
 
+    entries = "array<struct<attr:string,num:double,text:string>>"
     given = [typed(name, field) for name, field in (("attrs_num", "num"), ("attrs_str", "text")) if name in mentions.columns]
-    rows = mentions.select("entity_id", "source_file", "doc_id", "pos", F.explode(F.concat(*given)).alias("fact"))
-    stated = F.col("fact.value.num").isNotNull() | F.col("fact.value.text").isNotNull()
+    rows = mentions.select("entity_id", "source_file", "doc_id", "pos", *also, F.explode(F.concat(*given)).alias("fact"))
+    stated = F.col("fact.num").isNotNull() | F.col("fact.text").isNotNull()
     return rows.filter(stated & ~F.col("fact.attr").isin(*NON_FACT_KEYS)).select(
-        "entity_id", "fact.attr", "fact.value", "source_file", "doc_id", "pos"
+        "entity_id", "fact.attr", F.struct(F.col("fact.num").alias("num"), F.col("fact.text").alias("text")).alias("value"), "source_file", "doc_id", "pos", *also
     )
 
 
-def fact_history(facts: DataFrame, docs_per_bucket: int = 4096) -> DataFrame:
+DOCS_PER_RANGE = 4096
+
+
+def fact_history(facts: DataFrame, docs_per_bucket: int = DOCS_PER_RANGE) -> DataFrame:
     """(entity_id, attr, old_value, new_value, source_file, pos): each change of a value, or of its type, in order.
 
     The history of one entity is split into document ranges, so a fact stated by a large share of
-    all documents is not sorted in one task.
+    all documents is not sorted in one task. A column ``doc_range`` of the facts is taken as that range.
     """
-    order = F.struct("pos", "value", "source_file")
-    bucket = F.floor(F.col("doc_id") / docs_per_bucket)
+    order = ["pos", "value", "source_file"]
+    bucket = F.col("doc_range") if "doc_range" in facts.columns else F.floor(F.col("doc_id") / docs_per_bucket)
     seen = previous_value(facts, ["entity_id", "attr"], order, bucket, "value", "old_value")
     return seen.filter(F.col("old_value").isNotNull() & (F.col("old_value") != F.col("value"))).select(
         "entity_id", "attr", "old_value", F.col("value").alias("new_value"), "source_file", "pos"
     )
 
 
+def mention_history(mentions: DataFrame, docs_per_bucket: int = DOCS_PER_RANGE) -> DataFrame:
+    """``fact_history`` of the facts of mentions, which are shuffled before each of them becomes several facts."""
+    ranged = mentions.withColumn("doc_range", F.floor(F.col("doc_id") / docs_per_bucket))
+    return fact_history(fact_rows(ranged.repartition("entity_id", "doc_range"), "doc_range"))
+
+
 def current_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("entity_id", "attr").agg(F.max(F.struct("pos", "value", "source_file")).alias("m")).select(
         "entity_id", "attr", F.col("m.value").alias("value"), F.col("m.source_file").alias("source_file")

@@ -143,15 +143,14 @@ FACTS = """fm AS (SELECT *, 'material_' || left(sha1(lower(trim(name))), 16) AS
       UNION ALL SELECT entity_id, 'rebate', CASE WHEN discount_pct < 5 THEN discount_pct END, CASE WHEN discount_pct >= 5 THEN 'high' END, source_file, pos FROM fm WHERE discount_pct IS NOT NULL)"""
 
 
-def facts(spark, d):
-    """Facts of mentions: a number, a text and one that is either."""
+def stated(spark, d):
+    """Mentions with a number, a text and an attribute that is either; null values state nothing."""
     number, text = F.col("discount_pct"), F.lit(None).cast("string")
     low = number < 5
-    m = by_name(spark, d)
-    some = lambda *pairs: F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
-    return C.fact_rows(
-        m.withColumn("attrs_num", some(F.lit("discount_pct"), number, F.lit("rebate"), F.when(low, number)))
-        .withColumn("attrs_str", some(F.lit("spelling"), F.col("name"), F.lit("rebate"), F.when(~low, "high").otherwise(text)))
+    return (
+        by_name(spark, d)
+        .withColumn("attrs_num", F.create_map(F.lit("discount_pct"), number, F.lit("rebate"), F.when(low, number)))
+        .withColumn("attrs_str", F.create_map(F.lit("spelling"), F.col("name"), F.lit("rebate"), F.when(~low, "high").otherwise(text)))
     )
 
 
@@ -163,7 +162,7 @@ def facts(spark, d):
     WHERE old_pos IS NOT NULL AND (old_num IS DISTINCT FROM num OR old_text IS DISTINCT FROM text)""",
 )
 def _(spark, d):
-    return C.fact_history(facts(spark, d)).select(
+    return C.mention_history(stated(spark, d)).select(
         "entity_id", "attr", F.col("old_value.num").alias("old_value"), F.col("new_value.num").alias("new_value"),
         F.col("old_value.text").alias("old_text"), F.col("new_value.text").alias("new_text"), "source_file", "pos",
     )
@@ -175,7 +174,7 @@ def _(spark, d):
     SELECT entity_id, attr, num AS value, text, source_file FROM r WHERE k = 1""",
 )
 def _(spark, d):
-    return C.current_facts(facts(spark, d)).select("entity_id", "attr", F.col("value.num").alias("value"), F.col("value.text").alias("text"), "source_file")
+    return C.current_facts(C.fact_rows(stated(spark, d))).select("entity_id", "attr", F.col("value.num").alias("value"), F.col("value.text").alias("text"), "source_file")
 
 
 @query("source_accumulation", "mentions", f"WITH {FACTS} SELECT entity_id, source_file, min(pos) AS first_pos FROM fm GROUP BY 1, 2")
@@ -213,7 +212,7 @@ def _(spark, d):
 
 @query("needs_review_pairs")
 def _(spark, d):
-    return C.needs_review_pairs(nodes(spark, d), edges(spark, d))
+    return C.needs_review_pairs(node_names(spark, d), edges(spark, d))
 
 
 EXTERNAL_SQL = """x AS (SELECT item_id, kind, title, CASE WHEN item_id % 3 = 0 THEN '' ELSE 'http://src.example/' || CAST(item_id % 10 AS VARCHAR) END AS url, year, p_name, p_type

@@ -187,3 +187,24 @@ def test_facts_keep_their_type(spark):
     }
     assert {(r.attr, tuple(r.value)) for r in C.current_facts(facts).collect()} == {("grade", (None, "1.0")), ("mass_kg", (None, "2.0"))}
     assert C.fact_rows(m.drop("attrs_str")).count() == 3
+
+
+def test_mention_history_equals_the_history_of_facts_and_shuffles_mentions(spark):
+    rng = random.Random(4)
+    rows = [
+        (f"e{rng.randrange(3)}", f"f{i % 5}", i // 4, i, {"a_kg": float(rng.randrange(2)), "b": None}, {"c": rng.choice("xy")} if i % 3 else None)
+        for i in range(400)
+    ]
+    m = spark.createDataFrame(rows, "entity_id string, source_file string, doc_id long, pos long, attrs_num map<string,double>, attrs_str map<string,string>")
+    want, last = [], {}
+    for entity, source, _, pos, num, text in rows:
+        for attr, value in [(k, (v, None)) for k, v in num.items() if v is not None] + [(k, (None, v)) for k, v in (text or {}).items()]:
+            old = last.get((entity, attr))
+            if old is not None and old != value:
+                want.append((entity, attr, old, value, source, pos))
+            last[entity, attr] = value
+    for history in (C.mention_history(m, 7), C.fact_history(C.fact_rows(m), 7)):
+        got = [(r.entity_id, r.attr, tuple(r.old_value), tuple(r.new_value), r.source_file, r.pos) for r in history.collect()]
+        assert sorted(got, key=lambda r: (r[5], r[1])) == sorted(want, key=lambda r: (r[5], r[1]))
+    plan = C.mention_history(m, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "lambda" not in plan and "hashpartitioning(entity_id" in plan
