@@ -104,7 +104,7 @@ def _(spark, d):
 )
 def _(spark, d):
     p = edges(spark, d).withColumn("type", F.when(F.length("target") % 11 == 0, "ON_EQUIPMENT").otherwise(F.col("type")))
-    return C.validate_relations(nodes(spark, d), p).select("source", "target", "type", "accepted", F.size("issues").cast("long").alias("n_issues"))
+    return C.validate_relations(node_names(spark, d), p).select("source", "target", "type", "accepted", F.size("issues").cast("long").alias("n_issues"))
 
 
 @query(

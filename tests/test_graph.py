@@ -211,3 +211,11 @@ def test_detail_reads_only_edges_at_experiments(spark, graph):
     links = [(r.source, r.type, r.target) for r in e.collect()]
     assert got == {(s, t, x) for s, t, x in links if s in own and x in known} | {(x, "incoming::" + t, s) for s, t, x in links if x in own and s in known}
     assert ">= e1" in plan_of(G.experiment_detail(n, e, exps))
+
+
+def test_validation_neither_sorts_edges_nor_interprets_a_lambda(spark, graph):
+    n, e = graph
+    odd = spark.createDataFrame([("e1", "e2", "USES_MATERIAL"), ("k1", "e2", "ODD")], "source string, target string, type string")
+    checked = C.validate_relations(n, odd)
+    assert {r.type: len(r.issues) for r in checked.collect()} == {"USES_MATERIAL": 1, "ODD": 1} and not checked.filter("accepted").count()
+    assert "lambda" not in plan_of(checked) and "SortMergeJoin" not in plan_of(checked)
