@@ -219,3 +219,12 @@ def test_validation_neither_sorts_edges_nor_interprets_a_lambda(spark, graph):
     checked = C.validate_relations(n, odd)
     assert {r.type: len(r.issues) for r in checked.collect()} == {"USES_MATERIAL": 1, "ODD": 1} and not checked.filter("accepted").count()
     assert "lambda" not in plan_of(checked) and "SortMergeJoin" not in plan_of(checked)
+
+
+def test_chain_steps_do_not_travel(spark, graph):
+    n, e = graph
+    got = {(r.step_no, r.step, r.kind) for r in G.experiment_chains(n, e).collect()}
+    assert got == {(0, "material", None), (1, "process", None), (3, "result", "conclusion")}
+    # The plan is printed from the result down: the names of the steps are made above the first shuffle only.
+    plan = plan_of(G.experiment_chains(n, e))
+    assert "THEN equipment" in plan[: plan.index("Exchange")] and "THEN equipment" not in plan[plan.index("Exchange") :]
