@@ -221,6 +221,15 @@ def test_validation_neither_sorts_edges_nor_interprets_a_lambda(spark, graph):
     assert "lambda" not in plan_of(checked) and "SortMergeJoin" not in plan_of(checked)
 
 
+def test_induced_degrees_are_counted_before_the_set_is_asked_for(spark, graph):
+    n, e = graph
+    inside, _ = G.induced_subgraph(n, e, n.filter("type = 'experiment'"))
+    want = {r.id: r.degree for r in G.node_degree(n, e).collect()}
+    got = {r.id: r.degree for r in inside.collect()}
+    assert got == {i: want[i] for i in ids(G.entities_by_type(n, "experiment"))}
+    assert plan_of(G.induced_subgraph(n, e, n.filter("type = 'experiment'"))[0]).count("LeftSemi") == 1
+
+
 def test_chain_steps_do_not_travel(spark, graph):
     n, e = graph
     got = {(r.step_no, r.step, r.kind) for r in G.experiment_chains(n, e).collect()}
