@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -376,14 +377,36 @@ def review_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(joined, ["a_id", "b_id"], "left_anti")
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's matching-blocks ratio, its popular-element rule for long texts included."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def ratio_from(low: float, a: str, b: str) -> float | None:
+    """difflib's ratio of two texts, None as soon as it is sure to be below ``low``.
 
-
-# Kept from being copied into pushed-down filters, where each pair would be compared again.
-sequence_ratio = sequence_ratio.asNondeterministic()
+    Matching blocks are looked for in the widest open stretch first. What is open can match its shorter side at most,
+    so most pairs are given up after a few blocks; a ratio that is returned is exactly difflib's.
+    """
+    matcher = difflib.SequenceMatcher(None, a, b)
+    length = len(a) + len(b)
+    if not length:
+        return matcher.ratio()
+    # Common characters bound the matches, too.
+    if matcher.quick_ratio() < low:
+        return None
+    matched, left = 0, min(len(a), len(b))
+    stretches = [(-left, 0, len(a), 0, len(b))]
+    while stretches:
+        if 2.0 * (matched + left) / length < low:
+            return None
+        room, a_low, a_high, b_low, b_high = heapq.heappop(stretches)
+        left += room
+        i, j, size = matcher.find_longest_match(a_low, a_high, b_low, b_high)
+        if not size:
+            continue
+        matched += size
+        for part in ((a_low, i, b_low, j), (i + size, a_high, j + size, b_high)):
+            fits = min(part[1] - part[0], part[3] - part[2])
+            if fits > 0:
+                left += fits
+                heapq.heappush(stretches, (-fits, *part))
+    return 2.0 * matched / length
 
 
 def needs_review_pairs(nodes: DataFrame, edges: DataFrame, similarity_range: tuple[float, float] = REVIEW_RANGE) -> DataFrame:
@@ -405,7 +428,12 @@ def needs_review_pairs(nodes: DataFrame, edges: DataFrame, similarity_range: tup
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = cut_lineage(pairs)
     distinct = pairs.select("a_name", "b_name").distinct().repartition(tasks, "a_name", "b_name")
-    rated = distinct.withColumn("ratio", sequence_ratio("a_name", "b_name")).filter(F.col("ratio").between(low, high))
+    # Kept from being copied into pushed-down filters, where each pair would be compared again.
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio_from(low, x, y) for x, y in zip(a, b)], dtype="float64")
+
+    rated = distinct.withColumn("ratio", ratio.asNondeterministic()("a_name", "b_name")).filter(F.col("ratio").between(low, high))
     return pairs.join(rated, ["a_name", "b_name"]).select(
         F.col("a_id").alias("source"), F.col("b_id").alias("target"), F.lit("NEEDS_REVIEW").alias("type"),
         F.round("ratio", 2).alias("similarity"), F.lit(REVIEW_NOTE).alias("note"),

@@ -1,3 +1,4 @@
+import difflib
 import random
 
 from pyspark.sql import functions as F
@@ -208,3 +209,19 @@ def test_mention_history_equals_the_history_of_facts_and_shuffles_mentions(spark
         assert sorted(got, key=lambda r: (r[5], r[1])) == sorted(want, key=lambda r: (r[5], r[1]))
     plan = C.mention_history(m, 7)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "lambda" not in plan and "hashpartitioning(entity_id" in plan
+
+
+def test_ratio_is_exact_or_below_and_gives_up_early(monkeypatch):
+    rng = random.Random(8)
+    texts = ["", "a", "x" * 300] + ["".join(rng.choices("abcdefgh ", k=rng.randrange(1, 320))) for _ in range(40)]
+    for a in texts:
+        for b in texts[::3]:
+            want, got = difflib.SequenceMatcher(None, a, b).ratio(), C.ratio_from(0.5, a, b)
+            assert got == want if want >= 0.5 else got is None or got == want
+    calls = []
+    find = difflib.SequenceMatcher.find_longest_match
+    monkeypatch.setattr(difflib.SequenceMatcher, "find_longest_match", lambda self, *at: calls.append(1) or find(self, *at))
+    assert C.ratio_from(0.9, "abcdefgh" * 8, "hgfedcba" * 8) is None
+    early, calls[:] = len(calls), []
+    difflib.SequenceMatcher(None, "abcdefgh" * 8, "hgfedcba" * 8).ratio()
+    assert 0 < early < len(calls) / 4
