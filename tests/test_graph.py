@@ -206,11 +206,12 @@ def test_review_reads_only_edges_between_conclusions(spark, graph):
 def test_detail_reads_only_edges_at_experiments(spark, graph):
     n, e = graph
     exps = G.entities_by_type(n, "experiment")
-    got = {(r.experiment_id, r.relation, r.node_id) for r in G.experiment_detail(n, e, exps).collect()}
+    got, plain = ({(r.experiment_id, r.relation, r.node_id) for r in G.experiment_detail(n, e, exps, ranged).collect()} for ranged in (True, False))
+    assert got == plain
     known, own = set(ids(n)), set(ids(exps))
     links = [(r.source, r.type, r.target) for r in e.collect()]
     assert got == {(s, t, x) for s, t, x in links if s in own and x in known} | {(x, "incoming::" + t, s) for s, t, x in links if x in own and s in known}
-    assert ">= e1" in plan_of(G.experiment_detail(n, e, exps))
+    assert ">= e1" in plan_of(G.experiment_detail(n, e, exps, ranged=True))
 
 
 def test_validation_neither_sorts_edges_nor_interprets_a_lambda(spark, graph):
