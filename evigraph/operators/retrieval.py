@@ -81,7 +81,8 @@ def _score_batch(ids: pd.DataFrame, vectors: pd.Series, qsets: np.ndarray, matri
 def score_group(chunks: pd.DataFrame, queries: pd.DataFrame, min_score: float, pool: int | None, cells: int) -> pd.DataFrame:
     """Scores of one group of chunks and questions; ``cells`` of them are held at a time."""
     if chunks.empty or queries.empty:
-        return pd.DataFrame({"qset_id": [], "chunk_id": [], "doc_id": [], "score": []})
+        # Columns made from empty lists would be numbers, which Arrow does not take for text ids.
+        return pd.DataFrame(columns=["qset_id", "chunk_id", "doc_id", "score"], dtype=object)
     queries = queries.sort_values("qset_id", kind="stable")
     qsets, matrix = queries["qset_id"].to_numpy(), np.stack(queries["embedding"].to_numpy()).astype(np.float64)
     step = max(1, cells // len(matrix))

@@ -95,3 +95,11 @@ def test_stream_drops_copies_within_and_across_runs(spark, tmp_path):
     got = run()
     assert got.select("content_hash").distinct().count() == 3 and got.count() == 3
     assert run().count() == 3
+
+
+def test_a_group_that_one_side_lacks_has_no_scores(spark):
+    """Its chunks have text ids; a filter may take all chunks of a cell, a block of questions may ask for none."""
+    chunks = spark.createDataFrame([("a", 1, [1.0, 0.0])], "chunk_id string, doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "qset_id long, embedding array<double>")
+    assert R.score_chunks(chunks.limit(0), queries, 0.5).count() == 0 == R.score_chunks(chunks, queries.limit(0), 0.5).count()
+    assert [tuple(r) for r in R.score_chunks(chunks, queries, 0.5).collect()] == [(1, "a", 1, 1.0)]
