@@ -19,9 +19,9 @@ from evigraph.queries.documents import docs
 from evigraph.queries.hooks import load_extractor, load_model
 from evigraph.queries.registry import query
 from evigraph.queries.text import MATCH, tokens_sql
-from evigraph.session import ensure_checkpoint_dir
-from evigraph.sources.answers import answer_documents
-from evigraph.sources.star import query_vectors, table, view
+from evigraph.session import cut_to_table, ensure_checkpoint_dir
+from evigraph.sources.answers import answer_documents, question_chains
+from evigraph.sources.star import edges, node_names, query_vectors, table, view
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 CV = "cv AS (SELECT chunk_id, doc_id, chunk_no, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM chunk_vectors)"
@@ -261,13 +261,15 @@ def states(docs):
     })
 
 
+def formulations(asked):
+    """(qset_id, variant_no, text): the question itself and its first sentence."""
+    first = F.split_part("text", F.lit(". "), F.lit(1))
+    return asked.select("qset_id", F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), first.alias("text")))))
+
+
 def answered(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qset_id"), "text")
-    variants = asked.select(
-        "qset_id",
-        F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
-    )
-    return asked, answer_from_index(text_index(spark, d), states(docs_meta(spark, d)), asked, variants)
+    return asked, answer_from_index(text_index(spark, d), states(docs_meta(spark, d)), asked, formulations(asked))
 
 
 @query("rag_answer", "blocks", f"WITH {RAG} SELECT qset_id, rank, chunk_id, doc_id, round(score, 6) AS score, round(boosted, 6) AS boosted FROM hits")
@@ -284,10 +286,7 @@ def _(spark, d):
 def _pool(spark, d):
     """Pool of the benchmark questions over all chunks of ready corpus documents, with its signals and texts."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qset_id"), "text")
-    variants = asked.select(
-        "qset_id",
-        F.inline(F.array(F.struct(F.lit(0).alias("variant_no"), F.col("text")), F.struct(F.lit(1).alias("variant_no"), F.split_part("text", F.lit(". "), F.lit(1)).alias("text")))),
-    )
+    variants = formulations(asked)
     corpus = R.ready_corpus(states(docs_meta(spark, d))).select("doc_id")
     index = text_index(spark, d)
     pool = indexed_topk(index, embed_text(variants), R.DISCOVERY_TOP_K * R.POOL_FACTOR, R.DISCOVERY_MIN_SCORE, lambda rows: rows.join(corpus, "doc_id", "left_semi"))
@@ -347,12 +346,6 @@ def _(spark, d):
     return answered(spark, d)[1]["prompts"].select("qset_id", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
-@query("answers_export")
-def _(spark, d):
-    asked, parts = answered(spark, d)
-    return answer_documents(asked, parts["answers"], parts["confidence"], parts["citations"])
-
-
 EXTERNAL = """ex AS (SELECT *, item_id // 10 AS qset_id, row_number() OVER (PARTITION BY item_id // 10 ORDER BY item_id) - 1 AS rank, count(*) OVER (PARTITION BY item_id // 10) AS total FROM external_sources)"""
 
 
@@ -367,6 +360,12 @@ def _external(spark, d):
     )
 
 
+def _authored(sources):
+    """Publications have two authors, patents none."""
+    authors = F.when(F.col("kind") == "scholar", F.array(F.lit("Doe"), F.lit("Roe"))).otherwise(F.array().cast("array<string>"))
+    return sources.select("*", authors.alias("authors"), F.lit("").alias("venue"))
+
+
 @query(
     "external_relevance", "external_sources",
     f"""WITH {EXTERNAL}, w AS (SELECT item_id, unnest(string_split(lower(title), ' ')) AS w, generate_subscripts(string_split(lower(title), ' '), 1) AS p FROM ex),
@@ -386,10 +385,21 @@ def _(spark, d):
     SELECT qset_id, kind, n, trim('[' || CASE WHEN kind = 'patent' THEN 'P' ELSE 'S' END || CAST(n AS VARCHAR) || '] «' || title || '» — ' || CASE WHEN kind = 'patent' THEN 'изобретатели не указаны' ELSE 'Doe, Roe' END || '. ' || CAST(year AS VARCHAR) || '. ' || CASE WHEN kind = 'patent' THEN 'номер не указан' ELSE 'источник не указан' END || '. ' || trim(snippet)) AS line FROM n""",
 )
 def _(spark, d):
-    authors = F.when(F.col("kind") == "scholar", F.array(F.lit("Doe"), F.lit("Roe"))).otherwise(F.array().cast("array<string>"))
-    return R.external_context(_external(spark, d).select("*", authors.alias("authors"), F.lit("").alias("venue")))
+    return R.external_context(_authored(_external(spark, d)))
 
 
 @query("query_history", "", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 50")
 def _(spark, d):
     return R.query_history(table(spark, d, "events")).select("user_id", "event_id", "rank")
+
+
+@query("answers_export")
+def _(spark, d):
+    """With the chains of the experiments that cited documents describe and the external sources of each question."""
+    asked, parts = answered(spark, d)
+    # The parts read the citations several times.
+    cited = cut_to_table(parts["citations"].drop("context_line", "excerpt"))
+    node = F.concat(F.lit("pub_"), F.col("doc_id").cast("string"))
+    chains = question_chains(cited, node_names(spark, d), edges(spark, d), node)
+    external = R.external_relevance(_authored(_external(spark, d)))
+    return answer_documents(asked, parts["answers"], parts["confidence"], cited, formulations(asked), chains, external)

@@ -1,5 +1,7 @@
 """Registered queries on a few own rows of the star tables: the whole job must come out."""
 
+import json
+
 import duckdb
 import pytest
 
@@ -59,3 +61,21 @@ def test_induced_subgraph_holds_its_edges(spark, tiny):
     assert {(r.id, r.degree) for r in rows if r.id is not None} == {("exp_1", 11), ("fac_0", 1)}
     assert [(r.source, r.target, r.type) for r in rows if r.id is None] == [("exp_1", "fac_0", "AT_FACILITY")]
     assert sorted((r.asDict() for r in rows), key=repr) == checked(tiny, "induced_subgraph")
+
+
+def test_exported_answers_have_chains_and_external_sources(spark, tiny):
+    rows = {r.qset_id: r for r in entry.queries()["answers_export"](spark, tiny).collect()}
+    assert set(rows) == {0, 1, 4}
+    found = json.loads(rows[0].json)
+    assert [c["doc_id"] for c in found["citations"]] == [1] and found["query_expansions"] == ["red ring and copper leaching tests"]
+    (chain,) = found["experiment_chains"]
+    assert (chain["experiment_id"], chain["publication"]) == ("exp_1", {"id": "pub_1", "name": "Document 1"})
+    assert [[i["id"] for i in s["items"]] for s in chain["steps"]] == [["mat_1", "mat_2"], ["proc_STEEL", "proc_TIN"], ["eq_1"], ["prop_AF", "concl_1"]]
+    external = found["external_sources"]
+    assert [len(external["scholar"]), len(external["patents"])] == [2, 1] and "leaching" in external["keywords"] and "message" not in external
+    text = rows[0].markdown
+    assert "- **Document 1 · Order 1:** red ring, blue bolt → STEEL, TIN → Supplier#1 → flag AF, Supplier#1 told FRANCE" in text
+    assert text.index("## Ответ") < text.index("1. **Document 1**") < text.index("S1. **red ring") < text.index("S2. **Patent of tests**") < text.index("P1. **zzz qqq**")
+    empty = json.loads(rows[1].json)
+    assert empty["experiment_chains"] == [] == empty["external_sources"]["scholar"] and "не найдены" in empty["external_sources"]["message"]
+    assert "### Внешние источники" in rows[1].markdown
