@@ -17,8 +17,8 @@ A query vector q can score at most ``q.c + |q| r`` in a cell with centroid c and
 threshold are never read: they are partitions, and the scan prunes them. For the best ``pool`` the nearest cells are
 read first; the rest only where their bound reaches the query's present pool-th score. Both are exact.
 
-The centroids (``MAX_CELLS`` at most) are fitted on a sample of about ``SAMPLE_VALUES`` vector components; they and
-the cells' statistics are all that reaches the driver.
+The centroids (``MAX_CELLS`` at most) are fitted in one task on a sample of about ``SAMPLE_VALUES`` vector components;
+they and the cells' statistics are all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql.types import IntegerType
 
 from evigraph.operators import retrieval as R
 from evigraph.operators.embedding import embed_text
-from evigraph.session import cut_lineage
+from evigraph.session import cut_lineage, cut_to_table
 
 MAX_CELLS = 4096
 CELL_ROWS = 2000  # chunks per cell that the number of cells aims at
@@ -42,6 +42,7 @@ SAMPLE_VALUES = 8_000_000
 ROUNDS = 8
 SLACK = 1e-8  # scores are rounded; bounds must not fall short by that
 FIRST_CELLS = 2
+FILE_ROWS = 20_000  # chunks of one file of a cell, about
 COLUMNS = ["chunk_id", "doc_id", "chunk_no", "location", "text", "embedding"]
 
 Embed = Callable[[DataFrame], DataFrame]
@@ -74,27 +75,53 @@ def _fit(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    owner, norms = np.empty(len(x), np.int64), (centroids**2).sum(1)
+    owner, distance, norms = np.empty(len(x), np.int64), np.empty(len(x)), (centroids**2).sum(1)
     for a in range(0, len(x), 4096):
-        owner[a : a + 4096] = (norms - 2 * x[a : a + 4096] @ centroids.T).argmin(1)
-    return owner, np.sqrt(((x - centroids[owner]) ** 2).sum(1))
+        some = x[a : a + 4096]
+        own = (norms - 2 * some @ centroids.T).argmin(1)
+        owner[a : a + 4096], distance[a : a + 4096] = own, np.sqrt(((some - centroids[own]) ** 2).sum(1))
+    return owner, distance
 
 
 def _embedded(chunks: DataFrame, embed: Embed | None) -> DataFrame:
-    """Chunks with vectors. Filtered after the cut, as a filter on its result would run the embedder twice."""
+    """Chunks with vectors, as a table: what asks for vectors reads no texts. Filtered after the cut, as a filter on its
+    result would run the embedder twice."""
     rows = (embed(chunks) if embed else chunks).select(*COLUMNS[:5], F.col("embedding").cast("array<double>").alias("embedding"))
-    return cut_lineage(rows).filter("embedding IS NOT NULL")
+    return cut_to_table(rows).filter("embedding IS NOT NULL")
 
 
-def _sample(rows: DataFrame, taken: int, total: int) -> pd.Series:
-    """Vectors of about ``taken`` of ``total`` rows, by a threshold on the hash of their ids.
+def _dealt(rows: DataFrame, taken: int, total: int) -> DataFrame:
+    """(h, chunk_id, embedding) of about ``taken`` of ``total`` rows, by a threshold on the hash of their ids.
 
-    Sorting for the first ``taken`` would send that many rows of every partition to the driver.
+    Sorting for the first ``taken`` would send that many rows of every partition to one place.
     """
     dealt = F.xxhash64("chunk_id")
     below = -(1 << 63) + (taken << 64) // max(total, 1)
     some = rows if taken >= total else rows.filter(dealt < F.lit(below))
-    return some.select(dealt.alias("h"), "chunk_id", "embedding").toPandas().sort_values(["h", "chunk_id"])["embedding"]
+    return some.select(dealt.alias("h"), "chunk_id", "embedding")
+
+
+def _in_order(dealt: pd.DataFrame) -> pd.Series:
+    return dealt.sort_values(["h", "chunk_id"])["embedding"]
+
+
+def _sample(rows: DataFrame, taken: int, total: int) -> pd.Series:
+    """Vectors of ``_dealt`` rows in the order of the fit."""
+    return _in_order(_dealt(rows, taken, total).toPandas())
+
+
+def _fitted(rows: DataFrame, total: int, width: int, cell_rows: int) -> DataFrame:
+    """(cell, centroid), fitted in a task: the sample never reaches the driver."""
+    spark, schema = rows.sparkSession, "cell int, centroid array<double>"
+    if not total:
+        return spark.createDataFrame([(0, [0.0] * width)], schema).coalesce(1)
+
+    def fit(dealt: pd.DataFrame) -> pd.DataFrame:
+        sample = np.stack(_in_order(dealt).to_numpy()).astype(np.float64)
+        centroids = _fit(sample, int(max(1, min(MAX_CELLS, total // cell_rows, len(sample)))))
+        return pd.DataFrame({"cell": np.arange(len(centroids), dtype=np.int32), "centroid": list(centroids)})
+
+    return _dealt(rows, max(1, SAMPLE_VALUES // width), total).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, schema)
 
 
 def create_index(path: str, chunks: DataFrame, embed: Embed | None = embed_text, cell_rows: int = CELL_ROWS) -> ChunkIndex:
@@ -105,15 +132,11 @@ def create_index(path: str, chunks: DataFrame, embed: Embed | None = embed_text,
     spark = chunks.sparkSession
     rows = _embedded(chunks, embed)
     total, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    taken = max(1, SAMPLE_VALUES // max(width or 1, 1))
-    sample = _sample(rows, taken, total)
-    n = int(max(1, min(MAX_CELLS, total // cell_rows, len(sample))))
-    centroids = _fit(np.stack(sample.to_numpy()).astype(np.float64), n) if len(sample) else np.zeros((1, max(width or 1, 1)))
     generation = _next_generation(spark, path)
     at = f"{path}/gen-{generation}"
-    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{at}/centroids")
+    _fitted(rows, total, max(width or 1, 1), cell_rows).write.mode("overwrite").parquet(f"{at}/centroids")
     rows.limit(0).withColumn("distance", F.lit(0.0)).write.mode("overwrite").parquet(f"{at}/shape")
-    _append(spark, at, 0, rows, centroids)
+    _append(spark, at, 0, rows)
     spark.createDataFrame([(generation,)], "generation int").coalesce(1).write.mode("append").parquet(f"{path}/current")
     return open_index(spark, path)
 
@@ -124,20 +147,23 @@ def _next_generation(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(f"{path}/current").agg(F.max("generation")).first()[0] + 1 if there else 0
 
 
-def _append(spark: SparkSession, at: str, batch: int, rows: DataFrame, centroids: np.ndarray) -> None:
-    shared = spark.sparkContext.broadcast(centroids)
+def _append(spark: SparkSession, at: str, batch: int, rows: DataFrame) -> None:
+    shared = spark.sparkContext.broadcast(_centroids(spark, at))
 
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                part["cell"], part["distance"] = _nearest(np.stack(part["embedding"].to_numpy()).astype(np.float64), shared.value)
-                yield part
-
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in COLUMNS) + ", cell int, distance double"
-    placed = cut_lineage(rows.select(*COLUMNS).mapInPandas(assign, schema))
-    # Ranges over both columns: a cell that holds a large share of all chunks is many files.
-    placed.repartitionByRange("cell", "chunk_id").write.mode("overwrite").partitionBy("cell").parquet(f"{at}/rows/batch={batch}")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("distance").alias("radius"))
+    @F.pandas_udf("cell int, distance double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        found = _nearest(np.stack(vectors.to_numpy()).astype(np.float64), shared.value) if len(vectors) else (np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"cell": found[0].astype(np.int32), "distance": found[1]})
+
+    placed = rows.select(*COLUMNS, nearest("embedding").alias("at")).select(*COLUMNS, "at.cell", "at.distance")
+    # A cell that holds a large share of all chunks is many files. The parts only steer where rows are written.
+    parts = spark.createDataFrame([(r.cell, -(-r.n // FILE_ROWS)) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()], "cell int, parts long")
+    part = F.pmod(F.xxhash64("chunk_id"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = placed.join(F.broadcast(parts), "cell", "left").select(*COLUMNS, "distance", "cell", part)
+    dealt.repartition("cell", "part").drop("part").write.mode("overwrite").partitionBy("cell").parquet(f"{at}/rows/batch={batch}")
+    # From the rows as they were written: a vector between two cells may fall to the other one when it is placed again.
+    schema = spark.read.parquet(f"{at}/shape").schema.add("cell", IntegerType())
+    stats = spark.read.schema(schema).parquet(f"{at}/rows/batch={batch}").groupBy("cell").agg(F.count("*").alias("rows"), F.max("distance").alias("radius"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{at}/cells/batch={batch}")
     _commit(spark, at, batch, "rows")
 
@@ -146,8 +172,8 @@ def _commit(spark: SparkSession, at: str, batch: int, kind: str) -> None:
     spark.createDataFrame([(batch, kind)], "batch int, kind string").coalesce(1).write.mode("append").parquet(f"{at}/log")
 
 
-def _centroids(index: ChunkIndex) -> np.ndarray:
-    rows = index.spark.read.parquet(f"{index.path}/centroids").orderBy("cell").toPandas()
+def _centroids(spark: SparkSession, at: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{at}/centroids").orderBy("cell").toPandas()
     return np.stack(rows["centroid"].to_numpy()).astype(np.float64)
 
 
@@ -157,7 +183,7 @@ def add_chunks(path: str, chunks: DataFrame, embed: Embed | None = embed_text) -
     new = chunks.join(stored_chunks(index).select("chunk_id"), "chunk_id", "left_anti")
     rows = _embedded(new, embed)
     if not rows.isEmpty():
-        _append(index.spark, index.path, index.last + 1, rows, _centroids(index))
+        _append(index.spark, index.path, index.last + 1, rows)
     return open_index(index.spark, path)
 
 
@@ -194,7 +220,7 @@ def _cells(index: ChunkIndex) -> pd.DataFrame:
 def _bounds(index: ChunkIndex, queries: DataFrame, cells: pd.DataFrame, min_score: float, pool: int | None) -> DataFrame:
     """(qset_id, cell, bound, near): cells that can hold a score of ``min_score``; near ones are read first."""
     own, radius, sizes = cells["cell"].to_numpy(), cells["radius"].to_numpy(), cells["rows"].to_numpy()
-    shared = index.spark.sparkContext.broadcast((_centroids(index)[own] if len(own) else np.zeros((0, 1)), own, radius, sizes))
+    shared = index.spark.sparkContext.broadcast((_centroids(index.spark, index.path)[own] if len(own) else np.zeros((0, 1)), own, radius, sizes))
 
     def reach(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, own, radius, sizes = shared.value

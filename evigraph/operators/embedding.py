@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,30 +17,30 @@ from evigraph.functions.text import tokenize
 DIMENSION = 64
 
 
-def hashed_tokens(text: Column, dim: int = DIMENSION) -> Column:
-    """Per token its signed dimension 1..dim; the token hash gives dimension and sign."""
-    def signed(token: Column) -> Column:
-        digest = F.md5(token)
-        at = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim + 1
-        return F.when(F.substring(digest, 9, 1) < "8", at).otherwise(-at).cast("int")
-
-    return F.transform(tokenize(F.lower(text)), signed)
+def _signed_dimensions(tokens: pa.Array, dim: int) -> np.ndarray:
+    """Per token its signed dimension 1..dim; the token's hash gives dimension and sign. Equal tokens are hashed once."""
+    coded = tokens.cast(pa.binary()).dictionary_encode()
+    digests = [hashlib.md5(t).hexdigest() for t in coded.dictionary.to_pylist()]
+    signed = np.array([(int(g[:8], 16) % dim + 1) * (1 if g[8] < "8" else -1) for g in digests], np.int64)
+    return signed[coded.indices.to_numpy()]
 
 
 def hash_embed(text: Column, dim: int = DIMENSION) -> Column:
     """L2-normalised signed token counts, the zero vector for a text without tokens."""
 
-    @F.pandas_udf("array<double>")
-    def densify(tokens: pd.Series) -> pd.Series:
-        sizes = tokens.map(len).to_numpy()
-        flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in tokens]) if sizes.sum() else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(tokens)), sizes)
-        counts = np.bincount(row * dim + np.abs(flat) - 1, weights=np.sign(flat), minlength=len(tokens) * dim)
-        dense = counts.reshape(len(tokens), dim).astype(np.float64)
+    @F.arrow_udf("array<double>")
+    def densify(tokens: pa.Array) -> pa.Array:
+        n = len(tokens)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int64)
+        flat = _signed_dimensions(tokens.flatten(), dim)
+        row = np.repeat(np.arange(n), sizes)
+        counts = np.bincount(row * dim + np.abs(flat) - 1, weights=np.sign(flat), minlength=n * dim)
+        dense = counts.reshape(n, dim).astype(np.float64)
         norm = np.linalg.norm(dense, axis=1, keepdims=True)
-        return pd.Series(list(np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)))
+        unit = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(unit.ravel()))
 
-    return densify(hashed_tokens(text, dim))
+    return densify(tokenize(F.lower(text)))
 
 
 def embed_text(df: DataFrame, text: str = "text", dim: int = DIMENSION) -> DataFrame:

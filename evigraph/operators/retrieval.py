@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evigraph.functions.skew import spread_join
 from evigraph.functions.text import PLAIN_DIGITS, STOPWORDS, SUBSCRIPT_DIGITS, let, match_key, normalize_subscripts, word_match
 from evigraph.model import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM, CONFIDENCE_NONE
-from evigraph.session import cut_lineage
+from evigraph.session import cut_lineage, cut_to_table
 
 # Depths, thresholds and weights of retrieval.
 TOP_K = 6
@@ -175,7 +175,8 @@ def lexical_rerank(pool: DataFrame, signals: DataFrame, texts: DataFrame, top_k:
     The reported score stays the vector score. Pools are small per question; chunk texts are read
     for pool members only.
     """
-    joined = pool.drop("rank").join(texts.select("chunk_id", "text"), "chunk_id").join(signals, "qset_id", "left")
+    # A table has its real size, so a small pool is joined where the texts lie and they are not shuffled.
+    joined = cut_to_table(pool.drop("rank")).join(texts.select("chunk_id", "text"), "chunk_id").join(signals, "qset_id", "left")
     empty = F.array().cast("array<string>")
     lex = lexical_score(F.coalesce("hard", empty), F.coalesce("terms", empty), F.col("text"))
     boosted = joined.withColumn("boosted", F.round(F.col("score") + lex * weight, SCORE_DIGITS))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evigraph.operators import retrieval as R
 from evigraph.operators.chunk_index import ChunkIndex, create_index, indexed_topk, search, stored_chunks
 from evigraph.operators.embedding import embed_text
-from evigraph.session import cut_lineage, ensure_checkpoint_dir
+from evigraph.session import cut_lineage, cut_to_table, ensure_checkpoint_dir
 
 
 def discover(index: ChunkIndex, corpus: DataFrame, queries: DataFrame, signals: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def answer_from_index(
     queries = cut_lineage(embed(variants))
     signals = R.query_signals(variants)
     corpus = R.ready_corpus(docs).select("doc_id")
-    active = cut_lineage(R.activation_floor(discover(index, corpus, queries, signals)))
+    active = cut_to_table(R.activation_floor(discover(index, corpus, queries, signals)))
     indexed = R.searchable_filter(docs.withColumn("index_mode", F.lit("full"))).select("doc_id")
     allowed = active.join(indexed, "doc_id", "left_semi")
     chunks = stored_chunks(index)
@@ -45,7 +45,7 @@ def answer_from_index(
     pool_size = top_k * R.POOL_FACTOR
     found = search(index, queries, R.MIN_SCORE, pool_size, lambda rows: rows.join(uploads, "doc_id", "left_semi"))
     scored = R.score_within(allowed, near, queries, R.MIN_SCORE).unionByName(found)
-    hits = cut_lineage(R.lexical_rerank(R.top_scores(scored, pool_size), signals, chunks, top_k))
+    hits = cut_to_table(R.lexical_rerank(R.top_scores(scored, pool_size), signals, chunks, top_k))
     cited = R.citations(hits, chunks, docs)
     return {
         "active": active,

@@ -301,7 +301,7 @@ LEXICAL = f"""{RAG},
 @query("lexical_score", "blocks", f"WITH {LEXICAL} SELECT qset_id, chunk_id, round(coalesce(hs * 0.7 + ts * 0.3, hs, ts, 0), 6) AS lex FROM lp_l")
 def _(spark, d):
     pool, signals, head = _pool(spark, d)
-    j = pool.join(head.select("chunk_id", "text"), "chunk_id").join(signals, "qset_id")
+    j = cut_to_table(pool).join(head.select("chunk_id", "text"), "chunk_id").join(signals, "qset_id")
     return j.select("qset_id", "chunk_id", F.round(R.lexical_score(F.col("hard"), F.col("terms"), F.col("text")), 6).alias("lex"))
 
 

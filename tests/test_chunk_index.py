@@ -112,3 +112,16 @@ def test_the_fitting_sample_is_bounded_and_does_not_depend_on_partitions(spark):
     one, many = (sorted(v[0] for v in X._sample(rows.repartition(n), 2000, 20_000)) for n in (1, 40))
     assert one == many and 1700 < len(one) < 2300
     assert len(X._sample(rows, 20_000, 20_000)) == 20_000
+
+
+def test_the_sample_is_fitted_off_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.delattr(X, "_sample")  # the driver's way to the vectors
+    rows = spark.range(40).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.col("id").alias("doc_id"), F.lit(0).alias("chunk_no"), F.lit("").alias("location"),
+        F.lit("").alias("text"), F.array(F.cos("id"), F.sin("id")).alias("embedding"),
+    )
+    index = X.create_index(str(tmp_path / "i"), rows, None, cell_rows=10)
+    cells = X._cells(index)
+    assert len(X._centroids(spark, index.path)) == 4 and cells["rows"].sum() == 40
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qset_id long, embedding array<double>")
+    assert [r.chunk_id for r in X.indexed_topk(index, asked, 1, 0.5).collect()] == ["c0"]
