@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from evigraph.sources.star import TABLES
+from evigraph.plans import structured_search as S
+from evigraph.sources.star import TABLES, edges, node_names
 
 ROWS = {
     "nation": ("n_nationkey long, n_name string, n_regionkey long", [(0, "FRANCE", 3), (1, "PERU", 1)]),
@@ -79,3 +80,12 @@ def test_exported_answers_have_chains_and_external_sources(spark, tiny):
     empty = json.loads(rows[1].json)
     assert empty["experiment_chains"] == [] == empty["external_sources"]["scholar"] and "не найдены" in empty["external_sources"]["message"]
     assert "### Внешние источники" in rows[1].markdown
+
+
+def test_answer_lines_derive_only_the_edges_they_name(spark, tiny):
+    n = node_names(spark, tiny)
+    lines = S.experiment_lines(n, edges(spark, tiny), n.filter("type = 'experiment'"))
+    got = {r.experiment_id: r.line for r in lines.collect()}
+    assert "Материал: red ring, blue bolt;" in got["exp_1"] and "Источник: Document 1. Команда: BUILDING." in got["exp_1"]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "MEASURES_PROPERTY" not in plan and "VALIDATED_BY" not in plan
