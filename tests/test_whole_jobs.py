@@ -89,3 +89,10 @@ def test_answer_lines_derive_only_the_edges_they_name(spark, tiny):
     assert "Материал: red ring, blue bolt;" in got["exp_1"] and "Источник: Document 1. Команда: BUILDING." in got["exp_1"]
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert "MEASURES_PROPERTY" not in plan and "VALIDATED_BY" not in plan
+
+
+def test_dictionary_tagger_does_not_read_order_lines_for_a_discount(spark, tiny):
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "avg(" not in read(entry.queries()["dictionary_tagger"](spark, tiny))
+    got = sorted((r.asDict() for r in entry.queries()["dictionary_tagger"](spark, tiny).collect()), key=repr)
+    assert got == checked(tiny, "dictionary_tagger")
